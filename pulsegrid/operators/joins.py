@@ -1,0 +1,23 @@
+"""Join helpers: broadcast only behind a proven size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows a side may hold and still be shipped to every executor. Sides here
+# are narrow (a few keys), so 2M rows stay well below 200 MB.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast only when it provably has <= ``max_rows``
+    rows; otherwise return it unchanged and the join stays a shuffle join
+    (which AQE may still turn into a broadcast from runtime sizes).
+
+    The bound is checked with a ``limit(max_rows + 1)`` count, which stops
+    reading once the bound is exceeded. Use on sides that are cheap to
+    recompute (checkpointed, small listings).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
