@@ -105,21 +105,30 @@ from servers s left join latest l on s.server_id = l.server_id"""
 
 
 def _greedy(src_sql: str, registry_sql: str | None) -> str:
-    """Sequential two-key insert by recursive CTE over accepted-key lists."""
-    init = ("select 0::bigint, []::varchar[], []::varchar[], []::bigint[]" if registry_sql is None
-            else f"""select 0::bigint, (select coalesce(list(server_id), []::varchar[]) from ({registry_sql})),
-                 (select coalesce(list(server_name), []::varchar[]) from ({registry_sql})), []::bigint[]""")
-    return f"""with recursive q as (select row_number() over (order by rn) as k, rn, server_id, server_name
-        from ({src_sql})),
-    g(k, ids, names, rns) as (
-      {init}
+    """Two-key insert in order, as a recursion with one step per round: a
+    row first (by rn) in both its id group and its name group is accepted;
+    undecided rows sharing an id or a name with a row accepted in that
+    round are rejected; the rest go to the next round. Rows whose id or
+    name the registry holds are rejected up front."""
+    if registry_sql is None:
+        c0 = f"select rn, server_id, server_name from ({src_sql})"
+    else:
+        c0 = f"""select rn, server_id, server_name from ({src_sql})
+        where server_id not in (select server_id from ({registry_sql}))
+          and server_name not in (select server_name from ({registry_sql}))"""
+    return f"""with recursive c0 as ({c0}),
+    r(rn, server_id, server_name, state) as (
+      select rn, server_id, server_name, 'u' from c0
       union all
-      select q.k,
-        case when list_contains(ids, server_id) or list_contains(names, server_name) then ids else list_append(ids, server_id) end,
-        case when list_contains(ids, server_id) or list_contains(names, server_name) then names else list_append(names, server_name) end,
-        case when list_contains(ids, server_id) or list_contains(names, server_name) then rns else list_append(rns, q.rn) end
-      from g join q on q.k = g.k + 1),
-    accepted as (select unnest(rns) as rn from (from g order by k desc limit 1))"""
+      select rn, server_id, server_name,
+        case when acc then 'a'
+             when max(acc::int) over (partition by server_id) = 1
+               or max(acc::int) over (partition by server_name) = 1 then 'x'
+             else 'u' end
+      from (select *, rn = min(rn) over (partition by server_id)
+                      and rn = min(rn) over (partition by server_name) as acc
+            from r where state = 'u') s),
+    accepted as (select rn from r where state = 'a')"""
 
 
 def _daily(cap: bool) -> str:

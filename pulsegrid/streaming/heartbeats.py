@@ -55,11 +55,20 @@ def heartbeat_kafka_source(spark: SparkSession, servers: str, topic: str,
 
 
 def write_message_files(heartbeats: DataFrame, path: str, files: int = 8) -> None:
-    """Publish heartbeats (seq, server_id, status, ts) as message files, each
-    file one contiguous seq range (arrival order preserved across files)."""
-    (heartbeats.select("seq", heartbeat_json().alias("value"))
-     .repartitionByRange(files, "seq").sortWithinPartitions("seq")
-     .write.mode("overwrite").json(path))
+    """Publish heartbeats (seq, server_id, status, ts) as message files.
+
+    The file source takes files in modification-time order, so each file
+    (one contiguous seq range) is written by its own job, in seq order: the
+    stream then sees messages in arrival order, as it would from a log.
+    """
+    msgs = heartbeats.select("seq", heartbeat_json().alias("value"))
+    lo, hi = msgs.agg(F.min("seq"), F.max("seq")).first()
+    if lo is None:
+        return
+    width = (hi - lo) // files + 1
+    for b in range(files):
+        part = msgs.where((F.col("seq") >= lo + b * width) & (F.col("seq") < lo + (b + 1) * width))
+        part.coalesce(1).sortWithinPartitions("seq").write.mode("append").json(path)
 
 
 # ---------------------------------------------------------------- K1 archive
