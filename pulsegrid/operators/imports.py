@@ -130,15 +130,12 @@ def greedy_merge(candidates: DataFrame, registry: DataFrame | None = None,
         undecided = _freeze(
             undecided.join(acc.select("server_id"), "server_id", "left_anti")
                      .join(acc.select("server_name"), "server_name", "left_anti"))
-    spark = candidates.sparkSession
     if accepted:
-        acc_all = accepted[0]
+        acc_keys = accepted[0].select("rn", "round")
         for a in accepted[1:]:
-            acc_all = acc_all.unionByName(a)
+            acc_keys = acc_keys.unionByName(a.select("rn", "round"))
     else:
-        acc_all = spark.createDataFrame([], "rn long, round int").select(
-            F.col("rn").cast(cand.schema["rn"].dataType), "round")
-    acc_keys = acc_all.select("rn", "round")
+        acc_keys = cand.select("rn", F.lit(None).cast("int").alias("round")).where(F.lit(False))
     return (cand.join(acc_keys, "rn", "left")
                 .select("rn", "server_id", "server_name",
                         F.when(F.col("round").isNotNull(), F.lit(ACCEPTED))
@@ -163,6 +160,18 @@ def import_records(records: DataFrame, registry: DataFrame | None = None) -> Dat
     return ok.unionByName(bad)
 
 
+def import_sheets(rows: DataFrame, registry: DataFrame | None = None,
+                  header_rows: int = 1) -> DataFrame:
+    """Sheet rows of one or many files -> per-row import results.
+
+    Files are imported in ``file_id`` order, rows in ``row_no`` order (the
+    insert order key ``rn`` is the struct of both). Rows of rejected files
+    do not appear; see ``rejected_files``.
+    """
+    recs = sheet_records(rows, header_rows).withColumn("rn", F.struct("file_id", "row_no"))
+    return import_records(recs.select("rn", "server_id", "server_name", "ipv4"), registry)
+
+
 def import_summary(results: DataFrame, with_ids: bool = False) -> DataFrame:
     """Import result (A9 + U1): counts of successes and failures.
 
