@@ -37,7 +37,7 @@ def _unquote(x):
 
 
 def read_csv_sheets(spark: SparkSession, path: str) -> DataFrame:
-    text = (spark.read.option("wholetext", True).text(path)
+    text = (spark.read.text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("file_id"),
                     F.regexp_replace("value", r"(\r?\n)+\z", "").alias("value")))
     lines = text.select("file_id", F.posexplode(F.split("value", r"\r?\n")).alias("row_no", "line"))

@@ -1,0 +1,122 @@
+"""Property tests: distributed operators equal their sequential definitions."""
+
+import datetime as dt
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from pulsegrid import schemas as S
+from pulsegrid.operators import imports, registry, uptime
+from pulsegrid.operators.heartbeats import latest_status
+
+SLOW = settings(max_examples=12, deadline=None,
+                suppress_health_check=[HealthCheck.function_scoped_fixture,
+                                       HealthCheck.too_slow])
+T0 = dt.datetime(2024, 1, 1)
+
+
+def sequential_insert(rows, held_ids=(), held_names=()):
+    """The reference's loop: insert one row at a time, unique id and name."""
+    ids, names, ok = set(held_ids), set(held_names), set()
+    for rn, sid, name in sorted(rows):
+        if sid in ids or name in names:
+            continue
+        ids.add(sid)
+        names.add(name)
+        ok.add(rn)
+    return ok
+
+
+rows_strategy = st.lists(
+    st.tuples(st.integers(0, 5), st.integers(0, 5)), min_size=1, max_size=40)
+
+
+@SLOW
+@given(pairs=rows_strategy, held=st.lists(st.integers(0, 5), max_size=3))
+def test_greedy_merge_equals_sequential_loop(spark, pairs, held):
+    rows = [(i, f"id{a}", f"n{b}") for i, (a, b) in enumerate(pairs)]
+    reg_rows = [(f"id{h}", f"n{(h * 2) % 6}") for h in held]
+    cand = spark.createDataFrame(rows, "rn long, server_id string, server_name string")
+    reg = (spark.createDataFrame(reg_rows, "server_id string, server_name string")
+           if reg_rows else None)
+    got = {r.rn for r in imports.greedy_merge(cand, reg).collect() if r.outcome == "success"}
+    want = sequential_insert(rows, [a for a, _ in reg_rows], [b for _, b in reg_rows])
+    assert got == want
+
+
+def fold_batches(batches, reg):
+    """Apply each batch's latest in order, as the status writer would."""
+    state = {r[0]: (r[3], r[6]) for r in reg}
+    for batch in batches:
+        best = {}
+        for seq, sid, status, ts in batch:
+            if sid not in best or (ts, seq) > (best[sid][1], best[sid][2]):
+                best[sid] = (status, ts, seq)
+        for sid, (status, ts, _) in best.items():
+            if sid in state and (state[sid][1] is None or ts >= state[sid][1]):
+                state[sid] = (status, ts)
+    return state
+
+
+hb_strategy = st.lists(st.tuples(st.integers(0, 4), st.sampled_from(["on", "off"]),
+                                 st.integers(0, 6)), min_size=1, max_size=30)
+
+
+@SLOW
+@given(events=hb_strategy, cuts=st.lists(st.integers(0, 30), max_size=3))
+def test_status_fold_is_split_invariant(spark, events, cuts):
+    hb = [(i, f"s{a}", status, T0 + dt.timedelta(minutes=m))
+          for i, (a, status, m) in enumerate(events)]
+    reg = [(f"s{k}", f"n{k}", "1.1.1.1", "UNKNOWN", T0, None, None, k == 3) for k in range(4)]
+    bounds = sorted(set([0, len(hb)] + [min(c, len(hb)) for c in cuts]))
+    batches = [hb[a:b] for a, b in zip(bounds, bounds[1:])]
+    want = fold_batches(batches, reg)
+    sdf = spark.createDataFrame(hb, "seq long, server_id string, status string, ts timestamp_ntz")
+    got = registry.apply_status(spark.createDataFrame(reg, S.SERVERS), latest_status(sdf))
+    assert {r.server_id: (r.status, r.last_ping_at) for r in got.collect()} == want
+
+
+@SLOW
+@given(n=st.integers(1, 40), width=st.integers(1, 15), desc=st.booleans(),
+       field=st.sampled_from(["created_at", "server_name"]))
+def test_pages_concatenate_to_full_sort(spark, n, width, desc, field):
+    reg = [(f"id{i:02d}", f"name{(i * 7) % 5}", "1.1.1.1", "UNKNOWN",
+            T0 + dt.timedelta(minutes=i % 4), None, None, i % 6 == 5) for i in range(n)]
+    servers = spark.createDataFrame(reg, S.SERVERS)
+    pages = []
+    for lo in range(0, n, width):
+        pages += [r.server_id for r in
+                  registry.list_servers(servers, lo, lo + width, field, desc).collect()]
+    idx = 4 if field == "created_at" else 1
+    active = [r for r in reg if not r[7]]
+    full = sorted(active, key=lambda r: r[0])
+    full = sorted(full, key=lambda r: r[idx], reverse=desc)
+    assert pages == [r[0] for r in full]
+
+
+@SLOW
+@given(ops=st.lists(st.tuples(st.integers(0, 6), st.booleans()), min_size=1, max_size=40))
+def test_changelog_replay_equals_dict_replay(spark, ops):
+    log = [(i, f"s{k}", "delete" if d else "put") for i, (k, d) in enumerate(ops)]
+    state = {}
+    for seq, sid, op in log:
+        if op == "delete":
+            state.pop(sid, None)
+        else:
+            state[sid] = seq
+    df = spark.createDataFrame(log, "seq long, server_id string, op string")
+    got = {r.server_id: r.seq for r in registry.monitored_set(df).collect()}
+    assert got == state
+
+
+@SLOW
+@given(statuses=st.lists(st.sampled_from(["on", "off", "maybe", None]), min_size=1,
+                         max_size=30))
+def test_status_classes_add_up(spark, statuses):
+    hb = [(i, "s", s, T0) for i, s in enumerate(statuses)]
+    df = spark.createDataFrame(hb, "seq long, server_id string, status string, ts timestamp_ntz")
+    r = uptime.uptime_all(df).collect()[0]
+    checked = sum(s is not None for s in statuses)
+    on = sum(s == "on" for s in statuses)
+    assert r.doc_count == len(statuses)
+    assert r.uptime_ratio == (on / checked if checked else 0.0)
