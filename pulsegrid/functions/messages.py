@@ -27,8 +27,12 @@ def decode_heartbeats(messages: DataFrame, value_col: str = "value",
     raw_ts = F.col("m.timestamp")
     micros = F.regexp_replace(raw_ts, r"(\.\d{6})\d+", "$1")
     instant = micros.try_cast("timestamp")
-    return (messages
-            .select(F.col(seq_col).alias("seq"), m.alias("m"))
+    # Parse once: a projection feeding a filter would be inlined into the
+    # filter, re-running the (interpreted) JSON parser once per reference;
+    # the generator output is a boundary the filter is not pushed through.
+    parsed = messages.select(F.col(seq_col).alias("seq"),
+                             F.inline(F.array(F.struct(m.alias("m")))))
+    return (parsed
             .where(F.col("m").isNotNull()
                    & F.col("m._corrupt_record").isNull()
                    & F.coalesce(raw_ts.rlike(RFC3339_SHAPE), F.lit(False))

@@ -59,8 +59,8 @@ def mail_outbox(requests: DataFrame) -> DataFrame:
     Columns: req_id, receivers, subject, body, filename, value (the message
     JSON with Go's field names; the attachment travels by name, empty data).
     """
-    ok = check_report_requests(requests).where(F.col("error").isNull()).select("req_id")
-    valid = requests.join(ok, "req_id", "left_semi")
+    err = report_request_error("from_ts", "to_ts", "receivers")
+    valid = requests.where(err.isNull())
     fname = report_filename()
     mail = F.struct(
         F.lit(MAIL_FROM).alias("From"), F.col("receivers").alias("To"),
