@@ -9,6 +9,8 @@ costs one partial row per map task, so hot keys do not skew the final stage.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +49,8 @@ def in_range(hb: DataFrame, start, end, ts: str = "ts") -> DataFrame:
     like = hb.schema[ts].dataType
     out = hb.where((F.col(ts) >= ts_literal(lo, like)) & (F.col(ts) < ts_literal(hi, like)))
     if "dt" in hb.columns:
-        out = out.where(F.col("dt").between(F.lit(lo.date()), F.lit(hi.date())))
+        last_day = hi.date() if hi.time() != dt.time(0) else hi.date() - dt.timedelta(days=1)
+        out = out.where(F.col("dt").between(F.lit(lo.date()), F.lit(last_day)))
     return out
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import exports, heartbeats, imports, messages, registry, uptime
-from pulsegrid.session import shared_dir, use_utc
+from pulsegrid.session import apply_sql_defaults, shared_dir
 from pulsegrid.sources import fixtures as fx
 from pulsegrid.streaming import heartbeats as streams
 
@@ -32,6 +32,14 @@ def q_uptime_report(spark: SparkSession, d: str) -> DataFrame:
     return uptime.uptime_report(fx.hb_nulls(spark, d), REPORT_FROM, REPORT_TO)
 
 
+def q_uptime_report_archive(spark, d):
+    """The flagship report over the archive layout: history written as
+    Parquet partitioned by day, the range prunes partitions (S4)."""
+    path = shared_dir(spark, "history")
+    streams.write_history(fx.hb_nulls(spark, d), path)
+    return uptime.uptime_report(streams.read_archive(spark, path), REPORT_FROM, REPORT_TO)
+
+
 def q_uptime_report_capped(spark, d):
     return uptime.rank_report(uptime.uptime_all(fx.hb_wide(spark, d)))
 
@@ -175,6 +183,7 @@ def q_uptime_stream(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "uptime_report": q_uptime_report,
+    "uptime_report_archive": q_uptime_report_archive,
     "uptime_report_capped": q_uptime_report_capped,
     "uptime_daily": q_uptime_daily,
     "export_report": q_export_report,
@@ -205,9 +214,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _utc(fn):
+def _with_defaults(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        use_utc(spark)
+        apply_sql_defaults(spark)
         return fn(spark, sf_dir)
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
@@ -215,4 +224,4 @@ def _utc(fn):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _utc(v) for k, v in QUERIES.items()}
+    return {k: _with_defaults(v) for k, v in QUERIES.items()}

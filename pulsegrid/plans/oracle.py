@@ -142,6 +142,7 @@ def _daily(cap: bool) -> str:
 
 ORACLE: dict[str, str] = {
     "uptime_report": _with("hb_nulls") + _report("hb_nulls", True),
+    "uptime_report_archive": _with("hb_nulls") + _report("hb_nulls", True),
     "uptime_report_capped": _with("hb_wide") + _report("hb_wide", False),
     "uptime_daily": _with("hb") + _daily(True),
     "export_report": _with("hb") + f""", r as ({_report("hb", True)})

@@ -14,7 +14,6 @@ Every job in this package assumes:
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -50,10 +49,22 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
-    use_utc(spark)
+    apply_sql_defaults(spark)
     return spark
 
 
+# Static settings cannot change on a running session; the rest are runtime
+# SQL settings that every registered query re-applies to whatever session
+# it is given.
+_STATIC = {"spark.ui.enabled"}
+
+
+def apply_sql_defaults(spark: SparkSession) -> None:
+    for k, v in SESSION_DEFAULTS.items():
+        if k not in _STATIC:
+            spark.conf.set(k, v)
+
+
 def use_utc(spark: SparkSession) -> None:
     """Pin the session time zone; conversions between TIMESTAMP and
     TIMESTAMP_NTZ are then UTC wall clock on every executor."""
@@ -84,13 +95,3 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
 
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def ensure_local_parent(path: str) -> None:
-    """Create a local parent folder for plain paths (no-op for URIs; Spark's
-    writers create remote folders themselves)."""
-    if path.startswith("/"):
-        os.makedirs(os.path.dirname(path), exist_ok=True)

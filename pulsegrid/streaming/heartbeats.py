@@ -87,6 +87,21 @@ def start_archive(messages: DataFrame, sink: str, checkpoint: str,
     return w.start()
 
 
+def write_history(heartbeats: DataFrame, path: str, max_records_per_file: int = 5_000_000
+                  ) -> None:
+    """Batch form of the archive: heartbeats -> Parquet partitioned by ``dt``.
+
+    Range-partitioned on (dt, seq): each task writes a contiguous run of
+    days (few files per task), and a day holding a third of all rows is
+    spread over several tasks instead of one.
+    """
+    out = heartbeats.withColumn("dt", F.to_date("ts"))
+    n = int(heartbeats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (out.repartitionByRange(n, "dt", "seq").sortWithinPartitions("dt", "seq")
+     .write.mode("overwrite").partitionBy("dt")
+     .option("maxRecordsPerFile", max_records_per_file).parquet(path))
+
+
 def read_archive(spark: SparkSession, sink: str) -> DataFrame:
     """History as written by the archive: (seq, server_id, status, ts, dt)."""
     return spark.read.parquet(sink).select("seq", "server_id", "status", "ts",
