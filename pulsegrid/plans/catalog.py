@@ -151,7 +151,7 @@ def q_mail_ready(spark, d):
 
 def _publish_hb(spark, d, label):
     src = shared_dir(spark, f"{label}-src")
-    streams.write_message_files(fx.hb(spark, d), src, files=8)
+    streams.write_message_files(fx.hb(spark, d), src, files=4)
     return src
 
 
@@ -181,6 +181,18 @@ def q_uptime_stream(spark, d):
                                            "uptime_ratio", "doc_count")
 
 
+def q_mail_stream(spark, d):
+    from pulsegrid.streaming import log, mail
+    src = shared_dir(spark, "mail-src")
+    reqs = fx.mail_requests(spark, d)
+    log.publish_files(reqs.select(F.col("mail_id").alias("seq"),
+                                  mail.mail_json().alias("value")), src, files=2)
+    out, ckpt = shared_dir(spark, "mail-out"), shared_dir(spark, "mail-ckpt")
+    q = mail.start_mail_worker(log.file_source(spark, src, 1), fx.mail_files(spark, d), out, ckpt)
+    q.awaitTermination()
+    return mail.read_mail_results(spark, out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "uptime_report": q_uptime_report,
     "uptime_report_archive": q_uptime_report_archive,
@@ -208,6 +220,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classify_probe": q_classify_probe,
     "mail_outbox": q_mail_outbox,
     "mail_ready": q_mail_ready,
+    "mail_stream": q_mail_stream,
     "heartbeat_archive": q_heartbeat_archive,
     "status_stream": q_status_stream,
     "uptime_stream": q_uptime_stream,

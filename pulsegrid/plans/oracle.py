@@ -239,6 +239,9 @@ ORACLE: dict[str, str] = {
     "mail_ready": _with("mail_items", "mail_files") + """select i.mail_id,
         bool_and(f.filename is not null) as ready
         from mail_items i left join mail_files f on i.filename = f.filename group by i.mail_id""",
+    "mail_stream": _with("mail_items", "mail_files") + """select i.mail_id,
+        bool_and(f.filename is not null) as ready
+        from mail_items i left join mail_files f on i.filename = f.filename group by i.mail_id""",
     "heartbeat_archive": _with("hb") + "select seq, server_id, status, ts, cast(ts as date) as dt from hb",
     "status_stream": _UPSERT,
     "uptime_stream": _with("hb") + f"""select * from ({_daily(False)})

@@ -150,6 +150,15 @@ def mail_items(spark: SparkSession, d: str) -> DataFrame:
                      .alias("filename"))
 
 
+def mail_requests(spark: SparkSession, d: str) -> DataFrame:
+    """One mail request per conversation: (mail_id, attachments) with the
+    attachment names in turn order (a message carries its own list)."""
+    items = mail_items(spark, d)
+    att = F.array_sort(F.collect_list(F.struct("pos", "filename")))
+    return items.groupBy("mail_id").agg(F.transform(att, lambda x: x["filename"])
+                                        .alias("attachments"))
+
+
 def mail_files(spark: SparkSession, d: str) -> DataFrame:
     """Attachment files present in the file store (base names)."""
     c = _t(spark, d, "conversations")

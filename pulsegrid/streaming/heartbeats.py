@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid import schemas as S
+from pulsegrid.streaming import log
 from pulsegrid.functions.messages import decode_heartbeats, heartbeat_json
 from pulsegrid.operators.heartbeats import latest_status
 from pulsegrid.operators.registry import apply_status
@@ -37,38 +37,17 @@ from pulsegrid.operators.uptime import uptime_aggregates, with_ratio
 def heartbeat_file_source(spark: SparkSession, path: str, max_files_per_trigger: int = 1
                           ) -> DataFrame:
     """Message log stand-in: JSON-lines files of (seq, value)."""
-    return (spark.readStream.schema(S.MESSAGE_LOG)
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .json(path))
+    return log.file_source(spark, path, max_files_per_trigger)
 
 
 def heartbeat_kafka_source(spark: SparkSession, servers: str, topic: str,
                            max_offsets_per_trigger: int = 2000) -> DataFrame:
-    """Kafka topic as (seq, value); needs the spark-sql-kafka package."""
-    raw = (spark.readStream.format("kafka")
-           .option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-           .option("startingOffsets", "latest")
-           .option("maxOffsetsPerTrigger", max_offsets_per_trigger).load())
-    # offsets are per partition; (partition, offset) orders arrival within one
-    seq = F.col("offset") * F.lit(1 << 16) + F.col("partition")
-    return raw.select(seq.alias("seq"), F.col("value").cast("string").alias("value"))
+    return log.kafka_source(spark, servers, topic, max_offsets_per_trigger)
 
 
 def write_message_files(heartbeats: DataFrame, path: str, files: int = 8) -> None:
-    """Publish heartbeats (seq, server_id, status, ts) as message files.
-
-    The file source takes files in modification-time order, so each file
-    (one contiguous seq range) is written by its own job, in seq order: the
-    stream then sees messages in arrival order, as it would from a log.
-    """
-    msgs = heartbeats.select("seq", heartbeat_json().alias("value"))
-    lo, hi = msgs.agg(F.min("seq"), F.max("seq")).first()
-    if lo is None:
-        return
-    width = (hi - lo) // files + 1
-    for b in range(files):
-        part = msgs.where((F.col("seq") >= lo + b * width) & (F.col("seq") < lo + (b + 1) * width))
-        part.coalesce(1).sortWithinPartitions("seq").write.mode("append").json(path)
+    """Publish heartbeats (seq, server_id, status, ts) as worker messages."""
+    log.publish_files(heartbeats.select("seq", heartbeat_json().alias("value")), path, files)
 
 
 # ---------------------------------------------------------------- K1 archive
