@@ -124,16 +124,28 @@ def greedy_merge(candidates: DataFrame, registry: DataFrame | None = None,
             raise RuntimeError(f"greedy_merge: more than {max_rounds} rounds")
         first_id = undecided.groupBy("server_id").agg(F.min("rn").alias("rn"))
         first_name = undecided.groupBy("server_name").agg(F.min("rn").alias("rn"))
-        acc = _freeze(first_id.join(first_name, "rn")
-                      .select("rn", "server_id", "server_name", F.lit(rounds).alias("round")))
-        accepted.append(acc)
-        undecided = _freeze(
-            undecided.join(acc.select("server_id"), "server_id", "left_anti")
-                     .join(acc.select("server_name"), "server_name", "left_anti"))
+        # ``acc`` (at most one row per id) is used three times below: keep it
+        # for the round; if lost it is recomputed from the round's checkpoint.
+        acc = first_id.join(first_name, "rn").persist()
+        # One job per round: label every undecided row as accepted ('a'),
+        # blocked by a key just accepted (dropped) or still undecided ('u').
+        labeled = (undecided
+                   .join(acc.select("rn", F.lit(True).alias("_a")), "rn", "left")
+                   .join(acc.select("server_id", F.lit(True).alias("_i")), "server_id", "left")
+                   .join(acc.select("server_name", F.lit(True).alias("_n")), "server_name", "left")
+                   .select("rn", "server_id", "server_name",
+                           F.when(F.col("_a"), F.lit("a"))
+                            .when(F.col("_i") | F.col("_n"), F.lit("x"))
+                            .otherwise(F.lit("u")).alias("state")))
+        step = _freeze(labeled.where(F.col("state") != "x"))
+        acc.unpersist()
+        accepted.append(step.where(F.col("state") == "a")
+                            .select("rn", F.lit(rounds).alias("round")))
+        undecided = step.where(F.col("state") == "u").drop("state")
     if accepted:
-        acc_keys = accepted[0].select("rn", "round")
+        acc_keys = accepted[0]
         for a in accepted[1:]:
-            acc_keys = acc_keys.unionByName(a.select("rn", "round"))
+            acc_keys = acc_keys.unionByName(a)
     else:
         acc_keys = cand.select("rn", F.lit(None).cast("int").alias("round")).where(F.lit(False))
     return (cand.join(acc_keys, "rn", "left")

@@ -123,6 +123,17 @@ def q_import_merge(spark, d):
         "rn", "server_id", "server_name", "outcome")
 
 
+def q_import_sheet_files(spark, d):
+    """Sheets written as CSV files (one per brand) -> reader -> ordered
+    import against the registry; files are imported in path order."""
+    from pulsegrid.sources.sheets import read_csv_sheets
+    path = shared_dir(spark, "sheets")
+    fx.write_sheet_files(fx.imp_sheet_table(spark, d), path)
+    rows = read_csv_sheets(spark, path)
+    res = imports.import_sheets(rows, fx.servers(spark, d).select("server_id", "server_name"))
+    return res.select(F.col("rn.row_no").alias("row_no"), "server_id", "server_name", "outcome")
+
+
 def q_import_summary(spark, d):
     return imports.import_summary(imports.import_records(fx.imp_simple(spark, d)))
 
@@ -215,6 +226,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "import_rows": q_import_rows,
     "import_ipv4_split": q_import_ipv4_split,
     "import_merge": q_import_merge,
+    "import_sheet_files": q_import_sheet_files,
     "import_summary": q_import_summary,
     "probe_requests": q_probe_requests,
     "classify_probe": q_classify_probe,

@@ -116,7 +116,7 @@ def _greedy(src_sql: str, registry_sql: str | None) -> str:
         c0 = f"""select rn, server_id, server_name from ({src_sql})
         where server_id not in (select server_id from ({registry_sql}))
           and server_name not in (select server_name from ({registry_sql}))"""
-    return f"""with recursive c0 as ({c0}),
+    return f"""c0 as ({c0}),
     r(rn, server_id, server_name, state) as (
       select rn, server_id, server_name, 'u' from c0
       union all
@@ -215,11 +215,23 @@ ORACLE: dict[str, str] = {
         where file_id not in (select file_id from imp_files where ncell < 4)""",
     "import_ipv4_split": _with("imp_simple") + f"""select rn, server_id,
         coalesce(regexp_full_match(ipv4, '{IPV4_RE}'), false) as valid from imp_simple""",
-    "import_merge": _greedy(A["imp_chain"], A["registry_small"]) + f"""
+    "import_merge": "with recursive " + _greedy(A["imp_chain"], A["registry_small"]) + f"""
         select i.rn, i.server_id, i.server_name,
         case when a.rn is not null then 'success' else 'duplicate server id or server name' end as outcome
         from ({A["imp_chain"]}) i left join accepted a on i.rn = a.rn""",
-    "import_summary": _greedy(
+    "import_sheet_files": "with recursive " + ", ".join(
+        f"{n} as ({A[n]})" for n in ("imp_simple", "servers")) + """, sheet as (
+        select i.*, row_number() over (partition by p.p_brand order by i.rn) as row_no,
+               row_number() over (order by p.p_brand, i.rn) as k,
+               coalesce(regexp_full_match(i.ipv4, '""" + IPV4_RE + """'), false) as valid
+        from imp_simple i join part p on p.p_partkey = i.rn), """ + _greedy(
+        "select k as rn, server_id, server_name from sheet where valid",
+        "select server_id, server_name from servers") + """
+        select s.row_no, s.server_id, s.server_name,
+        case when not s.valid then 'invalid ipv4' when a.rn is not null then 'success'
+             else 'duplicate server id or server name' end as outcome
+        from sheet s left join accepted a on s.k = a.rn""",
+    "import_summary": "with recursive " + _greedy(
         f"select * from ({A['imp_simple']}) where regexp_full_match(ipv4, '{IPV4_RE}')", None) + f"""
         select case when a.rn is not null then 'success' else 'failed' end as outcome,
         count(*) as total from ({A["imp_simple"]}) i left join accepted a on i.rn = a.rn

@@ -82,6 +82,23 @@ def imp_simple(spark: SparkSession, d: str) -> DataFrame:
                     F.col("p_name").alias("server_name"), ipv4.alias("ipv4"))
 
 
+def imp_sheet_table(spark: SparkSession, d: str) -> DataFrame:
+    """``imp_simple`` laid out as sheets: one sheet per brand, columns
+    No, ServerID, ServerName, IPv4 (column 0 is ignored on import)."""
+    s = imp_simple(spark, d)
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("rn"), "p_brand")
+    return s.join(p, "rn").select("p_brand", F.col("rn").alias("No"),
+                                  F.col("server_id").alias("ServerID"),
+                                  F.col("server_name").alias("ServerName"),
+                                  F.col("ipv4").alias("IPv4"))
+
+
+def write_sheet_files(sheet_table: DataFrame, path: str) -> None:
+    """One CSV file with a header line per brand folder, rows in ``No`` order."""
+    (sheet_table.repartition("p_brand").sortWithinPartitions("p_brand", "No")
+     .write.mode("overwrite").partitionBy("p_brand").option("header", True).csv(path))
+
+
 def imp_chain(spark: SparkSession, d: str) -> DataFrame:
     """Import rows whose id and name groups chain into each other (whole orders)."""
     o = _t(spark, d, "orders")
