@@ -59,3 +59,33 @@ def test_snapshot_versions(spark, sf001):
     cur = snapshots.read_current(spark, root)
     assert cur.count() == reg.count()
     assert cur.where("is_deleted").count() >= reg.where("is_deleted").count()
+
+
+def test_history_layout_clustered_and_day_compaction(spark, sf001):
+    import datetime as dt
+    hb = fx.hb(spark, "/root/testdata/sf0.01")
+    hist = shared_dir(spark, "t-hist")
+    # as on a cluster: many more partitions than days
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "240")
+    try:
+        streams.write_history(hb, hist)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    back = streams.read_archive(spark, hist)
+    assert back.count() == hb.count()
+    # each file covers a narrow band of the servers of its day
+    per_file = (back.withColumn("f", F.input_file_name())
+                    .groupBy("f", "dt").agg(F.countDistinct("server_id").alias("n")))
+    per_day = back.groupBy("dt").agg(F.countDistinct("server_id").alias("n"))
+    assert per_file.agg(F.max("n")).first()[0] * 3 < per_day.agg(F.min("n")).first()[0]
+    # the streamed archive replaces only its own days in the history
+    src = shared_dir(spark, "t-src2")
+    sink, ckpt = shared_dir(spark, "t-sink2"), shared_dir(spark, "t-ckpt2")
+    day = dt.date(2024, 1, 2)
+    streams.write_message_files(hb.where(F.to_date("ts") == day), src, files=1)
+    streams.start_archive(streams.heartbeat_file_source(spark, src), sink, ckpt).awaitTermination()
+    streams.compact_archive_days(spark, sink, hist, [day])
+    again = streams.read_archive(spark, hist)
+    assert again.count() == hb.count()
+    assert again.where(F.col("dt") == day).count() == hb.where(F.to_date("ts") == day).count()
