@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.messages import probe_request_json
 from pulsegrid.functions.predicates import probe_status, report_request_error
 from pulsegrid.functions.timefmt import ts_literal
+from pulsegrid.operators.joins import bounded_broadcast
 
 # Mail text of the report message.
 MAIL_SUBJECT = "Server uptime report"
@@ -98,12 +99,12 @@ def attachment_ready(items: DataFrame, files: DataFrame) -> DataFrame:
 
     A mail is ready when every attachment is found; a mail with no
     attachments (filename NULL after the outer explode) is ready. The file
-    listing is reduced to distinct names first; the left join is an equi
-    join that AQE broadcasts when the listing is small. ``bool_and`` is a
+    listing is reduced to distinct names first and broadcast only behind a
+    checked row bound (``bounded_broadcast``), else shuffle-joined. ``bool_and`` is a
     partial aggregate, so a mail with many attachments is not a hot group.
     """
     names = files.select("filename").distinct().withColumn("_found", F.lit(True))
-    j = items.join(names, "filename", "left")
+    j = items.join(bounded_broadcast(names), "filename", "left")
     ok = F.col("filename").isNull() | F.coalesce(F.col("_found"), F.lit(False))
     return j.groupBy("mail_id").agg(F.bool_and(ok).alias("ready"))
 

@@ -32,6 +32,11 @@ SESSION_DEFAULTS = {
     # partial per-partition top-k before the shuffle for rank <= k filters
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # streaming state (daily windows: servers x open days) off the JVM heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # checkpoint files of rounds no longer referenced are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -56,7 +61,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 # Static settings cannot change on a running session; the rest are runtime
 # SQL settings that every registered query re-applies to whatever session
 # it is given.
-_STATIC = {"spark.ui.enabled"}
+_STATIC = {"spark.ui.enabled", "spark.cleaner.referenceTracking.cleanCheckpoints"}
 
 
 def apply_sql_defaults(spark: SparkSession) -> None:
