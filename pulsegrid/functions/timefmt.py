@@ -50,10 +50,6 @@ def format_time(c) -> Column:
     return F.coalesce(F.date_format(col, EXPORT_TIME_FORMAT), F.lit(ZERO_TIME_TEXT))
 
 
-def zero_time_text() -> Column:
-    return F.lit(ZERO_TIME_TEXT)
-
-
 def to_utc_ntz(c) -> Column:
     """TIMESTAMP (instant) -> TIMESTAMP_NTZ wall clock; the session is UTC."""
     col = F.col(c) if isinstance(c, str) else c

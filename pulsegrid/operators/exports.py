@@ -25,7 +25,7 @@ def export_servers(page: DataFrame, sort_field: str = "created_at", desc: bool =
     key = F.col(sort_field).desc() if desc else F.col(sort_field).asc()
     w = Window.orderBy(key, F.col("server_id").asc())
     return page.select(
-        F.row_number().over(w).alias("order_number"), "server_id", "server_name", "ipv4",
+        F.row_number().over(w).cast("long").alias("order_number"), "server_id", "server_name", "ipv4",
         "status", format_time("created_at").alias("created_at"),
         format_time("metadata_updated_at").alias("metadata_updated_at"),
         format_time("last_ping_at").alias("last_ping_at"))
@@ -35,7 +35,7 @@ def export_report(report: DataFrame) -> DataFrame:
     """An uptime report (already capped) -> export rows."""
     w = Window.orderBy(F.desc("doc_count"), F.asc("server_id"))
     return report.select(
-        F.row_number().over(w).alias("order_number"), "server_id", "uptime_ratio",
+        F.row_number().over(w).cast("long").alias("order_number"), "server_id", "uptime_ratio",
         format_time("start_ping_at").alias("start_ping_at"),
         format_time("last_ping_at").alias("last_ping_at"),
         F.col("doc_count").alias("total_checks"))

@@ -70,12 +70,6 @@ def apply_sql_defaults(spark: SparkSession) -> None:
             spark.conf.set(k, v)
 
 
-def use_utc(spark: SparkSession) -> None:
-    """Pin the session time zone; conversions between TIMESTAMP and
-    TIMESTAMP_NTZ are then UTC wall clock on every executor."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
