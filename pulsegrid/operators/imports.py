@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid import schemas as S
 from pulsegrid.functions.predicates import ipv4_ok
+from pulsegrid.operators.joins import restrict_to_keys
 from pulsegrid.session import checkpoint_root
 
 ACCEPTED = "success"
@@ -109,9 +110,12 @@ def greedy_merge(candidates: DataFrame, registry: DataFrame | None = None,
     cand = candidates.select("rn", "server_id", "server_name")
     undecided = cand
     if registry is not None:
-        undecided = (undecided
-                     .join(registry.select("server_id").distinct(), "server_id", "left_anti")
-                     .join(registry.select("server_name").distinct(), "server_name", "left_anti"))
+        # only registry keys that some candidate uses matter (the registry is
+        # scanned once against the broadcast candidate keys, not shuffled)
+        held_ids = restrict_to_keys(registry.select("server_id"), cand, "server_id")
+        held_names = restrict_to_keys(registry.select("server_name"), cand, "server_name")
+        undecided = (undecided.join(held_ids, "server_id", "left_anti")
+                              .join(held_names, "server_name", "left_anti"))
     # Pre-reduce identical (id, name) pairs to their first row: a later copy
     # always loses to the earlier one (or for the same reason).
     undecided = _freeze(undecided.groupBy("server_id", "server_name")

@@ -21,3 +21,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def restrict_to_keys(big: DataFrame, small: DataFrame, key: str,
+                     max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Rows of ``big`` whose ``key`` occurs in ``small``.
+
+    For a small request batch against a large table: the batch's distinct
+    keys are broadcast behind the row-bound check, so ``big`` is filtered
+    during its scan without being shuffled; later joins then only see the
+    matching rows. A batch above the bound falls back to a shuffle semi join.
+    """
+    keys = small.select(key).where(F.col(key).isNotNull()).distinct()
+    return big.join(bounded_broadcast(keys, max_rows), key, "left_semi")

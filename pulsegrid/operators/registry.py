@@ -18,6 +18,7 @@ from pulsegrid.functions.predicates import (
     clamp_page_end, ipv4_ok, page_request_error,
 )
 from pulsegrid.functions.timefmt import ts_literal
+from pulsegrid.operators.joins import restrict_to_keys
 
 DTO_COLUMNS = ["server_id", "server_name", "status", "ipv4", "created_at",
                "metadata_updated_at", "last_ping_at"]
@@ -110,10 +111,11 @@ def patch_servers(servers: DataFrame, patches: DataFrame, as_of=None
     new_ip = F.nullif(F.col("p_ipv4"), F.lit(""))
     p = patches.select("server_id", F.col("server_name").alias("p_name"),
                        F.col("ipv4").alias("p_ipv4"))
-    cur = active(servers).select("server_id", F.col("server_name").alias("c_name"),
-                                 F.col("ipv4").alias("c_ipv4"))
-    holders = servers.select(F.col("server_name").alias("_held_name"),
-                             F.col("server_id").alias("_holder"))
+    cur = restrict_to_keys(active(servers), p, "server_id").select(
+        "server_id", F.col("server_name").alias("c_name"), F.col("ipv4").alias("c_ipv4"))
+    wanted = p.select(new_name.alias("server_name"))
+    holders = restrict_to_keys(servers, wanted, "server_name").select(
+        F.col("server_name").alias("_held_name"), F.col("server_id").alias("_holder"))
     j = (p.join(cur, "server_id", "left")
           .join(holders, new_name == F.col("_held_name"), "left"))
     outcome = (F.when(new_ip.isNotNull() & ~ipv4_ok(new_ip), F.lit(S.ERR_INVALID_IP))
@@ -145,7 +147,8 @@ def soft_delete(servers: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFram
     ``ids`` holds distinct server ids.
     """
     req = ids.select("server_id").distinct()
-    hit = active(servers).select("server_id", F.lit(True).alias("_hit"))
+    hit = restrict_to_keys(active(servers), req, "server_id").select(
+        "server_id", F.lit(True).alias("_hit"))
     outcomes = (req.join(hit, "server_id", "left")
                    .select("server_id",
                            F.when(F.col("_hit"), F.lit("deleted"))
