@@ -15,9 +15,9 @@ Each round accepts at least the smallest undecided row, so it terminates,
 and it is exact: a row that is first in both groups cannot be blocked by
 any earlier undecided row, and every removed row is blocked by an accepted
 row that precedes it. Rounds use group-by minima (partial aggregation, safe
-for a key that holds a third of the rows) and equi anti joins; each round's
-undecided set is checkpointed into the shared checkpoint folder so the plan
-stays flat and a lost executor only recomputes one round.
+for a key that holds a third of the rows) and equi joins; each round is
+written as a table into the shared checkpoint folder and read back, so the
+plan stays flat and a lost executor only recomputes one round.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pulsegrid import schemas as S
 from pulsegrid.functions.predicates import ipv4_ok
 from pulsegrid.operators.joins import restrict_to_keys
-from pulsegrid.session import checkpoint_root
+from pulsegrid.session import shared_dir
 
 ACCEPTED = "success"
 
@@ -93,9 +93,14 @@ def as_server_rows(records: DataFrame, created_at=None) -> DataFrame:
 # ---------------------------------------------------------------- greedy merge
 
 def _freeze(df: DataFrame) -> DataFrame:
-    """Materialise into the shared checkpoint folder and cut lineage."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise a round as a Parquet table in the shared checkpoint folder
+    and read it back: lineage is cut and the next round starts from a plain
+    scan. (A checkpointed Dataset keeps the inferred constraints of the plan
+    it came from; over many rounds of self-joins those grow until planning
+    alone exhausts the driver, so a written table is used instead.)"""
+    path = shared_dir(df.sparkSession, "import-round")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def greedy_merge(candidates: DataFrame, registry: DataFrame | None = None,
@@ -129,7 +134,7 @@ def greedy_merge(candidates: DataFrame, registry: DataFrame | None = None,
         first_id = undecided.groupBy("server_id").agg(F.min("rn").alias("rn"))
         first_name = undecided.groupBy("server_name").agg(F.min("rn").alias("rn"))
         # ``acc`` (at most one row per id) is used three times below: keep it
-        # for the round; if lost it is recomputed from the round's checkpoint.
+        # for the round; if lost it is recomputed from the round's table.
         acc = first_id.join(first_name, "rn").persist()
         # One job per round: label every undecided row as accepted ('a'),
         # blocked by a key just accepted (dropped) or still undecided ('u').
