@@ -170,7 +170,7 @@ def import_records(records: DataFrame, registry: DataFrame | None = None) -> Dat
 
     Invalid IPv4 rows never reach the insert and fail with "invalid ipv4".
     """
-    split = split_ipv4(records).cache()
+    split = _freeze(split_ipv4(records))  # read the sheets once
     valid = split.where("valid")
     merged = greedy_merge(valid, registry).select("rn", "outcome")
     ok = (split.where("valid").join(merged, "rn", "inner")
