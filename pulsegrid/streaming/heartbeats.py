@@ -52,14 +52,28 @@ def write_message_files(heartbeats: DataFrame, path: str, files: int = 8) -> Non
 
 # ---------------------------------------------------------------- K1 archive
 
-def archive_frame(messages: DataFrame) -> DataFrame:
+def archive_frame(messages: DataFrame, dedup_within: str | None = None) -> DataFrame:
+    """Decoded heartbeats with their day.
+
+    With ``dedup_within`` (e.g. '1 hour') a message redelivered by the log
+    (same ``seq``) is written once, with state bounded by the watermark --
+    but any message arriving later than that delay is then dropped as late.
+    The lossless route is the default (no stream dedup) followed by
+    ``compact_archive_days``, which removes copies exactly: a redelivered
+    message carries the same timestamp, so it lands in the same day."""
     hb = decode_heartbeats(messages)
+    if dedup_within:
+        hb = (hb.withColumn("_et", F.col("ts").cast("timestamp"))
+                .withWatermark("_et", dedup_within)
+                .dropDuplicatesWithinWatermark(["seq"])
+                .drop("_et"))
     return hb.withColumn("dt", F.to_date("ts"))
 
 
 def start_archive(messages: DataFrame, sink: str, checkpoint: str,
-                  available_now: bool = True, processing_time: str = "1 second"):
-    w = (archive_frame(messages).writeStream.format("parquet")
+                  available_now: bool = True, processing_time: str = "1 second",
+                  dedup_within: str | None = None):
+    w = (archive_frame(messages, dedup_within).writeStream.format("parquet")
          .option("path", sink).option("checkpointLocation", checkpoint)
          .partitionBy("dt").outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
@@ -93,10 +107,14 @@ def write_history(heartbeats: DataFrame, path: str, max_records_per_file: int =
     w.parquet(path)
 
 
-def compact_archive_days(spark: SparkSession, archive: str, history: str, days: list) -> None:
+def compact_archive_days(spark: SparkSession, archive: str, history: str, days: list,
+                         dedup: bool = True) -> None:
     """Rewrite the given days of the streamed archive into the clustered
-    history table (only those day partitions are replaced)."""
+    history table (only those day partitions are replaced). Redelivered
+    copies of a message (same ``seq``) are kept once."""
     src = read_archive(spark, archive).where(F.col("dt").isin(list(days)))
+    if dedup:
+        src = src.dropDuplicates(["seq"])
     write_history(src.drop("dt"), history, replace="days")
 
 
