@@ -119,3 +119,26 @@ def test_compaction_removes_redelivered_copies(spark, sf001):
     hist = shared_dir(spark, "t-dup2-hist")
     streams.compact_archive_days(spark, sink, hist, [day])
     assert streams.read_archive(spark, hist).count() == one_day.count()
+
+
+def test_daily_stream_restart_restores_window_state(spark, sf001):
+    """Two runs over one checkpoint (state kept in the state store between
+    them) emit the same closed days as one uninterrupted run."""
+    hb = fx.hb(spark, sf001)
+    mid = hb.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    cols = ["day", "server_id", "start_ping_at", "last_ping_at", "uptime_ratio", "doc_count"]
+
+    src1 = shared_dir(spark, "t-d-src")
+    sink1, ckpt1 = shared_dir(spark, "t-d-sink"), shared_dir(spark, "t-d-ckpt")
+    streams.write_message_files(hb.where(F.col("seq") <= mid), src1, files=2)
+    streams.start_daily(streams.heartbeat_file_source(spark, src1), sink1, ckpt1).awaitTermination()
+    streams.write_message_files(hb.where(F.col("seq") > mid), src1, files=2)
+    streams.start_daily(streams.heartbeat_file_source(spark, src1), sink1, ckpt1).awaitTermination()
+    split_run = sorted(spark.read.parquet(sink1).select(*cols).collect())
+
+    src2 = shared_dir(spark, "t-d-src2")
+    sink2, ckpt2 = shared_dir(spark, "t-d-sink2"), shared_dir(spark, "t-d-ckpt2")
+    streams.write_message_files(hb, src2, files=4)
+    streams.start_daily(streams.heartbeat_file_source(spark, src2), sink2, ckpt2).awaitTermination()
+    one_run = sorted(spark.read.parquet(sink2).select(*cols).collect())
+    assert split_run == one_run and len(one_run) > 0
