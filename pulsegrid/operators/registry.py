@@ -175,11 +175,17 @@ def monitored_set(changelog: DataFrame) -> DataFrame:
     """Replay a changelog of (seq, server_id, op[, payload...]).
 
     The last change per server by ``seq`` wins; a final ``delete`` removes
-    the server. One partial+final ``max_by`` aggregate: no per-key sort.
+    the server. The pass over the whole log is a hash aggregate (``max(seq)``
+    per server and op); the winning op per server is then picked among at
+    most a few rows per server. Payload columns, when present, are joined
+    back on the unique (server_id, seq) of the surviving entries.
+    -> (server_id, seq[, payload...])
     """
-    payload = [c for c in changelog.columns if c not in ("server_id",)]
-    last = F.max_by(F.struct(*[F.col(c) for c in payload]), F.col("seq"))
-    return (changelog.groupBy("server_id").agg(last.alias("_c"))
-                     .where(F.col("_c.op") != "delete")
-                     .select("server_id", *[F.col(f"_c.{c}").alias(c) for c in payload
-                                            if c != "op"]))
+    payload = [c for c in changelog.columns if c not in ("server_id", "seq", "op")]
+    per_op = changelog.groupBy("server_id", "op").agg(F.max("seq").alias("seq"))
+    last = per_op.groupBy("server_id").agg(F.max_by("op", "seq").alias("op"),
+                                           F.max("seq").alias("seq"))
+    live = last.where(F.col("op") != "delete").select("server_id", "seq")
+    if payload:
+        live = live.join(changelog.select("server_id", "seq", *payload), ["server_id", "seq"])
+    return live

@@ -265,3 +265,12 @@ def test_exports_format_zero_time(spark):
     assert rows[0].last_ping_at == "0001-01-01 00:00:00"
     named = exports.with_headers(exports.export_servers(page), exports.SERVER_HEADERS)
     assert named.columns[0] == "Order number" and named.columns[-1] == "LastPingAt"
+
+
+def test_monitored_set_keeps_payload_of_last_put(spark):
+    log = spark.createDataFrame(
+        [(1, "a", "put", "n1"), (2, "a", "put", "n2"), (3, "b", "put", "m1"),
+         (4, "b", "delete", None), (5, "c", "delete", None), (6, "c", "put", "k1")],
+        "seq long, server_id string, op string, server_name string")
+    got = {r.server_id: (r.seq, r.server_name) for r in registry.monitored_set(log).collect()}
+    assert got == {"a": (2, "n2"), "c": (6, "k1")}
