@@ -70,20 +70,34 @@ def apply_sql_defaults(spark: SparkSession) -> None:
             spark.conf.set(k, v)
 
 
+_PRIVATE_ROOT: list[str] = []
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
     Read from the running context first, then from the configuration; only
     when neither is set (local tests) a private folder is created and
-    registered, so later calls agree.
+    registered, so later calls agree. Sessions without a context handle
+    (Spark Connect) read the configuration only.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
+    else:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="pulsegrid-ckpt-")
+        if not _PRIVATE_ROOT:
+            _PRIVATE_ROOT.append(tempfile.mkdtemp(prefix="pulsegrid-ckpt-"))
+        configured = _PRIVATE_ROOT[0]
+    if sc is None:
+        return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 

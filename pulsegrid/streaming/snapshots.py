@@ -21,8 +21,16 @@ from pulsegrid import schemas as S
 
 
 def write_version(registry: DataFrame, root: str, version: int) -> str:
+    """Write ``registry`` as version ``version`` and commit it.
+
+    Rows are range-partitioned and sorted by ``server_id``, so every file
+    and row group covers a narrow id range: a lookup by id is a pushed
+    Parquet filter that skips the rest by min/max statistics.
+    """
     path = f"{root}/v={int(version)}"
-    registry.write.mode("overwrite").parquet(path)
+    n = int(registry.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (registry.repartitionByRange(n, "server_id").sortWithinPartitions("server_id")
+     .write.mode("overwrite").parquet(path))
     spark = registry.sparkSession
     (spark.range(1).select(F.lit(int(version)).cast("long").alias("version"))
      .write.mode("append").parquet(f"{root}/_versions"))
