@@ -120,3 +120,25 @@ def test_status_classes_add_up(spark, statuses):
     on = sum(s == "on" for s in statuses)
     assert r.doc_count == len(statuses)
     assert r.uptime_ratio == (on / checked if checked else 0.0)
+
+
+@SLOW
+@given(events=st.lists(st.tuples(st.integers(0, 12), st.integers(0, 2)), min_size=1,
+                       max_size=60),
+       cap=st.integers(1, 5), splits=st.integers(1, 4))
+def test_per_group_top_k_equals_brute_force(spark, events, cap, splits):
+    from pyspark.sql import functions as F
+    rows = [(i, f"s{srv:02d}", "on", T0 + dt.timedelta(days=day, minutes=i))
+            for i, (srv, day) in enumerate(events)]
+    df = spark.createDataFrame(rows, "seq long, server_id string, status string, ts timestamp_ntz")
+    counts = {}
+    for _, sid, _, ts in rows:
+        counts[(ts.date(), sid)] = counts.get((ts.date(), sid), 0) + 1
+    agg = df.groupBy(F.to_date("ts").alias("day"), "server_id").agg(F.count("*").alias("n"))
+    got = uptime.top_k_per_group(agg, ["day"], [F.desc("n"), F.asc("server_id")], cap,
+                                 split_key="server_id", splits=splits)
+    want = []
+    for day in {d for d, _ in counts}:
+        ranked = sorted((-n, s) for (d, s), n in counts.items() if d == day)[:cap]
+        want += [(day, s, -n) for n, s in ranked]
+    assert sorted((r.day, r.server_id, r.n) for r in got.collect()) == sorted(want)
