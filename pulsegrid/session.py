@@ -6,10 +6,10 @@ Every job in this package assumes:
   tables hold TIMESTAMP_NTZ wall-clock values in UTC, streams use TIMESTAMP;
 * adaptive query execution is on, so shuffle partition counts, join strategy
   and skewed partitions are re-planned from runtime statistics;
-* lineage is cut with reliable ``checkpoint()`` into the folder the cluster
-  names in ``spark.checkpoint.dir`` (never a machine-local folder on a
-  cluster; a private temporary folder is created only when the setting is
-  absent, i.e. in local tests).
+* lineage is cut with tables written into the folder the cluster names in
+  ``spark.checkpoint.dir`` and read back (never ``localCheckpoint``, never a
+  machine-local folder on a cluster; a private temporary folder is created
+  only when the setting is absent, i.e. in local tests).
 """
 
 from __future__ import annotations
