@@ -54,23 +54,115 @@ def check_page_requests(requests: DataFrame) -> DataFrame:
         err.alias("error"))
 
 
+# Offsets above this use the distributed selection below instead of one
+# TakeOrderedAndProject that would keep offset + width rows in every task.
+DEEP_OFFSET = 100_000
+_SAMPLE_KEYS = 100_000   # sort keys sampled to the driver per narrowing step
+_BAND_ROWS = 200_000     # rows a final band may hold
+
+
 def list_servers(servers: DataFrame, from_row: int, to_row: int,
-                 sort_field: str = "created_at", desc: bool = False) -> DataFrame:
+                 sort_field: str = "created_at", desc: bool = False,
+                 deep_offset: int = DEEP_OFFSET) -> DataFrame:
     """One page of active servers.
 
     Ordered by ``sort_field`` (asc/desc) with ``server_id`` as tie-breaker,
-    so pages are stable and concatenate to the full sort. ``offset+limit``
-    plans as a single TakeOrderedAndProject (each task keeps its first
-    ``to_row`` rows; pages are at most 100 wide).
+    so pages are stable and concatenate to the full sort. Shallow pages
+    (offset <= ``deep_offset``) plan as one TakeOrderedAndProject (each task
+    keeps its first ``to_row`` rows; pages are at most 100 wide); deeper
+    pages use ``_deep_page``.
     """
     lo, hi = validate_page(from_row, to_row, sort_field)
-    key = F.col(sort_field).desc() if desc else F.col(sort_field).asc()
-    page = active(servers).orderBy(key, F.col("server_id").asc())
+    base = active(servers)
+    if lo > deep_offset:
+        return _deep_page(base, lo, hi - lo, sort_field, desc).select(*DTO_COLUMNS)
+    page = base.orderBy(*_order(sort_field, desc))
     if lo:
         page = page.offset(lo)
     return page.limit(hi - lo).select(*DTO_COLUMNS)
 
 
+def _order(field: str, desc: bool):
+    return [F.col(field).desc() if desc else F.col(field).asc(), F.col("server_id").asc()]
+
+
+def _lit_like(value, dtype):
+    from pyspark.sql import types as T
+    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
+        return ts_literal(value, dtype)
+    return F.lit(value)
+
+
+def _before(field: str, key: tuple, desc: bool, dtype) -> F.Column:
+    """Rows strictly before ``key`` = (field value, server_id) in page order."""
+    f, sid = F.col(field), F.col("server_id")
+    v = _lit_like(key[0], dtype)
+    first = (f > v) if desc else (f < v)
+    return first | ((f == v) & (sid < F.lit(key[1])))
+
+
+def _deep_page(base: DataFrame, lo: int, width: int, field: str, desc: bool) -> DataFrame:
+    """Exact page at a deep offset by distributed selection.
+
+    Repeatedly: sample at most ``_SAMPLE_KEYS`` (field, server_id) keys of
+    the current band, choose two sample keys that bracket the wanted
+    positions with a wide margin, and count exactly (one aggregate job) how
+    many rows precede the lower key and how many fall between the keys. If
+    the bracket holds the page, the band narrows to it; otherwise the
+    margin widens. Once the band holds at most ``_BAND_ROWS`` rows, the page
+    is an ordinary ordered offset/limit inside it. The driver only ever
+    holds a sample; no task holds more than a band.
+    """
+    dtype = base.schema[field].dataType
+    stats = base.agg(F.count(F.lit(1)).alias("n"),
+                     F.count_if(F.col(field).isNull()).alias("nulls")).first()
+    if stats["nulls"]:
+        # NULL sort values have no place in the key comparisons below
+        page = base.orderBy(*_order(field, desc)).offset(lo)
+        return page.limit(width)
+    skipped = 0                    # rows before the band
+    band = base                    # rows with key in [k1, k2)
+    n = stats["n"]
+    margin = 4.0
+    steps = 0
+    while n > _BAND_ROWS and lo - skipped < n and steps < 12:
+        steps += 1
+        frac = min(1.0, _SAMPLE_KEYS / n)
+        keys = sorted(((r[0], r[1]) for r in band.select(field, "server_id")
+                       .sample(fraction=frac, seed=lo + n).collect()),
+                      key=lambda k: k[1])
+        keys = sorted(keys, key=lambda k: k[0], reverse=desc)
+        m = len(keys)
+        if m < 2:
+            break
+        scale = m / n
+        want_lo, want_hi = (lo - skipped) * scale, (lo - skipped + width) * scale
+        # rank error of a sample key; no error when the whole band is sampled
+        slack = margin * (m * max(0.0, 1.0 - frac)) ** 0.5 + 1
+        i1 = int(want_lo - slack)
+        i2 = int(want_hi + slack) + 1
+        k1 = keys[i1] if 0 <= i1 < m else None
+        k2 = keys[i2] if 0 <= i2 < m else None
+        if k1 is None and k2 is None:
+            break
+        below = _before(field, k1, desc, dtype) if k1 else F.lit(False)
+        beyond = ~_before(field, k2, desc, dtype) if k2 else F.lit(False)
+        c = band.agg(F.count_if(below).alias("b"),
+                     F.count_if(~below & ~beyond).alias("m")).first()
+        before, inside = c["b"], c["m"]
+        fits_end = k2 is None or lo - skipped + width <= before + inside
+        if before <= lo - skipped and fits_end:
+            band = band.where(~below & ~beyond)
+            skipped += before
+            n = inside
+        else:
+            margin *= 2
+    page = band.orderBy(*_order(field, desc))
+    if lo - skipped:
+        page = page.offset(lo - skipped)
+    return page.limit(width)
+
+
 def apply_status(servers: DataFrame, latest: DataFrame) -> DataFrame:
     """Bulk status update (J1 / D5): ``UPDATE servers FROM latest``.
 

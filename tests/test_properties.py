@@ -142,3 +142,22 @@ def test_per_group_top_k_equals_brute_force(spark, events, cap, splits):
         ranked = sorted((-n, s) for (d, s), n in counts.items() if d == day)[:cap]
         want += [(day, s, -n) for n, s in ranked]
     assert sorted((r.day, r.server_id, r.n) for r in got.collect()) == sorted(want)
+
+
+@SLOW
+@given(n=st.integers(5, 150), lo=st.integers(0, 160), width=st.integers(1, 20),
+       desc=st.booleans(), field=st.sampled_from(["created_at", "server_name"]))
+def test_deep_page_selection_equals_shallow_page(spark, n, lo, width, desc, field):
+    reg = [(f"id{i:03d}", f"name{(i * 7) % 53}", "1.1.1.1", "UNKNOWN",
+            T0 + dt.timedelta(minutes=(i * 5) % 71), None, None, i % 9 == 8) for i in range(n)]
+    servers = spark.createDataFrame(reg, S.SERVERS)
+    saved = registry._SAMPLE_KEYS, registry._BAND_ROWS
+    registry._SAMPLE_KEYS, registry._BAND_ROWS = 60, 10    # force narrowing steps
+    try:
+        deep = [r.server_id for r in registry.list_servers(
+            servers, lo, lo + width, field, desc, deep_offset=-1).collect()]
+    finally:
+        registry._SAMPLE_KEYS, registry._BAND_ROWS = saved
+    shallow = [r.server_id for r in registry.list_servers(
+        servers, lo, lo + width, field, desc).collect()]
+    assert deep == shallow
