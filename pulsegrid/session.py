@@ -14,6 +14,7 @@ Every job in this package assumes:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -65,8 +66,11 @@ _STATIC = {"spark.ui.enabled", "spark.cleaner.referenceTracking.cleanCheckpoints
 
 
 def apply_sql_defaults(spark: SparkSession) -> None:
+    """UTC always; every other setting only where the caller has not set it."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    given = spark._jsparkSession.sessionState().conf()
     for k, v in SESSION_DEFAULTS.items():
-        if k not in _STATIC:
+        if k not in _STATIC and not given.contains(k):
             spark.conf.set(k, v)
 
 
@@ -76,10 +80,12 @@ _PRIVATE_ROOT: list[str] = []
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    Read from the running context first, then from the configuration; only
-    when neither is set (local tests) a private folder is created and
-    registered, so later calls agree. Sessions without a context handle
-    (Spark Connect) read the configuration only.
+    Read from the running context first, then from the configuration. Only a
+    local master, whose executors are the driver itself, may go without the
+    setting: a private folder is then created once. On a cluster a missing
+    ``spark.checkpoint.dir`` is an error, since a folder of the driver's own
+    machine is no place that executors share. Sessions without a context
+    handle (Spark Connect) read the configuration only.
     """
     try:
         sc = spark.sparkContext
@@ -93,6 +99,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     else:
         configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver "
+                               "and all executors share")
         if not _PRIVATE_ROOT:
             _PRIVATE_ROOT.append(tempfile.mkdtemp(prefix="pulsegrid-ckpt-"))
         configured = _PRIVATE_ROOT[0]
@@ -104,7 +114,27 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh, uniquely named folder under the shared checkpoint folder,
-    for stream sources/sinks/checkpoints and written intermediate tables."""
-    root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
+    for stream sources/sinks/checkpoints and written intermediate tables.
+    It is removed when the application ends, or earlier by ``drop_dir``."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    fs, target = _file_system(spark, path)
+    if fs is not None:
+        fs.deleteOnExit(target)
+    return path
 
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Remove a ``shared_dir`` folder whose content nothing reads any more."""
+    fs, target = _file_system(spark, path)
+    if fs is not None:
+        fs.delete(target, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop file system and path object of ``path`` (None on Spark Connect)."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return None, None
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()), target
