@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.decontaminate import find_contamination, hit_words
+from pulsegrid.llm.sharding import shard_by_bytes, text_crc32, text_size
 from pulsegrid.llm.simhash import simhash_groups
 from pulsegrid.session import apply_sql_defaults
 
@@ -15,6 +17,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts are neighbours in the global order, so that at most the
+    seven groups at the cuts are in two shards."""
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", text_size().alias("size"), text_crc32().alias("text_crc32"),
+        F.xxhash64("text").alias("text_hash"))
+    return shard_by_bytes(docs, 8, "size", ["text_hash", "text_crc32", "doc_id"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash_groups(docs, shingle=3, max_distance=2).select(
@@ -22,8 +35,20 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "component_id")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contamination(docs, _table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "n_words", hit_words(F.col("hit_spans")).alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
+        (F.size("hit_spans") > 0).alias("contaminated"), "hit_spans")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_sharding, op5_simhash_near_dedup,
+                                    op9_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
