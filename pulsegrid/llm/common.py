@@ -88,6 +88,6 @@ def forget(df: DataFrame) -> None:
     drop_dir(df.sparkSession, df.stored_path)
 
 
-def crc_bucket(column: str, n: int) -> F.Column:
+def crc_bucket(number: F.Column, n: int) -> F.Column:
     """crc32 of the decimal text of a number, modulo ``n``."""
-    return F.crc32(F.encode(F.col(column).cast("string"), "UTF-8")) % n
+    return F.crc32(F.encode(number.cast("string"), "UTF-8")) % n

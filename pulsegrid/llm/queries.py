@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.llm import toxicity
+from pulsegrid.llm.common import crc_bucket
 from pulsegrid.llm.decontaminate import find_contamination, hit_words
 from pulsegrid.llm.sharding import shard_by_bytes, text_crc32, text_size
 from pulsegrid.llm.simhash import simhash_groups
@@ -46,9 +48,18 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         (F.size("hit_spans") > 0).alias("contaminated"), "hit_spans")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"),
+                         train=lambda c: crc_bucket(c, 5) != 0)
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_sharding, op5_simhash_near_dedup,
-                                    op9_benchmark_decontamination)}
+                                    op9_benchmark_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
