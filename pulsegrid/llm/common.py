@@ -77,7 +77,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read back:
     computed once, read by any executor, and free of the lineage above it."""
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path  # for forget()
     return out

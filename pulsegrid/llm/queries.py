@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm import toxicity
 from pulsegrid.llm.common import crc_bucket
 from pulsegrid.llm.decontaminate import find_contamination, hit_words
+from pulsegrid.llm.line_dedup import remove_repeated_chunks
 from pulsegrid.llm.sharding import shard_by_bytes, text_crc32, text_size
 from pulsegrid.llm.simhash import simhash_groups
 from pulsegrid.session import apply_sql_defaults
@@ -30,6 +31,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_chunks(docs)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash_groups(docs, shingle=3, max_distance=2).select(
@@ -58,7 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op5_simhash_near_dedup,
+    return {f.__name__: f for f in (op1_sharding, op4_line_dedup, op5_simhash_near_dedup,
                                     op9_benchmark_decontamination, op10_toxicity)}
 
 
