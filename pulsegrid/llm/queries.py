@@ -3,10 +3,11 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import toxicity
+from pulsegrid.llm import bpe, toxicity
 from pulsegrid.llm.common import crc_bucket
 from pulsegrid.llm.decontaminate import find_contamination, hit_words
 from pulsegrid.llm.line_dedup import remove_repeated_chunks
@@ -43,6 +44,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "component_id")
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(docs, VOCABULARY, ["doc_id"])
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -65,6 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_sharding, op4_line_dedup, op5_simhash_near_dedup,
+                                    op7_bpe_encoding_and_decoding,
                                     op9_benchmark_decontamination, op10_toxicity)}
 
 
