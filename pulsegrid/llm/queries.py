@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, toxicity
+from pulsegrid.llm import bpe, hmm, toxicity
 from pulsegrid.llm.common import crc_bucket
 from pulsegrid.llm.decontaminate import find_contamination, hit_words
 from pulsegrid.llm.line_dedup import remove_repeated_chunks
@@ -32,6 +32,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_bucket(F.col("doc_id"), 10) == 0
+    scored = hmm.score(docs, ~held_out)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"),
+                         "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated_chunks(docs)
@@ -73,7 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op4_line_dedup, op5_simhash_near_dedup,
+    return {f.__name__: f for f in (op1_sharding, op3_lm_scoring, op4_line_dedup, op5_simhash_near_dedup,
                                     op7_bpe_encoding_and_decoding,
                                     op9_benchmark_decontamination, op10_toxicity)}
 
