@@ -11,6 +11,7 @@ from pulsegrid.llm import bpe, hmm, toxicity
 from pulsegrid.llm.common import crc_bucket
 from pulsegrid.llm.decontaminate import find_contamination, hit_words
 from pulsegrid.llm.line_dedup import remove_repeated_chunks
+from pulsegrid.llm.neighbours import nearest
 from pulsegrid.llm.sharding import shard_by_bytes, text_crc32, text_size
 from pulsegrid.llm.simhash import simhash_groups
 from pulsegrid.session import apply_sql_defaults
@@ -32,6 +33,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), k=20, is_query=F.col("vec_id") % 20 == 0)
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_bucket(F.col("doc_id"), 10) == 0
@@ -81,7 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op3_lm_scoring, op4_line_dedup, op5_simhash_near_dedup,
+    return {f.__name__: f for f in (op1_sharding, op2_approximate_nearest_neighbours, op3_lm_scoring, op4_line_dedup, op5_simhash_near_dedup,
                                     op7_bpe_encoding_and_decoding,
                                     op9_benchmark_decontamination, op10_toxicity)}
 
