@@ -14,6 +14,7 @@ from pulsegrid.llm.line_dedup import remove_repeated_chunks
 from pulsegrid.llm.neighbours import nearest
 from pulsegrid.llm.sharding import shard_by_bytes, text_crc32, text_size
 from pulsegrid.llm.simhash import simhash_groups
+from pulsegrid.llm.style_tree import extract_main_text
 from pulsegrid.session import apply_sql_defaults
 
 
@@ -65,6 +66,12 @@ def op7_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame
     return bpe.digests(docs, VOCABULARY, ["doc_id"])
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -87,7 +94,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_sharding, op2_approximate_nearest_neighbours, op3_lm_scoring, op4_line_dedup, op5_simhash_near_dedup,
-                                    op7_bpe_encoding_and_decoding,
+                                    op7_bpe_encoding_and_decoding, op8_html_extraction,
                                     op9_benchmark_decontamination, op10_toxicity)}
 
 
