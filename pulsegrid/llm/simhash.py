@@ -59,13 +59,12 @@ def _ball(value: F.Column, radius: int) -> F.Column:
     while the others stay; a wider ball flips on from there.
     """
     width = 64 // SEGMENTS
+    bits = [_signed(1 << (s * width + b)) for s in range(SEGMENTS) for b in range(width)]
+    masks = F.array(*[F.lit(m) for m in [0, *bits]])
     ball = F.array(value)
     for _ in range(radius):
-        flipped = F.concat(ball, *[
-            F.transform(ball, lambda v, m=m: v.bitwiseXOR(F.lit(m)))
-            for s in range(SEGMENTS)
-            for m in (_signed(1 << (s * width + b)) for b in range(width))])
-        ball = F.array_distinct(flipped)
+        ball = F.array_distinct(F.flatten(F.transform(
+            ball, lambda v: F.transform(masks, lambda m: v.bitwiseXOR(m)))))
     return ball
 
 
