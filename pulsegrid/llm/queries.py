@@ -12,6 +12,7 @@ from pulsegrid.llm.common import crc_bucket
 from pulsegrid.llm.decontaminate import find_contamination, hit_words
 from pulsegrid.llm.line_dedup import remove_repeated_chunks
 from pulsegrid.llm.neighbours import nearest
+from pulsegrid.llm.private_data import KINDS, find_private_data, span_text
 from pulsegrid.llm.sharding import shard_by_bytes, text_crc32, text_size
 from pulsegrid.llm.simhash import simhash_groups
 from pulsegrid.llm.style_tree import extract_main_text
@@ -58,6 +59,16 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "component_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("private_data", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    return found.select(
+        "doc_id", *[(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}")
+                    for k in KINDS],
+        F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("private_data")).alias("spans"))
+
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -93,7 +104,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_approximate_nearest_neighbours, op3_lm_scoring, op4_line_dedup, op5_simhash_near_dedup,
+    return {f.__name__: f for f in (op1_sharding, op2_approximate_nearest_neighbours, op3_lm_scoring, op4_line_dedup, op5_simhash_near_dedup, op6_pii,
                                     op7_bpe_encoding_and_decoding, op8_html_extraction,
                                     op9_benchmark_decontamination, op10_toxicity)}
 
