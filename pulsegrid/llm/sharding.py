@@ -55,7 +55,8 @@ def shard_by_bytes(df: DataFrame, n_shards: int, size: str, order: list) -> Data
         "sum(bytes) over () as all_bytes")
     weight_of = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
     middle = 2 * (F.col("bytes_before") + F.col(upto)) - weight_of
-    shard = F.least(F.coalesce(F.floor(middle * n_shards / (2 * F.col("all_bytes"))), F.lit(0)),
+    target = F.nullif(2 * F.col("all_bytes"), F.lit(0))
+    shard = F.least(F.coalesce(F.floor(middle * n_shards / target), F.lit(0)),
                     F.lit(n_shards - 1)).cast("int")
     cut = local.join(F.broadcast(before), F.col(part) == F.col("p")).withColumn("shard", shard) \
                .withColumn("slot", F.col("rows_before") + F.col(row))
