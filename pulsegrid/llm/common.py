@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -88,6 +89,13 @@ def forget(df: DataFrame) -> None:
     drop_dir(df.sparkSession, df.stored_path)
 
 
+def release(spark) -> None:
+    """Lets Spark delete the shuffle files of steps whose result is stored:
+    its cleaner removes them once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_bucket(number: F.Column, n: int) -> F.Column:
     """crc32 of the decimal text of a number, modulo ``n``."""
     return F.crc32(F.encode(number.cast("string"), "UTF-8")) % n

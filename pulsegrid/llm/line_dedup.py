@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import forget, fresh, stored
+from pulsegrid.llm.common import forget, fresh, release, stored
 
 CUT_EVERY = 8    # of so many line hashes, all but one end a segment
 MIN_LINES, MIN_WORDS = 2, 16
@@ -72,17 +72,21 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str =
     found = found.join(kept.withColumn("kept", F.lit(True)), ["row", "h", "s"], "left")
     per_row = found.groupBy("row").agg(
         F.collect_list(F.struct("s", "e", "h", F.col("kept").isNull().alias("gone"))).alias(spans))
-    joined = stored(numbered.join(per_row.withColumnRenamed("row", row), row, "left"), "marked")
+    per_row = stored(per_row.withColumnRenamed("row", row), "spans")
     forget(chunks)
+    release(docs.sparkSession)
+    joined = stored(numbered.join(per_row, row, "left"), "marked")
+    release(docs.sparkSession)
 
-    same = F.expr(f"explode({spans}) as c")
-    texts = joined.where(f"{spans} is not null").select(_lines(text).alias("lines"), same).selectExpr(
-        "c.h as h", "array_join(transform(slice(lines, c.s + 1, c.e - c.s), l -> rtrim(l)), '\n') as bytes")
+    # The lines are a column of their own below the generator, made once a row.
+    texts = joined.where(f"{spans} is not null").select(_lines(text).alias("lines"), F.col(spans).alias("spans")) \
+        .selectExpr("inline(transform(spans, c -> struct(c.h as h, array_join(transform("
+                    "slice(lines, c.s + 1, c.e - c.s), l -> rtrim(l)), '\n') as bytes)))")
     unequal = stored(texts.groupBy("h", "bytes").agg(F.lit(1).alias("one"))
                      .groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "unequal")
     if not unequal.isEmpty():  # equal hashes of different bytes: those chunks stay
-        right = (joined.where(f"{spans} is not null").select(row, same)
-                 .select(row, "c.*").join(unequal, "h", "left_anti")
+        right = (joined.where(f"{spans} is not null").select(row, F.inline(spans))
+                 .join(unequal, "h", "left_anti")
                  .groupBy(row).agg(F.collect_list(F.struct("s", "e", "h", "gone")).alias(spans)))
         joined = joined.drop(spans).join(right, row, "left")
 
