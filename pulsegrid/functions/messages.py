@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid import schemas as S
 from pulsegrid.functions.timefmt import rfc3339_text, to_utc_ntz
 
 # Fixed value: RFC3339 shape required of a heartbeat timestamp (date, 'T',
@@ -13,34 +12,67 @@ from pulsegrid.functions.timefmt import rfc3339_text, to_utc_ntz
 RFC3339_SHAPE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})\z"
 
 
+# A member after the value: it is read only if the value before it is one
+# whole JSON value (fixed value; no message holds it).
+_END = "end of message"
+_STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def parsed_json(messages: DataFrame, value_col: str = "value", keep: str = "seq") -> DataFrame:
+    """(keep, m): the messages that are exactly one JSON object, as variants.
+
+    Text after the object, unbalanced brackets and other values than objects
+    are no message; a member given twice is none either. The generator keeps
+    the parse from being inlined into every later reference.
+    """
+    wrapped = F.concat(F.lit('{"m":'), F.col(value_col), F.lit(f',"{_END}":1}}'))
+    parsed = F.from_json(wrapped, f"struct<m variant, `{_END}` int>", _STRICT)
+    rows = messages.select(F.col(keep), F.inline(F.array(F.struct(parsed.alias("p")))))
+    whole = rows.where(F.col(f"p.`{_END}`") == 1).select(keep, F.col("p.m").alias("m"))
+    return whole.where(F.schema_of_variant("m").startswith("OBJECT"))
+
+
+def member_type(path: str, of: str = "m") -> Column:
+    """Type of a member of a variant, e.g. STRING, ARRAY<STRING>; NULL if absent."""
+    return F.schema_of_variant(F.try_variant_get(of, path, "variant"))
+
+
+def text_or_none(path: str, of: str = "m") -> Column:
+    """A member that is a string, null or absent."""
+    return F.coalesce(member_type(path, of).isin("STRING", "VOID"), F.lit(True))
+
+
 def decode_heartbeats(messages: DataFrame, value_col: str = "value",
                       seq_col: str = "seq") -> DataFrame:
     """Message log (seq, value) -> heartbeats (seq, server_id, status, ts).
 
-    A message is dropped when it is not a JSON object, when its timestamp is
-    missing, not RFC3339-shaped or not a real instant. Missing id / status
-    become ''. Fractions beyond microseconds are truncated. ``ts`` is the UTC
-    wall clock as TIMESTAMP_NTZ (use ``event_time`` for streams).
+    A message is dropped when it is not exactly one JSON object, when a field
+    has another type than text, when its timestamp is missing, not
+    RFC3339-shaped or not a real instant. Missing or null id / status become
+    ''. Fractions beyond microseconds are truncated. ``ts`` is the UTC wall
+    clock as TIMESTAMP_NTZ (use ``event_time`` for streams).
+    """
+    m = parsed_json(messages.withColumnRenamed(seq_col, "seq"), value_col)
+    typed = m.where(text_or_none("$.server_id") & text_or_none("$.status") & text_or_none("$.timestamp"))
+    text = [F.try_variant_get("m", f"$.{c}", "string").alias(c) for c in ("server_id", "status", "timestamp")]
+    rows = typed.select("seq", F.inline(F.array(F.struct(*text))))
+    instant = F.regexp_replace("timestamp", r"(\.\d{6})\d+", "$1").try_cast("timestamp")
+    return (rows.where(F.coalesce(F.col("timestamp").rlike(RFC3339_SHAPE), F.lit(False)) & instant.isNotNull())
+            .select("seq", F.coalesce("server_id", F.lit("")).alias("server_id"),
+                    F.coalesce("status", F.lit("")).alias("status"), to_utc_ntz(instant).alias("ts")))
+
+
+def decode_probe_requests(messages: DataFrame, value_col: str = "value") -> DataFrame:
+    """Probe request messages (seq, value) -> (seq, server_id, server_name, ip).
+
+    Same rules as for heartbeats; the fields are ServerID, ServerName, IP.
     """
-    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    m = F.from_json(F.col(value_col), S.HEARTBEAT_WIRE, opts)
-    raw_ts = F.col("m.timestamp")
-    micros = F.regexp_replace(raw_ts, r"(\.\d{6})\d+", "$1")
-    instant = micros.try_cast("timestamp")
-    # Parse once: a projection feeding a filter would be inlined into the
-    # filter, re-running the (interpreted) JSON parser once per reference;
-    # the generator output is a boundary the filter is not pushed through.
-    parsed = messages.select(F.col(seq_col).alias("seq"),
-                             F.inline(F.array(F.struct(m.alias("m")))))
-    return (parsed
-            .where(F.col("m").isNotNull()
-                   & F.col("m._corrupt_record").isNull()
-                   & F.coalesce(raw_ts.rlike(RFC3339_SHAPE), F.lit(False))
-                   & instant.isNotNull())
-            .select("seq",
-                    F.coalesce(F.col("m.server_id"), F.lit("")).alias("server_id"),
-                    F.coalesce(F.col("m.status"), F.lit("")).alias("status"),
-                    to_utc_ntz(instant).alias("ts")))
+    fields = {"server_id": "$.ServerID", "server_name": "$.ServerName", "ip": "$.IP"}
+    m = parsed_json(messages, value_col)
+    for path in fields.values():
+        m = m.where(text_or_none(path))
+    return m.select("seq", *[F.coalesce(F.try_variant_get("m", p, "string"), F.lit("")).alias(c)
+                             for c, p in fields.items()])
 
 
 def heartbeat_json(server_id="server_id", status="status", ts="ts") -> Column:

@@ -12,16 +12,26 @@ from pyspark.sql import functions as F
 from pulsegrid import schemas as S
 
 # IPv4 dotted quad as accepted by Go's ParseIP + To4 -- each
-# octet 0-255 without leading zeros; the IPv4-mapped IPv6 prefix "::ffff:"
-# (any case) is accepted as well.
+# octet 0-255 without leading zeros; IPv4-mapped IPv6 addresses are accepted
+# as well, short or in full, with a dotted quad or two groups at the end.
 IPV4_OCTET = r"25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]"
-IPV4_MAPPED_PREFIX = r"::ffff:"
-IPV4_PATTERN = (
-    rf"^(?:(?i:{IPV4_MAPPED_PREFIX}))?(?:{IPV4_OCTET})(?:\.(?:{IPV4_OCTET})){{3}}\z"
-)
-
-# Fixed value: simplified e-mail address shape (local@domain, no blanks, one @).
-EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\z"
+IPV4_QUAD = rf"(?:{IPV4_OCTET})(?:\.(?:{IPV4_OCTET})){{3}}"
+# Five groups of zero, written out or shortened by one "::", then ffff.
+_ZERO = "0{1,4}"
+IPV4_MAPPED_PREFIX = (rf"(?:(?:{_ZERO}:){{5}}|::(?:{_ZERO}:){{0,4}}|{_ZERO}::(?:{_ZERO}:){{0,3}}"
+                      rf"|(?:{_ZERO}:){{2}}:(?:{_ZERO}:){{0,2}}|(?:{_ZERO}:){{3}}:(?:{_ZERO}:)?"
+                      rf"|(?:{_ZERO}:){{4}}:)[Ff]{{4}}:")
+IPV4_PATTERN = rf"^(?:{IPV4_QUAD}|{IPV4_MAPPED_PREFIX}(?:{IPV4_QUAD}|[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f]{{1,4}}))\z"
+
+# Address grammar as Go's mail.ParseAddress reads it -- words of
+# atom characters joined by single dots on both sides of the @ (or a quoted
+# local part, or a bracketed domain), alone or in <> after an optional name.
+_ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~\u0080-\uFFFF-]+"
+_DOTTED = rf"{_ATOM}(?:\.{_ATOM})*"
+_QUOTED = r'"(?:[^"\\\r\n]|\\.)*"'
+_ADDRESS = rf"(?:{_DOTTED}|{_QUOTED})@(?:{_DOTTED}|\[[^\[\]\\\s]*\])"
+_NAME = rf"(?:(?:{_DOTTED}|{_QUOTED})[ \t]*)*"
+EMAIL_PATTERN = rf"^[ \t]*(?:{_ADDRESS}|{_NAME}<[ \t]*{_ADDRESS}[ \t]*>)[ \t]*\z"
 
 
 def _col(c) -> Column:

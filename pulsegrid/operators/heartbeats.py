@@ -27,7 +27,8 @@ def _time_seq_key(ts: str, seq: str) -> Column:
 
 
 def _seq_of_key(k: Column) -> Column:
-    return ((k % _dec(SEQ_SPAN)) - _dec(SEQ_SHIFT)).cast("long")
+    # pmod: times before 1970 make the key negative
+    return (F.pmod(k, _dec(SEQ_SPAN)) - _dec(SEQ_SHIFT)).cast("long")
 
 
 def latest_status(hb: DataFrame, order_by: str = "time", ts: str = "ts") -> DataFrame:

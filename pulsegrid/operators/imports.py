@@ -22,13 +22,16 @@ plan stays flat and a lost executor only recomputes one round.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid import schemas as S
 from pulsegrid.functions.predicates import ipv4_ok
-from pulsegrid.operators.joins import restrict_to_keys
-from pulsegrid.session import shared_dir
+from pulsegrid.functions.timefmt import ts_literal
+from pulsegrid.operators.ranks import with_positions
+from pulsegrid.session import drop_dir, shared_dir
 
 ACCEPTED = "success"
 
@@ -81,8 +84,8 @@ def split_ipv4(records: DataFrame) -> DataFrame:
 
 def as_server_rows(records: DataFrame, created_at=None) -> DataFrame:
     """Accepted records -> registry rows with the default status."""
-    stamp = (F.lit(created_at).cast("timestamp_ntz") if created_at is not None
-             else F.current_timestamp().cast("timestamp_ntz"))
+    stamp = ts_literal(created_at if created_at is not None
+                       else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
     return records.select(
         "server_id", "server_name", "ipv4", F.lit(S.STATUS_UNKNOWN).alias("status"),
         stamp.alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("metadata_updated_at"),
@@ -100,7 +103,9 @@ def _freeze(df: DataFrame) -> DataFrame:
     alone exhausts the driver, so a written table is used instead.)"""
     path = shared_dir(df.sparkSession, "import-round")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
 
 
 def greedy_merge(candidates: DataFrame, registry: DataFrame | None = None,
@@ -115,48 +120,33 @@ def greedy_merge(candidates: DataFrame, registry: DataFrame | None = None,
     cand = candidates.select("rn", "server_id", "server_name")
     undecided = cand
     if registry is not None:
-        # only registry keys that some candidate uses matter (the registry is
-        # scanned once against the broadcast candidate keys, not shuffled)
-        held_ids = restrict_to_keys(registry.select("server_id"), cand, "server_id")
-        held_names = restrict_to_keys(registry.select("server_name"), cand, "server_name")
-        undecided = (undecided.join(held_ids, "server_id", "left_anti")
-                              .join(held_names, "server_name", "left_anti"))
+        undecided = (undecided.join(registry.select("server_id"), "server_id", "left_anti")
+                              .join(registry.select("server_name"), "server_name", "left_anti"))
     # Pre-reduce identical (id, name) pairs to their first row: a later copy
     # always loses to the earlier one (or for the same reason).
     undecided = _freeze(undecided.groupBy("server_id", "server_name")
                                  .agg(F.min("rn").alias("rn")))
-    accepted = []
-    rounds = 0
+    spark = cand.sparkSession
+    accepted = shared_dir(spark, "import-accepted")  # one table, a round appends to it
+    rounds, round_path = 0, undecided.stored_path
     while not undecided.isEmpty():
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"greedy_merge: more than {max_rounds} rounds")
         first_id = undecided.groupBy("server_id").agg(F.min("rn").alias("rn"))
         first_name = undecided.groupBy("server_name").agg(F.min("rn").alias("rn"))
-        # ``acc`` (at most one row per id) is used three times below: keep it
-        # for the round; if lost it is recomputed from the round's table.
-        acc = first_id.join(first_name, "rn").persist()
-        # One job per round: label every undecided row as accepted ('a'),
-        # blocked by a key just accepted (dropped) or still undecided ('u').
-        labeled = (undecided
-                   .join(acc.select("rn", F.lit(True).alias("_a")), "rn", "left")
-                   .join(acc.select("server_id", F.lit(True).alias("_i")), "server_id", "left")
-                   .join(acc.select("server_name", F.lit(True).alias("_n")), "server_name", "left")
-                   .select("rn", "server_id", "server_name",
-                           F.when(F.col("_a"), F.lit("a"))
-                            .when(F.col("_i") | F.col("_n"), F.lit("x"))
-                            .otherwise(F.lit("u")).alias("state")))
-        step = _freeze(labeled.where(F.col("state") != "x"))
-        acc.unpersist()
-        accepted.append(step.where(F.col("state") == "a")
-                            .select("rn", F.lit(rounds).alias("round")))
-        undecided = step.where(F.col("state") == "u").drop("state")
-    if accepted:
-        acc_keys = accepted[0]
-        for a in accepted[1:]:
-            acc_keys = acc_keys.unionByName(a)
-    else:
-        acc_keys = cand.select("rn", F.lit(None).cast("int").alias("round")).where(F.lit(False))
+        acc = _freeze(first_id.join(first_name, "rn"))
+        acc.select("rn", F.lit(rounds).alias("round")).write.mode("append").parquet(accepted)
+        # rows that share an id or a name with a row just accepted (the row
+        # itself among them) are decided; the others go on
+        step = _freeze(undecided.join(acc.select("server_id"), "server_id", "left_anti")
+                                .join(acc.select("server_name"), "server_name", "left_anti"))
+        drop_dir(spark, acc.stored_path)
+        drop_dir(spark, round_path)
+        undecided, round_path = step, step.stored_path
+    drop_dir(spark, round_path)
+    acc_keys = (spark.read.parquet(accepted) if rounds else
+                cand.select("rn", F.lit(None).cast("int").alias("round")).where(F.lit(False)))
     return (cand.join(acc_keys, "rn", "left")
                 .select("rn", "server_id", "server_name",
                         F.when(F.col("round").isNotNull(), F.lit(ACCEPTED))
@@ -181,36 +171,47 @@ def import_records(records: DataFrame, registry: DataFrame | None = None) -> Dat
     return ok.unionByName(bad)
 
 
+_ROWS = 1 << 32  # rows that one sheet may have
+
+
 def import_sheets(rows: DataFrame, registry: DataFrame | None = None,
                   header_rows: int = 1) -> DataFrame:
     """Sheet rows of one or many files -> per-row import results.
 
-    Files are imported in ``file_id`` order, rows in ``row_no`` order (the
-    insert order key ``rn`` is the struct of both). Rows of rejected files
-    do not appear; see ``rejected_files``.
+    Files are imported in ``file_id`` order, rows in ``row_no`` order: the
+    insert order key ``rn`` is one long, the file's position times 2^32 plus
+    the row, so that minima stay hash aggregates. Rows of rejected files do
+    not appear; see ``rejected_files``. -> the columns of ``import_records``
+    with file_id and row_no.
     """
-    recs = sheet_records(rows, header_rows).withColumn("rn", F.struct("file_id", "row_no"))
-    return import_records(recs.select("rn", "server_id", "server_name", "ipv4"), registry)
+    recs = _freeze(sheet_records(rows, header_rows))
+    files = with_positions(recs.select("file_id").distinct(), [F.col("file_id").asc()], "file_no")
+    keyed = recs.join(files, "file_id").withColumn("rn", F.col("file_no") * _ROWS + F.col("row_no"))
+    done = import_records(keyed.select("rn", "server_id", "server_name", "ipv4"), registry)
+    return done.join(keyed.select("rn", "file_id", "row_no"), "rn")
 
 
-def import_summary(results: DataFrame, with_ids: bool = False) -> DataFrame:
-    """Import result (A9 + U1): counts of successes and failures.
+def import_results(results: DataFrame) -> DataFrame:
+    """The result lists of an import as rows (A9, U1): (class, position, server_id).
 
-    Failures are the insert failures followed by the invalid-IPv4 rows
-    (bag union). With ``with_ids`` the id lists are built too, in the
-    reference's order -- successes by ``rn``; failures: insert failures by
-    ``rn``, then invalid rows by ``rn``. The lists are one array per class,
-    so only use them on sheet-sized imports; the per-row ``results`` table
-    is the scalable output.
+    Successes in ``rn`` order; failures: failed inserts in ``rn`` order, then
+    the rows with an invalid address in ``rn`` order.
     """
+    ok = F.col("outcome") == ACCEPTED
+    cls = F.when(ok, F.lit("success")).otherwise(F.lit("failed"))
+    late = (F.col("outcome") == S.ERR_INVALID_IP).cast("int")
+    keyed = results.select(cls.alias("class"), late.alias("late"), "rn", "server_id")
+    placed = with_positions(keyed, [F.col("class").desc(), F.col("late").asc(), F.col("rn").asc()])
+    first = placed.groupBy("class").agg(F.min("position").alias("first"))  # two rows
+    return placed.join(first, "class").select(
+        "class", (F.col("position") - F.col("first")).alias("position"), "server_id")
+
+
+def import_summary(results: DataFrame) -> DataFrame:
+    """Import result (A9 + U1): counts of successes and failures. The id
+    lists are the rows of ``import_results``."""
     cls = F.when(F.col("outcome") == ACCEPTED, F.lit("success")).otherwise(F.lit("failed"))
-    df = results.withColumn("_class", cls)
-    aggs = [F.count(F.lit(1)).alias("total")]
-    if with_ids:
-        order = F.struct((F.col("outcome") == S.ERR_INVALID_IP).cast("int").alias("k"),
-                         F.col("rn").alias("rn"), F.col("server_id").alias("id"))
-        aggs.append(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["id"]).alias("ids"))
-    return df.groupBy(F.col("_class").alias("outcome")).agg(*aggs)
+    return results.groupBy(cls.alias("outcome")).agg(F.count(F.lit(1)).alias("total"))
 
 
 def create_servers(servers: DataFrame, creates: DataFrame) -> DataFrame:

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.messages import probe_request_json
 from pulsegrid.functions.predicates import probe_status, report_request_error
 from pulsegrid.functions.timefmt import ts_literal
-from pulsegrid.operators.joins import bounded_broadcast
 
 # Mail text of the report message.
 MAIL_SUBJECT = "Server uptime report"
 MAIL_BODY = "Please find the attached report."
 MAIL_FROM = ""
 
+TICK_RUN = 1000  # ticks of a server that one row holds at a time
+
 
 def probe_requests(monitored: DataFrame, start, end, cycle_seconds: int) -> DataFrame:
     """One probe request per monitored server per tick.
@@ -24,10 +25,16 @@ def probe_requests(monitored: DataFrame, start, end, cycle_seconds: int) -> Data
     per-row generator, no join, no shuffle; output grows as servers x ticks.
     -> (tick, server_id, server_name, ip)
     """
-    ticks = F.sequence(ts_literal(start), ts_literal(end),
-                       F.expr(f"make_dt_interval(0, 0, 0, {int(cycle_seconds)})"))
-    return monitored.select(F.explode(ticks).alias("tick"), "server_id", "server_name",
+    # in two steps, so that no row ever holds more than one run of ticks
+    step = f"make_dt_interval(0, 0, 0, {int(cycle_seconds)})"
+    run = f"make_dt_interval(0, 0, 0, {int(cycle_seconds) * TICK_RUN})"
+    starts = F.sequence(ts_literal(start), ts_literal(end), F.expr(run))
+    runs = monitored.select(F.explode(starts).alias("first"), "server_id", "server_name",
                             F.col("ipv4").alias("ip"))
+    last = F.least(F.col("first") + F.expr(f"make_dt_interval(0, 0, 0, {int(cycle_seconds) * (TICK_RUN - 1)})"),
+                   ts_literal(end))
+    return runs.select(F.explode(F.sequence("first", last, F.expr(step))).alias("tick"),
+                       "server_id", "server_name", "ip")
 
 
 def probe_messages(requests: DataFrame) -> DataFrame:
@@ -43,6 +50,16 @@ def classify_probe(results: DataFrame) -> DataFrame:
                           probe_status("error", "packets_recv").alias("status"))
 
 
+def probe_heartbeats(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """The worker's chain: decoded probe requests (seq, server_id, ...) and the
+    probes' results (seq, error, packets_recv, probed_at) -> heartbeats
+    (seq, server_id, status, ts). A request whose probe has not ended
+    has none to report and gives no heartbeat."""
+    j = requests.select("seq", "server_id").join(results.drop("server_id"), "seq")
+    return j.select("seq", "server_id", probe_status("error", "packets_recv").alias("status"),
+                    F.col("probed_at").alias("ts"))
+
+
 def check_report_requests(requests: DataFrame) -> DataFrame:
     """(req_id, from_ts, to_ts, receivers) -> (req_id, error)."""
     return requests.select("req_id",
@@ -98,13 +115,15 @@ def attachment_ready(items: DataFrame, files: DataFrame) -> DataFrame:
     (mail_id, ready) (J5).
 
     A mail is ready when every attachment is found; a mail with no
-    attachments (filename NULL after the outer explode) is ready. The file
-    listing is reduced to distinct names first and broadcast only behind a
-    checked row bound (``bounded_broadcast``), else shuffle-joined. ``bool_and`` is a
-    partial aggregate, so a mail with many attachments is not a hot group.
+    attachments (filename NULL after the outer explode) is ready. Only the
+    names that the mails ask for are looked up; the join strategy is left to
+    the runtime sizes. ``bool_and`` is a partial aggregate, so a mail with
+    many attachments is not a hot group.
     """
-    names = files.select("filename").distinct().withColumn("_found", F.lit(True))
-    j = items.join(bounded_broadcast(names), "filename", "left")
+    asked = items.select("filename").where(F.col("filename").isNotNull()).distinct()
+    names = (asked.join(files.select("filename"), "filename", "left_semi")
+             .withColumn("_found", F.lit(True)))
+    j = items.join(names, "filename", "left")
     ok = F.col("filename").isNull() | F.coalesce(F.col("_found"), F.lit(False))
     return j.groupBy("mail_id").agg(F.bool_and(ok).alias("ready"))
 

@@ -10,6 +10,8 @@ join), so every one is a hash/sort-merge join that AQE can re-plan.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ from pulsegrid.functions.predicates import (
     clamp_page_end, ipv4_ok, page_request_error,
 )
 from pulsegrid.functions.timefmt import ts_literal
-from pulsegrid.operators.joins import restrict_to_keys
+from pulsegrid.operators.ranks import with_positions
+from pulsegrid.session import drop_dir, shared_dir
 
 DTO_COLUMNS = ["server_id", "server_name", "status", "ipv4", "created_at",
                "metadata_updated_at", "last_ping_at"]
@@ -54,113 +57,23 @@ def check_page_requests(requests: DataFrame) -> DataFrame:
         err.alias("error"))
 
 
-# Offsets above this use the distributed selection below instead of one
-# TakeOrderedAndProject that would keep offset + width rows in every task.
-DEEP_OFFSET = 100_000
-_SAMPLE_KEYS = 100_000   # sort keys sampled to the driver per narrowing step
-_BAND_ROWS = 200_000     # rows a final band may hold
-
-
 def list_servers(servers: DataFrame, from_row: int, to_row: int,
-                 sort_field: str = "created_at", desc: bool = False,
-                 deep_offset: int = DEEP_OFFSET) -> DataFrame:
-    """One page of active servers.
+                 sort_field: str = "created_at", desc: bool = False) -> DataFrame:
+    """One page of active servers (O1, O2, P12), at most 100 rows.
 
     Ordered by ``sort_field`` (asc/desc) with ``server_id`` as tie-breaker,
-    so pages are stable and concatenate to the full sort. Shallow pages
-    (offset <= ``deep_offset``) plan as one TakeOrderedAndProject (each task
-    keeps its first ``to_row`` rows; pages are at most 100 wide); deeper
-    pages use ``_deep_page``.
+    so pages are stable and concatenate to the full sort; NULL values come
+    first ascending and last descending. One plan at every offset: the sort
+    keys alone are range-partitioned and numbered (``with_positions``), and
+    the page's keys fetch their rows.
     """
     lo, hi = validate_page(from_row, to_row, sort_field)
     base = active(servers)
-    if lo > deep_offset:
-        return _deep_page(base, lo, hi - lo, sort_field, desc).select(*DTO_COLUMNS)
-    page = base.orderBy(*_order(sort_field, desc))
-    if lo:
-        page = page.offset(lo)
-    return page.limit(hi - lo).select(*DTO_COLUMNS)
-
-
-def _order(field: str, desc: bool):
-    return [F.col(field).desc() if desc else F.col(field).asc(), F.col("server_id").asc()]
-
-
-def _lit_like(value, dtype):
-    from pyspark.sql import types as T
-    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
-        return ts_literal(value, dtype)
-    return F.lit(value)
-
-
-def _before(field: str, key: tuple, desc: bool, dtype) -> F.Column:
-    """Rows strictly before ``key`` = (field value, server_id) in page order."""
-    f, sid = F.col(field), F.col("server_id")
-    v = _lit_like(key[0], dtype)
-    first = (f > v) if desc else (f < v)
-    return first | ((f == v) & (sid < F.lit(key[1])))
-
-
-def _deep_page(base: DataFrame, lo: int, width: int, field: str, desc: bool) -> DataFrame:
-    """Exact page at a deep offset by distributed selection.
-
-    Repeatedly: sample at most ``_SAMPLE_KEYS`` (field, server_id) keys of
-    the current band, choose two sample keys that bracket the wanted
-    positions with a wide margin, and count exactly (one aggregate job) how
-    many rows precede the lower key and how many fall between the keys. If
-    the bracket holds the page, the band narrows to it; otherwise the
-    margin widens. Once the band holds at most ``_BAND_ROWS`` rows, the page
-    is an ordinary ordered offset/limit inside it. The driver only ever
-    holds a sample; no task holds more than a band.
-    """
-    dtype = base.schema[field].dataType
-    stats = base.agg(F.count(F.lit(1)).alias("n"),
-                     F.count_if(F.col(field).isNull()).alias("nulls")).first()
-    if stats["nulls"]:
-        # NULL sort values have no place in the key comparisons below
-        page = base.orderBy(*_order(field, desc)).offset(lo)
-        return page.limit(width)
-    skipped = 0                    # rows before the band
-    band = base                    # rows with key in [k1, k2)
-    n = stats["n"]
-    margin = 4.0
-    steps = 0
-    while n > _BAND_ROWS and lo - skipped < n and steps < 12:
-        steps += 1
-        frac = min(1.0, _SAMPLE_KEYS / n)
-        keys = sorted(((r[0], r[1]) for r in band.select(field, "server_id")
-                       .sample(fraction=frac, seed=lo + n).collect()),
-                      key=lambda k: k[1])
-        keys = sorted(keys, key=lambda k: k[0], reverse=desc)
-        m = len(keys)
-        if m < 2:
-            break
-        scale = m / n
-        want_lo, want_hi = (lo - skipped) * scale, (lo - skipped + width) * scale
-        # rank error of a sample key; no error when the whole band is sampled
-        slack = margin * (m * max(0.0, 1.0 - frac)) ** 0.5 + 1
-        i1 = int(want_lo - slack)
-        i2 = int(want_hi + slack) + 1
-        k1 = keys[i1] if 0 <= i1 < m else None
-        k2 = keys[i2] if 0 <= i2 < m else None
-        if k1 is None and k2 is None:
-            break
-        below = _before(field, k1, desc, dtype) if k1 else F.lit(False)
-        beyond = ~_before(field, k2, desc, dtype) if k2 else F.lit(False)
-        c = band.agg(F.count_if(below).alias("b"),
-                     F.count_if(~below & ~beyond).alias("m")).first()
-        before, inside = c["b"], c["m"]
-        fits_end = k2 is None or lo - skipped + width <= before + inside
-        if before <= lo - skipped and fits_end:
-            band = band.where(~below & ~beyond)
-            skipped += before
-            n = inside
-        else:
-            margin *= 2
-    page = band.orderBy(*_order(field, desc))
-    if lo - skipped:
-        page = page.offset(lo - skipped)
-    return page.limit(width)
+    key = F.col(sort_field).desc() if desc else F.col(sort_field).asc()
+    placed = with_positions(base.select(sort_field, "server_id"), [key, F.col("server_id").asc()])
+    page = placed.where((F.col("position") >= lo) & (F.col("position") < hi)).select("server_id")
+    return (base.join(page, "server_id", "left_semi").orderBy(key, F.col("server_id").asc())
+            .limit(hi - lo).select(*DTO_COLUMNS))
 
 
 def apply_status(servers: DataFrame, latest: DataFrame) -> DataFrame:
@@ -186,69 +99,119 @@ def apply_status(servers: DataFrame, latest: DataFrame) -> DataFrame:
              .select(*servers.columns))
 
 
+def _stamp(as_of) -> F.Column:
+    """One literal, so that all jobs over a result see the same time."""
+    return ts_literal(as_of if as_of is not None
+                      else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def _rename_in_order(names: DataFrame, wants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Renames applied as if one after the other by ``rn``.
+
+    ``names``: (server_id, name), all rows that the wanted names or ids touch;
+    ``wants``: (rn, server_id, want), active servers only. A rename touches
+    its server, the name that this has and the one it wants. It is decided
+    once no earlier undecided rename touches any of the three: then nothing
+    that comes before it can change the answer. It fails if another server
+    holds the wanted name at that time; a name given up is free for later
+    ones. Rounds: at most the longest chain of renames that wait for each
+    other. Returns (rn, ok) and the names after all.
+    """
+    spark = names.sparkSession
+    names, left = _stored(names, "names"), _stored(wants, "renames")
+    done_path, started = shared_dir(spark, "renames-done"), False
+    while not left.isEmpty():
+        now = left.join(names, "server_id").select("rn", "server_id", "want", F.col("name").alias("has"))
+        by_id = left.groupBy("server_id").agg(F.min("rn").alias("rn"))
+        touched = now.select("rn", F.explode(F.array_distinct(F.array("want", "has"))).alias("name"))
+        waits = (touched.join(touched.groupBy("name").agg(F.min("rn").alias("first")), "name")
+                 .where("rn <> first").select("rn").distinct())
+        ready = now.join(by_id, ["server_id", "rn"], "left_semi").join(waits, "rn", "left_anti")
+        held = names.select(F.col("name").alias("want"), F.col("server_id").alias("holder"))
+        decided = _stored(ready.join(held, "want", "left").groupBy("rn", "server_id", "want").agg(
+            F.bool_and(F.col("holder").isNull() | (F.col("holder") == F.col("server_id"))).alias("ok")), "decided")
+        decided.select("rn", "ok").write.mode("append").parquet(done_path)
+        started = True
+        later = _stored(left.join(decided, "rn", "left_anti"), "renames")
+        new = decided.where("ok").select("server_id", F.col("want").alias("new_name"))
+        after = _stored(names.join(new, "server_id", "left")
+                        .select("server_id", F.coalesce("new_name", "name").alias("name")), "names")
+        for old in (decided, left, names):
+            drop_dir(spark, old.stored_path)
+        left, names = later, after
+    done = (spark.read.parquet(done_path) if started
+            else wants.select("rn", F.lit(True).alias("ok")).where(F.lit(False)))
+    return done, names
+
+
 def patch_servers(servers: DataFrame, patches: DataFrame, as_of=None
                   ) -> tuple[DataFrame, DataFrame]:
-    """Patch by id (J3 / D3) -> (new registry, outcomes).
+    """Patches by id (J3 / D3), applied in ``rn`` order -> (registry, outcomes).
 
-    Per request, in the reference's order: a non-empty ipv4 must be valid;
-    the id must name an active server (else not found); a non-empty new name
-    must not be held by another server (deleted rows included). Empty
-    (or NULL) fields mean "no change"; ``metadata_updated_at`` is stamped
-    with ``as_of`` (default: current time). One patch per server per batch.
+    ``patches``: (rn, server_id, server_name, ipv4), rn unique. Per request:
+    a non-empty ipv4 must be valid; the id must name an active server (else
+    not found); a non-empty new name must not be held by another server at
+    that time (deleted rows included). Empty or NULL fields mean "no change";
+    ``metadata_updated_at`` is stamped with ``as_of`` (default: current time).
+    Only renames depend on each other and go through rounds; a server's ipv4
+    is that of its last successful request that has one.
 
-    outcomes: server_id, outcome, server_name, ipv4, metadata_updated_at.
+    outcomes: rn, server_id, outcome, one row for each request.
     """
-    stamp = ts_literal(as_of) if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
-    new_name = F.nullif(F.col("p_name"), F.lit(""))
-    new_ip = F.nullif(F.col("p_ipv4"), F.lit(""))
-    p = patches.select("server_id", F.col("server_name").alias("p_name"),
-                       F.col("ipv4").alias("p_ipv4"))
-    cur = restrict_to_keys(active(servers), p, "server_id").select(
-        "server_id", F.col("server_name").alias("c_name"), F.col("ipv4").alias("c_ipv4"))
-    wanted = p.select(new_name.alias("server_name"))
-    holders = restrict_to_keys(servers, wanted, "server_name").select(
-        F.col("server_name").alias("_held_name"), F.col("server_id").alias("_holder"))
-    j = (p.join(cur, "server_id", "left")
-          .join(holders, new_name == F.col("_held_name"), "left"))
-    outcome = (F.when(new_ip.isNotNull() & ~ipv4_ok(new_ip), F.lit(S.ERR_INVALID_IP))
-                .when(F.col("c_name").isNull(), F.lit(S.ERR_NOT_FOUND))
-                .when(F.col("_holder").isNotNull() & (F.col("_holder") != F.col("server_id")),
-                      F.lit(S.ERR_DUPLICATE))
-                .otherwise(F.lit("updated")))
-    ok = outcome == "updated"
-    outcomes = j.select(
-        "server_id", outcome.alias("outcome"),
-        F.when(ok, F.coalesce(new_name, F.col("c_name"))).alias("server_name"),
-        F.when(ok, F.coalesce(new_ip, F.col("c_ipv4"))).alias("ipv4"),
-        F.when(ok, stamp).alias("metadata_updated_at"))
-    done = outcomes.where(F.col("outcome") == "updated").select(
-        "server_id", F.col("server_name").alias("_n"), F.col("ipv4").alias("_i"),
-        F.col("metadata_updated_at").alias("_m"))
-    registry = (servers.join(done, "server_id", "left")
-                .withColumn("server_name", F.coalesce("_n", "server_name"))
-                .withColumn("ipv4", F.coalesce("_i", "ipv4"))
-                .withColumn("metadata_updated_at", F.coalesce("_m", "metadata_updated_at"))
+    stamp = _stamp(as_of)
+    p = patches.select("rn", "server_id", F.nullif(F.col("server_name"), F.lit("")).alias("want"),
+                       F.nullif(F.col("ipv4"), F.lit("")).alias("new_ip"))
+    found = active(servers).select("server_id", F.lit(True).alias("found"))
+    checked = _stored(p.join(found, "server_id", "left").withColumn(
+        "error", F.when(F.col("new_ip").isNotNull() & ~ipv4_ok("new_ip"), F.lit(S.ERR_INVALID_IP))
+                  .when(F.col("found").isNull(), F.lit(S.ERR_NOT_FOUND))).drop("found"), "patches")
+    wants = checked.where("error is null and want is not null").select("rn", "server_id", "want")
+    touched = (servers.join(wants.select("server_id"), "server_id", "left_semi")
+               .union(servers.join(wants.select(F.col("want").alias("server_name")), "server_name", "left_semi")
+                      .select(*servers.columns)))
+    names = touched.select("server_id", F.col("server_name").alias("name")).distinct()
+    renamed, names = _rename_in_order(names, wants)
+    done = checked.join(renamed, "rn", "left").withColumn(
+        "outcome", F.coalesce("error", F.when(F.col("ok") == False, F.lit(S.ERR_DUPLICATE)),  # noqa: E712
+                              F.lit("updated")))
+    done = _stored(done.select("rn", "server_id", "want", "new_ip", "outcome"), "patched")
+    good = done.where("outcome = 'updated'")
+    last_ip = good.where("new_ip is not null").groupBy("server_id").agg(F.max("rn").alias("rn")) \
+                  .join(good.select("rn", "new_ip"), "rn").select("server_id", "new_ip")
+    changed = (good.select("server_id").distinct().join(last_ip, "server_id", "left")
+               .join(names, "server_id", "left").select("server_id", "new_ip", "name", F.lit(True).alias("hit")))
+    registry = (servers.join(changed, "server_id", "left")
+                .withColumn("server_name", F.coalesce("name", "server_name"))
+                .withColumn("ipv4", F.coalesce("new_ip", "ipv4"))
+                .withColumn("metadata_updated_at", F.when(F.col("hit"), stamp).otherwise(F.col("metadata_updated_at")))
                 .select(*servers.columns))
-    return registry, outcomes
+    return registry, done.select("rn", "server_id", "outcome")
 
 
-def soft_delete(servers: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Soft delete by id (J4 / D4) -> (new registry, outcomes).
+def soft_delete(servers: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Soft deletes by id (J4 / D4), in ``rn`` order -> (registry, outcomes).
 
-    Deleting an unknown or already deleted server is "record not found".
-    ``ids`` holds distinct server ids.
+    ``requests``: (rn, server_id). The first request for an active server
+    deletes it; one for an unknown or deleted server, and every later one for
+    the same server, is "record not found". outcomes: rn, server_id, outcome.
     """
-    req = ids.select("server_id").distinct()
-    hit = restrict_to_keys(active(servers), req, "server_id").select(
-        "server_id", F.lit(True).alias("_hit"))
-    outcomes = (req.join(hit, "server_id", "left")
-                   .select("server_id",
-                           F.when(F.col("_hit"), F.lit("deleted"))
-                            .otherwise(F.lit(S.ERR_NOT_FOUND)).alias("outcome")))
-    gone = outcomes.where(F.col("outcome") == "deleted").select(
-        "server_id", F.lit(True).alias("_gone"))
+    req = requests.select("rn", "server_id")
+    first = req.groupBy("server_id").agg(F.min("rn").alias("rn"))
+    hit = first.join(active(servers).select("server_id"), "server_id", "left_semi")
+    outcomes = (req.join(hit.select("rn", F.lit(True).alias("hit")), "rn", "left")
+                .select("rn", "server_id", F.when(F.col("hit"), F.lit("deleted"))
+                        .otherwise(F.lit(S.ERR_NOT_FOUND)).alias("outcome")))
+    gone = hit.select("server_id", F.lit(True).alias("gone"))
     registry = (servers.join(gone, "server_id", "left")
-                .withColumn("is_deleted", F.col("is_deleted") | F.coalesce("_gone", F.lit(False)))
+                .withColumn("is_deleted", F.col("is_deleted") | F.coalesce("gone", F.lit(False)))
                 .select(*servers.columns))
     return registry, outcomes
 

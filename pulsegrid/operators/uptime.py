@@ -78,7 +78,8 @@ def uptime_report(hb: DataFrame, start, end, cap: int | None = S.REPORT_CAP,
 
 def uptime_all(hb: DataFrame, ts: str = "ts") -> DataFrame:
     """Uptime per server over every row given (no range, no cap)."""
-    agg = with_ratio(hb.groupBy("server_id").agg(*uptime_aggregates(ts)))
+    known = hb.where(F.col("server_id").isNotNull())  # a terms bucket needs a value
+    agg = with_ratio(known.groupBy("server_id").agg(*uptime_aggregates(ts)))
     return agg.select("server_id", "start_ping_at", "last_ping_at", "uptime_ratio", "doc_count")
 
 
@@ -101,6 +102,12 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Colum
     return work.withColumn("_rk", F.row_number().over(w2)).where(F.col("_rk") <= k).drop("_rk")
 
 
+def top_per_day(report: DataFrame, cap: int) -> DataFrame:
+    """The ``cap`` servers of every day with the most documents."""
+    return top_k_per_group(report, ["day"], [F.desc("doc_count"), F.asc("server_id")], cap,
+                           split_key="server_id")
+
+
 def uptime_daily(hb: DataFrame, cap: int | None = S.REPORT_CAP, ts: str = "ts",
                  start=None, end=None) -> DataFrame:
     """Daily uptime report for every UTC day at once (re-aim of the daily
@@ -113,9 +120,9 @@ def uptime_daily(hb: DataFrame, cap: int | None = S.REPORT_CAP, ts: str = "ts",
     if start is not None and end is not None:
         rows = in_range(hb, start, end, ts)
     day = F.to_date(F.col(ts)).alias("day")
+    rows = rows.where(F.col("server_id").isNotNull())
     agg = with_ratio(rows.groupBy(day, "server_id").agg(*uptime_aggregates(ts)))
     if cap:
-        agg = top_k_per_group(agg, ["day"], [F.desc("doc_count"), F.asc("server_id")], cap,
-                              split_key="server_id")
+        agg = top_per_day(agg, cap)
     return agg.select("day", "server_id", "start_ping_at", "last_ping_at", "uptime_ratio",
                       "doc_count")

@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import exports, heartbeats, imports, messages, registry, uptime
 from pulsegrid.session import apply_sql_defaults, shared_dir
+from pulsegrid.functions.messages import (
+    decode_heartbeats, decode_probe_requests, heartbeat_json, parsed_json,
+)
 from pulsegrid.sources import fixtures as fx
+from pulsegrid.sources import sheets
 from pulsegrid.streaming import heartbeats as streams
+from pulsegrid.streaming import log, mail
 
 # Fixed parameters of the registered queries.
 REPORT_FROM = "2024-01-05 00:00:00"
@@ -25,7 +30,6 @@ PROBE_FROM = "2024-01-01 00:00:00"
 PROBE_TO = "2024-01-01 01:00:00"
 PROBE_CYCLE_SECONDS = 60
 PATCH_AS_OF = "2024-02-01 00:00:00"
-WATERMARK = "1 hour"
 
 
 def q_uptime_report(spark: SparkSession, d: str) -> DataFrame:
@@ -69,6 +73,13 @@ def q_list_servers(spark, d):
     return registry.list_servers(fx.servers(spark, d), 20, 120, "created_at", desc=True)
 
 
+def q_list_servers_deep(spark, d):
+    """The last full hundred of the ids that the registry can have."""
+    servers = fx.servers(spark, d)
+    n = registry.count_servers(servers).first()["total"]
+    return registry.list_servers(servers, max(0, n - 130), max(0, n - 130) + 100, "server_name")
+
+
 def q_count_servers(spark, d):
     return registry.count_servers(fx.servers(spark, d))
 
@@ -96,11 +107,21 @@ def q_patch_servers(spark, d):
     return outcomes
 
 
+def q_patch_registry(spark, d):
+    changed, _ = registry.patch_servers(fx.servers(spark, d), fx.patches(spark, d), PATCH_AS_OF)
+    return changed.select("server_id", "server_name", "ipv4", "metadata_updated_at")
+
+
 def q_soft_delete(spark, d):
     _, outcomes = registry.soft_delete(fx.servers(spark, d), fx.patches(spark, d))
     return outcomes
 
 
+def q_delete_registry(spark, d):
+    changed, _ = registry.soft_delete(fx.servers(spark, d), fx.patches(spark, d))
+    return changed.select("server_id", "server_name", "is_deleted")
+
+
 def q_monitored_set(spark, d):
     return registry.monitored_set(fx.changelog(spark, d)).select("server_id", "seq")
 
@@ -124,33 +145,82 @@ def q_import_merge(spark, d):
 
 
 def q_import_sheet_files(spark, d):
-    """Sheets written as CSV files (one per brand) -> reader -> ordered
-    import against the registry; files are imported in path order."""
-    from pulsegrid.sources.sheets import read_csv_sheets
+    """Sheets written as CSV files -> reader -> ordered import against the
+    registry; files are imported in path order."""
     path = shared_dir(spark, "sheets")
     fx.write_sheet_files(fx.imp_sheet_table(spark, d), path)
-    rows = read_csv_sheets(spark, path)
+    rows = sheets.read_csv_sheets(spark, path)
     res = imports.import_sheets(rows, fx.servers(spark, d).select("server_id", "server_name"))
-    return res.select(F.col("rn.row_no").alias("row_no"), "server_id", "server_name", "outcome")
+    return res.select("row_no", "server_id", "server_name", "outcome")
+
+
+def q_sheet_roundtrip(spark, d):
+    """Names with quotes, commas, line breaks and outer blanks, written by the
+    export sink and read by the import reader."""
+    path = shared_dir(spark, "odd-sheets")
+    fx.write_sheet_files(fx.odd_sheet_table(spark, d), path)
+    recs = imports.sheet_records(sheets.read_csv_sheets(spark, path), header_rows=1)
+    file_no = F.regexp_extract("file_id", "file_no=([0-9]+)", 1).cast("long")
+    return recs.select(file_no.alias("file_no"), "row_no", "server_id", "server_name", "ipv4")
 
 
 def q_import_summary(spark, d):
     return imports.import_summary(imports.import_records(fx.imp_simple(spark, d)))
 
 
+def q_import_result_rows(spark, d):
+    return imports.import_results(imports.import_records(fx.imp_simple(spark, d)))
+
+
+def q_import_new_rows(spark, d):
+    res = imports.import_records(fx.imp_simple(spark, d))
+    new = imports.as_server_rows(res.where(F.col("outcome") == imports.ACCEPTED), PATCH_AS_OF)
+    return new.select("server_id", "server_name", "ipv4", "status", "created_at", "is_deleted")
+
+
 def q_probe_requests(spark, d):
     mon = registry.monitored_from_registry(fx.servers(spark, d))
     return messages.probe_requests(mon, PROBE_FROM, PROBE_TO, PROBE_CYCLE_SECONDS)
 
 
+def q_probe_messages(spark, d):
+    mon = registry.monitored_from_registry(fx.servers(spark, d))
+    return messages.probe_messages(messages.probe_requests(mon, PROBE_FROM, PROBE_FROM, PROBE_CYCLE_SECONDS))
+
+
 def q_classify_probe(spark, d):
     return messages.classify_probe(fx.probe_results(spark, d))
 
 
+def q_probe_request_decode(spark, d):
+    return decode_probe_requests(fx.probe_log(spark, d))
+
+
+def q_probe_heartbeats(spark, d):
+    """The worker: messages -> requests -> outcomes -> heartbeats -> messages,
+    read again as the writers read them."""
+    hb = messages.probe_heartbeats(decode_probe_requests(fx.probe_log(spark, d)), fx.probe_results(spark, d))
+    return decode_heartbeats(hb.select("seq", heartbeat_json().alias("value")))
+
+
 def q_mail_outbox(spark, d):
     return messages.outbox_by_receiver(messages.mail_outbox(fx.report_requests(spark, d)))
 
 
+def q_mail_messages(spark, d):
+    """The message text, taken apart again."""
+    m = parsed_json(messages.mail_outbox(fx.report_requests(spark, d)), keep="req_id")
+    get = lambda path, kind="string": F.try_variant_get("m", f"$.Mail.{path}", kind)
+    return m.select("req_id", get("From").alias("sender"), F.array_join(get("To", "array<string>"), "|").alias("receivers"),
+                    get("Subject").alias("subject"), get("Body").alias("body"),
+                    get("Attachments[0].Filename").alias("filename"), get("Attachments[0].Data").alias("data"))
+
+
+def q_attachment_names(spark, d):
+    paths = fx.stored_paths(spark, d)
+    return paths.select("path", messages.base_name("path").alias("filename"))
+
+
 def q_mail_ready(spark, d):
     return messages.attachment_ready(fx.mail_items(spark, d), fx.mail_files(spark, d))
 
@@ -162,44 +232,51 @@ def q_mail_ready(spark, d):
 
 def _publish_hb(spark, d, label):
     src = shared_dir(spark, f"{label}-src")
-    streams.write_message_files(fx.hb(spark, d), src, files=4)
+    streams.write_message_files(fx.hb(spark, d), src)
     return src
 
 
 def q_heartbeat_archive(spark, d):
     src = _publish_hb(spark, d, "archive")
     sink, ckpt = shared_dir(spark, "archive-sink"), shared_dir(spark, "archive-ckpt")
-    q = streams.start_archive(streams.heartbeat_file_source(spark, src, 1), sink, ckpt)
+    q = streams.start_archive(streams.heartbeat_file_source(spark, src), sink, ckpt)
     q.awaitTermination()
     return streams.read_archive(spark, sink)
 
 
 def q_status_stream(spark, d):
     src = _publish_hb(spark, d, "status")
-    log, ckpt = shared_dir(spark, "status-log"), shared_dir(spark, "status-ckpt")
-    q = streams.start_status(streams.heartbeat_file_source(spark, src, 1), log, ckpt)
+    path, ckpt = shared_dir(spark, "status-log"), shared_dir(spark, "status-ckpt")
+    q = streams.start_status(streams.heartbeat_file_source(spark, src), path, ckpt)
     q.awaitTermination()
-    reg = streams.current_status(fx.servers(spark, d), streams.read_status_log(spark, log))
+    reg = streams.current_status(fx.servers(spark, d), streams.read_status_log(spark, path))
     return reg.select("server_id", "status", "last_ping_at", "is_deleted")
 
 
+def q_status_compacted(spark, d):
+    """The registry after two compactions with a stream run before each."""
+    path, ckpt = shared_dir(spark, "status-log"), shared_dir(spark, "status-ckpt")
+    src, snaps = shared_dir(spark, "status-src"), shared_dir(spark, "status-snapshots")
+    for version, half in enumerate((F.col("seq") % 2 == 0, F.col("seq") % 2 == 1)):
+        streams.write_message_files(fx.hb(spark, d).where(half), src)
+        streams.start_status(streams.heartbeat_file_source(spark, src), path, ckpt).awaitTermination()
+        streams.compact_status(spark, fx.servers(spark, d), path, snaps, version)
+    view = streams.status_view(spark, fx.servers(spark, d), path, snaps)
+    return view.select("server_id", "status", "last_ping_at", "is_deleted")
+
+
 def q_uptime_stream(spark, d):
     src = _publish_hb(spark, d, "daily")
-    sink, ckpt = shared_dir(spark, "daily-sink"), shared_dir(spark, "daily-ckpt")
-    q = streams.start_daily(streams.heartbeat_file_source(spark, src, 1), sink, ckpt, WATERMARK)
-    q.awaitTermination()
-    return spark.read.parquet(sink).select("day", "server_id", "start_ping_at", "last_ping_at",
-                                           "uptime_ratio", "doc_count")
+    parts, ckpt = shared_dir(spark, "daily-parts"), shared_dir(spark, "daily-ckpt")
+    streams.start_daily(streams.heartbeat_file_source(spark, src), parts, ckpt).awaitTermination()
+    return streams.read_daily(spark, parts)
 
 
 def q_mail_stream(spark, d):
-    from pulsegrid.streaming import log, mail
     src = shared_dir(spark, "mail-src")
-    reqs = fx.mail_requests(spark, d)
-    log.publish_files(reqs.select(F.col("mail_id").alias("seq"),
-                                  mail.mail_json().alias("value")), src, files=2)
+    log.publish_files(fx.raw_mails(spark, d), src)
     out, ckpt = shared_dir(spark, "mail-out"), shared_dir(spark, "mail-ckpt")
-    q = mail.start_mail_worker(log.file_source(spark, src, 1), fx.mail_files(spark, d), out, ckpt)
+    q = mail.start_mail_worker(log.file_source(spark, src), fx.mail_files(spark, d), out, ckpt)
     q.awaitTermination()
     return mail.read_mail_results(spark, out)
 
@@ -236,6 +313,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "heartbeat_archive": q_heartbeat_archive,
     "status_stream": q_status_stream,
     "uptime_stream": q_uptime_stream,
+    "list_servers_deep": q_list_servers_deep,
+    "patch_registry": q_patch_registry,
+    "delete_registry": q_delete_registry,
+    "sheet_roundtrip": q_sheet_roundtrip,
+    "import_result_rows": q_import_result_rows,
+    "import_new_rows": q_import_new_rows,
+    "probe_messages": q_probe_messages,
+    "probe_request_decode": q_probe_request_decode,
+    "probe_heartbeats": q_probe_heartbeats,
+    "mail_messages": q_mail_messages,
+    "attachment_names": q_attachment_names,
+    "status_compacted": q_status_compacted,
 }
 
 

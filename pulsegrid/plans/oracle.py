@@ -12,7 +12,9 @@ from pulsegrid.plans import catalog as C
 # Fixed value: IPv4 pattern for full-match (same language as the Spark check).
 _OCT = "25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]"
 IPV4_RE = f"(?i:::ffff:)?(?:{_OCT})(?:\\.(?:{_OCT})){{3}}"
-EMAIL_RE = "[^@\\s]+@[^@\\s]+"
+# One address, alone or in <> after a name of plain words.
+_DOTTED = "[A-Za-z0-9_-]+(\\.[A-Za-z0-9_-]+)*"
+EMAIL_RE = f"({_DOTTED}@{_DOTTED}|([A-Za-z]+ )*<{_DOTTED}@{_DOTTED}>)"
 
 A = {
     "hb": """select event_id as seq, cast(user_id as varchar) as server_id,
@@ -30,41 +32,62 @@ A = {
         'UNKNOWN' as status,
         timestamp '2024-01-01 00:00:00' + c_custkey * interval '1' minute as created_at,
         cast(null as timestamp) as metadata_updated_at,
-        cast(null as timestamp) as last_ping_at,
+        case when c_custkey % 6 = 0 then timestamp '2030-01-01 00:00:00'
+             when c_custkey % 3 = 0 then timestamp '2020-01-01 00:00:00' end as last_ping_at,
         c_custkey % 10 = 9 as is_deleted from customer""",
-    "imp_simple": """select p_partkey as rn, concat('s', cast(p_partkey % 500 as varchar)) as server_id,
+    "imp_simple": """select p_partkey as rn, concat('s', cast(p_partkey // 4 as varchar)) as server_id,
         p_name as server_name,
         case when p_partkey % 7 = 3 then '300.1.1.1'
              when p_partkey % 13 = 5 then '01.2.3.4' else '10.0.0.1' end as ipv4 from part""",
-    "imp_chain": """select o_orderkey as rn, concat('s', cast(o_custkey % 300 as varchar)) as server_id,
-        concat('n', cast((o_orderkey * 7) % 411 as varchar)) as server_name from orders""",
-    "imp_files": """select p_brand as file_id, p_partkey as rn,
+    "imp_chain": """select o_orderkey as rn, concat('s', cast(o_custkey as varchar)) as server_id,
+        concat('n', cast(o_orderkey // 12 as varchar)) as server_name from orders""",
+    "imp_files": """select cast(p_partkey // 100 as varchar) as file_id, p_partkey as rn,
         case when p_partkey % 997 = 5 then 2 else 4 end as ncell from part""",
     "changelog": """select o_orderkey as seq, cast(o_custkey as varchar) as server_id,
         case when o_orderstatus = 'F' then 'delete' else 'put' end as op from orders""",
-    "patches": """select cast(c_custkey * 7 as varchar) as server_id,
-        case when c_custkey % 2 = 0 then '' else concat('new-', cast(c_custkey as varchar)) end as server_name,
-        case when c_custkey % 3 = 0 then null else '10.9.9.9' end as ipv4 from customer""",
-    "creates": """select cast(c_custkey * 15 as varchar) as server_id,
-        case when c_custkey % 4 = 0 then c_name else concat('srv-', cast(c_custkey as varchar)) end as server_name,
-        '10.1.1.1' as ipv4, c_custkey as rn from customer""",
-    "registry_small": """select concat('s', cast(n_nationkey as varchar)) as server_id,
-        concat('n', cast(n_nationkey * 3 as varchar)) as server_name from nation""",
+    "patches": """select c_custkey as rn, cast((c_custkey // 3) * 5 as varchar) as server_id,
+        case when c_custkey % 10 = 5 then c_name when c_custkey % 2 = 0 then ''
+             else concat('new-', cast(c_custkey // 4 as varchar)) end as server_name,
+        case when c_custkey % 11 = 4 then '300.1.1.1' when c_custkey % 3 = 0 then null
+             else concat('10.9.9.', cast(c_custkey % 256 as varchar)) end as ipv4 from customer""",
+    "creates": """select cast((c_custkey // 2) * 15 as varchar) as server_id,
+        case when c_custkey % 4 = 0 then c_name else concat('srv-', cast(c_custkey // 3 as varchar)) end as server_name,
+        case when c_custkey % 9 = 2 then '1.2.3' else '10.1.1.1' end as ipv4, c_custkey as rn from customer""",
+    "registry_small": """select concat('s', cast(s_suppkey * 2 as varchar)) as server_id,
+        concat('n', cast(s_suppkey * 3 as varchar)) as server_name from supplier""",
     "mail_items": """select conv_id as mail_id, turn as pos,
-        concat('report-', cast(turn as varchar), '.csv') as filename from conversations""",
-    "mail_files": """select distinct concat('report-', cast(turn as varchar), '.csv') as filename
-        from conversations where turn < 3""",
+        concat('report-', cast(conv_id as varchar), '-', cast(turn as varchar), '.csv') as filename
+        from conversations""",
+    "mail_files": """select distinct concat('report-', cast(conv_id as varchar), '-', cast(turn as varchar), '.csv')
+        as filename from conversations where (conv_id + turn) % 5 <> 0""",
+    "raw_messages": """select event_id as seq, case event_id % 50
+        when 0 then 'not json'
+        when 1 then concat('{"server_id":"', user_id, '","status":"on","timestamp":"yesterday"}')
+        when 2 then concat('{"server_id":"', user_id, '"}')
+        when 3 then concat('{"server_id":"', user_id, '","status":"on","extra":1,"timestamp":"2024-01-01T00:00:00Z"}')
+        when 4 then concat('{"server_id":"', user_id, '","status":"on","timestamp":"2024-01-01T00:00:00Z"}]')
+        when 5 then '{"server_id":{"a":1},"status":"on","timestamp":"2024-01-01T00:00:00Z"}'
+        when 6 then concat('{"server_id":"', user_id, '","status":1,"timestamp":"2024-01-01T00:00:00Z"}')
+        when 7 then concat('{"server_id":"', user_id, '","status":"on","timestamp":"1969-12-31T23:59:58.25Z"}')
+        when 8 then '{"server_id":null,"status":"on","timestamp":"2024-01-01T00:00:00Z"}'
+        else concat('{"server_id":"', user_id, '","status":"', case when event_type = 'error' then 'off' else 'on' end,
+                    '","timestamp":"2024-01-', lpad(cast(1 + event_id % 28 as varchar), 2, '0'), 'T00:00:00Z"}')
+        end as value from events""",
     "probe_results": """select event_id as seq, cast(user_id as varchar) as server_id,
         case when event_type = 'error' then 'timeout' else null end as error,
-        event_id % 3 as packets_recv from events""",
+        event_id % 3 as packets_recv, ts as probed_at from events""",
     "page_requests": """select p_partkey as req_id, cast(p_partkey % 12 - 2 as int) as from_row,
         cast(p_partkey % 12 - 2 + p_partkey * 3 % 150 - 5 as int) as to_row,
         case p_partkey % 4 when 0 then 'created_at' when 1 then 'server_name'
              when 2 then 'status' else 'SERVER_NAME' end as sort_field from part""",
     "report_requests": """select p_partkey as req_id, timestamp '2024-01-05 00:00:00' as from_ts,
         timestamp '2024-01-04 00:00:00' + (p_partkey % 3) * interval '1' day as to_ts,
-        case p_partkey % 5 when 0 then null when 1 then 'no-at-sign'
-             else concat('ops', cast(p_partkey as varchar), '@example.com') end as receiver
+        case p_partkey % 7 when 0 then [] when 1 then ['no-at-sign']
+             when 2 then [concat('ops', p_partkey, '@example.com'), concat('Ops Team <o.', p_partkey, '@x.example.org>')]
+             when 3 then [concat('ops', p_partkey, '@example.com'), 'a..b@c.example']
+             when 4 then [concat('Ops Team <o.', p_partkey, '@x.example.org>'),
+                          concat('ops', p_partkey, '@example.com'), 'last@example.net']
+             else [concat('ops', p_partkey, '@example.com')] end as receivers
         from part""",
 }
 
@@ -140,6 +163,36 @@ def _daily(cap: bool) -> str:
         partition by day order by doc_count desc, server_id) <= 10000"""
 
 
+def _patched() -> str:
+    """The patch requests one after the other: each step holds the whole
+    registry after the step's request, and that request's outcome."""
+    held = "max(s.server_id <> q.server_id and s.server_name = q.want) over ()"
+    found = "max(s.server_id = q.server_id and not s.is_deleted) over ()"
+    outcome = f"""case when q.new_ip is not null and not regexp_full_match(q.new_ip, '{IPV4_RE}')
+          then 'invalid ipv4' when not {found} then 'record not found'
+          when q.want is not null and {held} then 'duplicate server id or server name'
+          else 'updated' end"""
+    mine = "outcome = 'updated' and server_id = target"
+    return "with recursive " + ", ".join(f"{n} as ({A[n]})" for n in ("patches", "servers")) + f""",
+    q as (select rn, server_id, nullif(server_name, '') as want, nullif(ipv4, '') as new_ip,
+          row_number() over (order by rn) as k from patches),
+    s as (
+      select cast(0 as bigint) as step, server_id, server_name, ipv4, metadata_updated_at, is_deleted,
+             cast(null as varchar) as outcome from servers
+      union all
+      select step, server_id, case when {mine} then coalesce(want, server_name) else server_name end,
+        case when {mine} then coalesce(new_ip, ipv4) else ipv4 end,
+        case when {mine} then timestamp '{C.PATCH_AS_OF}' else metadata_updated_at end, is_deleted, outcome
+      from (select q.k as step, s.server_id, s.server_name, s.ipv4, s.metadata_updated_at, s.is_deleted,
+              q.server_id as target, q.want, q.new_ip, {outcome} as outcome
+            from s join q on q.k = s.step + 1) t)"""
+
+
+_VALID_REPORTS = _with("report_requests") + f""", valid as (select * from report_requests
+        where not (from_ts > to_ts) and len(receivers) > 0
+          and len(list_filter(receivers, lambda r: not regexp_full_match(r, '{EMAIL_RE}'))) = 0)
+"""
+
 ORACLE: dict[str, str] = {
     "uptime_report": _with("hb_nulls") + _report("hb_nulls", True),
     "uptime_report_archive": _with("hb_nulls") + _report("hb_nulls", True),
@@ -151,15 +204,28 @@ ORACLE: dict[str, str] = {
         doc_count as total_checks from r""",
     "heartbeat_latest": _with("hb") + ", " + _LATEST + """
         select server_id, status, ts as last_ping_at from latest""",
-    "heartbeat_decode": """select event_id as seq, cast(user_id as varchar) as server_id,
-        case when event_id % 50 = 3 then 'on' when event_type = 'error' then 'off' else 'on' end as status,
-        case when event_id % 50 = 3 then timestamp '2024-01-01 00:00:00'
-             else timestamp '2024-01-01 00:00:00' + (event_id % 28) * interval '1' day end as ts
-        from events where event_id % 50 > 2""",
+    # the text itself is judged: valid JSON, an object, text fields, a time
+    "heartbeat_decode": _with("raw_messages") + """, j as (
+        select seq, value from raw_messages where json_valid(value)),
+        f as (select seq, json_extract_string(value, '$.server_id') as server_id,
+          json_extract_string(value, '$.status') as status,
+          json_extract_string(value, '$.timestamp') as stamp,
+          json_type(value) = 'OBJECT'
+            and coalesce(json_type(value, '$.server_id'), 'NULL') in ('VARCHAR', 'NULL')
+            and coalesce(json_type(value, '$.status'), 'NULL') in ('VARCHAR', 'NULL')
+            and json_type(value, '$.timestamp') = 'VARCHAR' as ok from j)
+        select seq, coalesce(server_id, '') as server_id, coalesce(status, '') as status,
+          try_cast(replace(stamp, 'Z', '') as timestamp) as ts
+        from f where ok and try_cast(replace(stamp, 'Z', '') as timestamp) is not null""",
     "status_upsert": _UPSERT,
     "list_servers": _with("servers") + """select server_id, server_name, status, ipv4, created_at,
         metadata_updated_at, last_ping_at from servers where not is_deleted
         order by created_at desc, server_id limit 100 offset 20""",
+    "list_servers_deep": _with("servers") + """, n as (
+        select *, row_number() over (order by server_name, server_id) - 1 as position,
+               count(*) over () as total from servers where not is_deleted)
+        select server_id, server_name, status, ipv4, created_at, metadata_updated_at, last_ping_at
+        from n where position >= greatest(0, total - 130) and position < greatest(0, total - 130) + 100""",
     "count_servers": _with("servers") + "select count(*) as total from servers where not is_deleted",
     "export_servers": _with("servers") + f""", page as (select * from servers where not is_deleted
         order by server_name, server_id limit 100)
@@ -177,35 +243,30 @@ ORACLE: dict[str, str] = {
              else to_row end as bigint) as to_row, error from c""",
     "report_requests_check": _with("report_requests") + f"""select req_id,
         case when from_ts > to_ts then 'invalid time range'
-             when receiver is null then 'invalid email'
-             when not regexp_full_match(receiver, '{EMAIL_RE}') then 'invalid email' end as error
+             when len(receivers) = 0 then 'invalid email'
+             when len(list_filter(receivers, lambda r: not regexp_full_match(r, '{EMAIL_RE}'))) > 0
+             then 'invalid email' end as error
         from report_requests""",
-    "create_conflicts": _with("creates", "servers") + f"""select c.server_id,
-        case when not coalesce(regexp_full_match(c.ipv4, '{IPV4_RE}'), false) then 'invalid ipv4'
-             when c.server_id in (select server_id from servers)
-               or c.server_name in (select server_name from servers)
-             then 'duplicate server id or server name' else 'created' end as outcome
-        from creates c""",
-    "patch_servers": _with("patches", "servers") + f""", j as (
-        select p.server_id, p.server_name as p_name, nullif(p.ipv4, '') as p_ipv4,
-               a.server_name as c_name, a.ipv4 as c_ipv4, h.server_id as holder
+    "create_conflicts": "with recursive " + ", ".join(f"{n} as ({A[n]})" for n in ("creates", "servers"))
+        + ", " + _greedy(f"select * from creates where regexp_full_match(ipv4, '{IPV4_RE}')",
+                         "select server_id, server_name from servers") + f"""
+        select c.server_id, case when not regexp_full_match(c.ipv4, '{IPV4_RE}') then 'invalid ipv4'
+          when a.rn is not null then 'created' else 'duplicate server id or server name' end as outcome
+        from creates c left join accepted a on c.rn = a.rn""",
+    "patch_servers": _patched() + """
+        select q.rn, q.server_id, s.outcome from q join (select distinct step, outcome from s) s
+        on s.step = q.k""",
+    "patch_registry": _patched() + """
+        select server_id, server_name, ipv4, metadata_updated_at from s
+        where step = (select max(step) from s)""",
+    "soft_delete": _with("patches", "servers") + """select p.rn, p.server_id,
+        case when a.server_id is not null
+              and row_number() over (partition by p.server_id order by p.rn) = 1
+             then 'deleted' else 'record not found' end as outcome
         from patches p
-        left join (select * from servers where not is_deleted) a on p.server_id = a.server_id
-        left join servers h on nullif(p.server_name, '') = h.server_name),
-      o as (select *, case
-          when p_ipv4 is not null and not regexp_full_match(p_ipv4, '{IPV4_RE}') then 'invalid ipv4'
-          when c_name is null then 'record not found'
-          when holder is not null and holder <> server_id then 'duplicate server id or server name'
-          else 'updated' end as outcome from j)
-      select server_id, outcome,
-        case when outcome = 'updated' then coalesce(nullif(p_name, ''), c_name) end as server_name,
-        case when outcome = 'updated' then coalesce(p_ipv4, c_ipv4) end as ipv4,
-        case when outcome = 'updated' then timestamp '{C.PATCH_AS_OF}' end as metadata_updated_at
-      from o""",
-    "soft_delete": _with("patches", "servers") + """select p.server_id,
-        case when a.server_id is not null then 'deleted' else 'record not found' end as outcome
-        from (select distinct server_id from patches) p
         left join (select server_id from servers where not is_deleted) a on p.server_id = a.server_id""",
+    "delete_registry": _with("patches", "servers") + """select server_id, server_name,
+        is_deleted or server_id in (select server_id from patches) as is_deleted from servers""",
     "monitored_set": _with("changelog") + """select server_id, seq from (
         select *, row_number() over (partition by server_id order by seq desc) as rk from changelog)
         where rk = 1 and op <> 'delete'""",
@@ -221,16 +282,34 @@ ORACLE: dict[str, str] = {
         from ({A["imp_chain"]}) i left join accepted a on i.rn = a.rn""",
     "import_sheet_files": "with recursive " + ", ".join(
         f"{n} as ({A[n]})" for n in ("imp_simple", "servers")) + """, sheet as (
-        select i.*, row_number() over (partition by p.p_brand order by i.rn) as row_no,
-               row_number() over (order by p.p_brand, i.rn) as k,
+        select i.*, row_number() over (partition by i.rn // 100 order by i.rn) as row_no,
+               row_number() over (order by cast(i.rn // 100 as varchar), i.rn) as k,
                coalesce(regexp_full_match(i.ipv4, '""" + IPV4_RE + """'), false) as valid
-        from imp_simple i join part p on p.p_partkey = i.rn), """ + _greedy(
+        from imp_simple i), """ + _greedy(
         "select k as rn, server_id, server_name from sheet where valid",
         "select server_id, server_name from servers") + """
         select s.row_no, s.server_id, s.server_name,
         case when not s.valid then 'invalid ipv4' when a.rn is not null then 'success'
              else 'duplicate server id or server name' end as outcome
         from sheet s left join accepted a on s.k = a.rn""",
+    "sheet_roundtrip": _with("imp_simple") + """select rn // 100 as file_no,
+        row_number() over (partition by rn // 100 order by rn) as row_no, server_id,
+        case rn % 6 when 0 then concat('a"b, ', server_name) when 1 then concat('  ', server_name, ' ')
+          when 2 then concat(server_name, chr(10), 'second line') when 3 then concat('"', server_name, '"')
+          when 4 then concat(',', chr(92), server_name) else server_name end as server_name, ipv4
+        from imp_simple""",
+    "import_result_rows": "with recursive " + _greedy(
+        f"select * from ({A['imp_simple']}) where regexp_full_match(ipv4, '{IPV4_RE}')", None) + f""",
+        o as (select i.rn, i.server_id, case when a.rn is not null then 'success' else 'failed' end as class,
+              not regexp_full_match(i.ipv4, '{IPV4_RE}') as late
+              from ({A["imp_simple"]}) i left join accepted a on i.rn = a.rn)
+        select class, row_number() over (partition by class order by late, rn) - 1 as position, server_id
+        from o""",
+    "import_new_rows": "with recursive " + _greedy(
+        f"select * from ({A['imp_simple']}) where regexp_full_match(ipv4, '{IPV4_RE}')", None) + f"""
+        select i.server_id, i.server_name, i.ipv4, 'UNKNOWN' as status,
+        timestamp '{C.PATCH_AS_OF}' as created_at, false as is_deleted
+        from ({A["imp_simple"]}) i join accepted a on i.rn = a.rn""",
     "import_summary": "with recursive " + _greedy(
         f"select * from ({A['imp_simple']}) where regexp_full_match(ipv4, '{IPV4_RE}')", None) + f"""
         select case when a.rn is not null then 'success' else 'failed' end as outcome,
@@ -243,21 +322,34 @@ ORACLE: dict[str, str] = {
     "classify_probe": _with("probe_results") + """select seq, server_id,
         case when error is null and packets_recv > 0 then 'on' else 'off' end as status
         from probe_results""",
-    "mail_outbox": _with("report_requests") + f"""select req_id, receiver,
+    "probe_messages": _with("servers") + f"""select timestamp '{C.PROBE_FROM}' as tick,
+        concat('{{"ServerID":"', server_id, '","ServerName":"', server_name, '","IP":"', ipv4, '"}}') as value
+        from servers where not is_deleted""",
+    "probe_request_decode": """select event_id as seq, cast(user_id as varchar) as server_id,
+        concat('n"', user_id) as server_name, '10.0.0.1' as ip from events where event_id % 20 <> 0""",
+    "probe_heartbeats": _with("probe_results") + """select seq, server_id,
+        case when error is null and packets_recv > 0 then 'on' else 'off' end as status, probed_at as ts
+        from probe_results where seq % 20 <> 0""",
+    "mail_outbox": _VALID_REPORTS + """select req_id, unnest(receivers) as receiver,
         'Server uptime report' as subject, 'Please find the attached report.' as body,
-        concat('report-', cast(req_id as varchar), '.csv') as filename from report_requests
-        where not (from_ts > to_ts) and receiver is not null
-          and regexp_full_match(receiver, '{EMAIL_RE}')""",
+        concat('report-', cast(req_id as varchar), '.csv') as filename from valid""",
+    "mail_messages": _VALID_REPORTS + """select req_id, '' as sender,
+        array_to_string(receivers, '|') as receivers, 'Server uptime report' as subject,
+        'Please find the attached report.' as body,
+        concat('report-', cast(req_id as varchar), '.csv') as filename, '' as data from valid""",
+    "attachment_names": _with("mail_files") + """select concat('/store/2024/', filename) as path, filename
+        from mail_files""",
     "mail_ready": _with("mail_items", "mail_files") + """select i.mail_id,
         bool_and(f.filename is not null) as ready
         from mail_items i left join mail_files f on i.filename = f.filename group by i.mail_id""",
     "mail_stream": _with("mail_items", "mail_files") + """select i.mail_id,
         bool_and(f.filename is not null) as ready
-        from mail_items i left join mail_files f on i.filename = f.filename group by i.mail_id""",
+        from mail_items i left join mail_files f on i.filename = f.filename
+        where i.mail_id % 7 <> 0 group by i.mail_id""",
     "heartbeat_archive": _with("hb") + "select seq, server_id, status, ts, cast(ts as date) as dt from hb",
     "status_stream": _UPSERT,
-    "uptime_stream": _with("hb") + f"""select * from ({_daily(False)})
-        where day + interval '1' day <= (select max(ts) from hb) - interval '{C.WATERMARK}'""",
+    "status_compacted": _UPSERT,
+    "uptime_stream": _with("hb") + _daily(True),
 }
 
 

@@ -130,6 +130,11 @@ def drop_dir(spark: SparkSession, path: str) -> None:
         fs.delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _file_system(spark, path)
+    return fs is not None and fs.exists(target)
+
+
 def _file_system(spark: SparkSession, path: str):
     """Hadoop file system and path object of ``path`` (None on Spark Connect)."""
     try:

@@ -8,13 +8,13 @@ files ``{"seq": <offset>, "value": "<message>"}`` read with the file source.
   partitioned by ``dt`` through the built-in file sink, whose metadata log
   makes each micro-batch exactly-once (a replayed batch is not duplicated).
 * ``start_status``   current status (R2, K2): each micro-batch is reduced to
-  the latest heartbeat per server (``max_by``) and written, idempotently, to
-  ``status_log/batch_id=<n>``. The current view folds the log into the
-  registry (``current_status``); ``compact_status`` writes it as a new
-  registry snapshot version. Per-batch work is proportional to the batch,
+  the latest heartbeat per server and written, idempotently, to
+  ``status_log/batch_id=<n>``. ``compact_status`` folds the log into a new
+  registry snapshot and removes what it folded; ``status_view`` reads the
+  snapshot and the newer batches. Per-batch work is proportional to the batch,
   never to the registry.
-* ``start_daily``    daily uptime (R6): watermark 1 hour on event time,
-  1-day tumbling windows, append mode into a Parquet file sink.
+* ``start_daily``    daily uptime (R6): each micro-batch writes its partial
+  sums per day and server; the report adds them up, late messages included.
 
 Every query checkpoints offsets and state in ``checkpointLocation`` (R4);
 ``trigger(availableNow=True)`` drains what is there and stops (R3).
@@ -25,29 +25,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.streaming import log
+from pulsegrid import schemas as S
+from pulsegrid.session import drop_dir
+from pulsegrid.streaming import log, snapshots
 from pulsegrid.functions.messages import decode_heartbeats, heartbeat_json
 from pulsegrid.operators.heartbeats import latest_status
 from pulsegrid.operators.registry import apply_status
-from pulsegrid.operators.uptime import uptime_aggregates, with_ratio
+from pulsegrid.operators.uptime import top_per_day
 
 
 # ---------------------------------------------------------------- sources
 
-def heartbeat_file_source(spark: SparkSession, path: str, max_files_per_trigger: int = 1
+def heartbeat_file_source(spark: SparkSession, path: str, max_files_per_trigger: int | None = None
                           ) -> DataFrame:
     """Message log stand-in: JSON-lines files of (seq, value)."""
     return log.file_source(spark, path, max_files_per_trigger)
 
 
 def heartbeat_kafka_source(spark: SparkSession, servers: str, topic: str,
-                           max_offsets_per_trigger: int = 2000) -> DataFrame:
+                           max_offsets_per_trigger: int | None = None) -> DataFrame:
     return log.kafka_source(spark, servers, topic, max_offsets_per_trigger)
 
 
-def write_message_files(heartbeats: DataFrame, path: str, files: int = 8) -> None:
+def write_message_files(heartbeats: DataFrame, path: str) -> None:
     """Publish heartbeats (seq, server_id, status, ts) as worker messages."""
-    log.publish_files(heartbeats.select("seq", heartbeat_json().alias("value")), path, files)
+    log.publish_files(heartbeats.select("seq", heartbeat_json().alias("value")), path)
 
 
 # ---------------------------------------------------------------- K1 archive
@@ -97,8 +99,7 @@ def write_history(heartbeats: DataFrame, path: str, max_records_per_file: int =
     streamed archive (arrival order, small files) is compacted day by day.
     """
     out = heartbeats.withColumn("dt", F.to_date("ts"))
-    n = int(heartbeats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    w = (out.repartitionByRange(n, "dt", "server_id", "ts")
+    w = (out.repartitionByRange("dt", "server_id", "ts")
          .sortWithinPartitions("dt", "server_id", "ts")
          .write.mode("overwrite").partitionBy("dt")
          .option("maxRecordsPerFile", max_records_per_file))
@@ -145,8 +146,12 @@ def start_status(messages: DataFrame, log_path: str, checkpoint: str,
     return w.start()
 
 
-def read_status_log(spark: SparkSession, log_path: str) -> DataFrame:
-    return spark.read.parquet(log_path)
+STATUS_LOG = "server_id string, status string, last_ping_at timestamp_ntz, seq long, batch_id long"
+
+
+def read_status_log(spark: SparkSession, log_path: str, after: int = -1) -> DataFrame:
+    """Logged batches with a number above ``after``; none if there are none."""
+    return spark.read.schema(STATUS_LOG).parquet(log_path).where(F.col("batch_id") > after)
 
 
 def current_status(servers: DataFrame, status_log: DataFrame) -> DataFrame:
@@ -157,28 +162,70 @@ def current_status(servers: DataFrame, status_log: DataFrame) -> DataFrame:
     return apply_status(servers, latest_status(hb))
 
 
-def compact_status(servers: DataFrame, status_log: DataFrame, snapshots_root: str,
-                   version: int) -> str:
-    """Write the folded registry as snapshot ``version`` (see snapshots)."""
-    from pulsegrid.streaming.snapshots import write_version
-    return write_version(current_status(servers, status_log), snapshots_root, version)
+def compact_status(spark: SparkSession, servers: DataFrame, log_path: str, snapshots_root: str,
+                   version: int) -> None:
+    """Fold the log into the registry and write it as snapshot ``version``.
+
+    The registry is the current snapshot, or ``servers`` if there is none. The
+    snapshot records the last batch it folds; once it is committed, the folded
+    batches are removed. A stop in between leaves batches that readers skip
+    by their number and the next compaction removes.
+    """
+    done = snapshots.last_batch(spark, snapshots_root)
+    base = servers if done is None else snapshots.read_current(spark, snapshots_root)
+    log_rows = read_status_log(spark, log_path, -1 if done is None else done)
+    last = log_rows.agg(F.max("batch_id")).first()[0]
+    last = (-1 if done is None else done) if last is None else last
+    snapshots.write_version(current_status(base, log_rows), snapshots_root, version, last)
+    for (batch,) in read_status_log(spark, log_path).where(F.col("batch_id") <= last) \
+            .select("batch_id").distinct().collect():
+        drop_dir(spark, f"{log_path}/batch_id={batch}")
+
+
+def status_view(spark: SparkSession, servers: DataFrame, log_path: str, snapshots_root: str) -> DataFrame:
+    """The registry as of now: the snapshot with the newer batches applied."""
+    done = snapshots.last_batch(spark, snapshots_root)
+    base = servers if done is None else snapshots.read_current(spark, snapshots_root)
+    return current_status(base, read_status_log(spark, log_path, -1 if done is None else done))
 
 
 # ---------------------------------------------------------------- R6 daily
 
-def daily_frame(messages: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    hb = decode_heartbeats(messages).withColumn("event_time", F.col("ts").cast("timestamp"))
-    agg = (hb.withWatermark("event_time", watermark)
-             .groupBy(F.window("event_time", "1 day").alias("w"), "server_id")
-             .agg(*uptime_aggregates("ts")))
-    return (with_ratio(agg)
-            .select(F.to_date(F.col("w.start")).alias("day"), "server_id", "start_ping_at",
-                    "last_ping_at", "uptime_ratio", "doc_count"))
+# Sums and extremes of one micro-batch per day and server; they add up.
+DAILY_PART = ("day date, server_id string, n_on long, n_status long, doc_count long, "
+              "start_ping_at timestamp_ntz, last_ping_at timestamp_ntz, batch_id long")
 
 
-def start_daily(messages: DataFrame, sink: str, checkpoint: str, watermark: str = "1 hour",
+def daily_batch_writer(parts_path: str):
+    """foreachBatch function: one row per day and server that the batch has,
+    in a folder of the batch (a replayed batch rewrites the same rows)."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.where(F.col("server_id").isNotNull()).groupBy(F.to_date("ts").alias("day"), "server_id").agg(
+            F.count(F.when(F.col("status") == "on", 1)).alias("n_on"), F.count("status").alias("n_status"),
+            F.count(F.lit(1)).alias("doc_count"), F.min("ts").alias("start_ping_at"),
+            F.max("ts").alias("last_ping_at"))
+        rows.write.mode("overwrite").parquet(f"{parts_path}/batch_id={batch_id}")
+    return write
+
+
+def start_daily(messages: DataFrame, parts_path: str, checkpoint: str,
                 available_now: bool = True, processing_time: str = "1 minute"):
-    w = (daily_frame(messages, watermark).writeStream.format("parquet")
-         .option("path", sink).option("checkpointLocation", checkpoint).outputMode("append"))
+    """Daily uptime stream (R6): every micro-batch adds its partial sums. No
+    message is too late, and the open day can be read like any other."""
+    w = (decode_heartbeats(messages).writeStream.foreachBatch(daily_batch_writer(parts_path))
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
+
+
+def read_daily(spark: SparkSession, parts_path: str, cap: int | None = S.REPORT_CAP) -> DataFrame:
+    """The daily report of all that arrived, with the columns and the cap of
+    ``uptime_daily``."""
+    parts = spark.read.schema(DAILY_PART).parquet(parts_path)
+    total = parts.groupBy("day", "server_id").agg(
+        F.min("start_ping_at").alias("start_ping_at"), F.max("last_ping_at").alias("last_ping_at"),
+        F.sum("n_on").alias("n_on"), F.sum("n_status").alias("n_status"), F.sum("doc_count").alias("doc_count"))
+    ratio = F.coalesce(F.col("n_on") / F.nullif(F.col("n_status"), F.lit(0)), F.lit(0.0))
+    rows = total.select("day", "server_id", "start_ping_at", "last_ping_at",
+                        ratio.alias("uptime_ratio"), "doc_count")
+    return top_per_day(rows, cap) if cap else rows

@@ -13,33 +13,32 @@ from pyspark.sql import functions as F
 from pulsegrid import schemas as S
 
 
-def file_source(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(S.MESSAGE_LOG)
-            .option("maxFilesPerTrigger", max_files_per_trigger).json(path))
-
-
-def publish_files(messages: DataFrame, path: str, files: int = 8) -> None:
-    """Append (seq, value) messages as ``files`` files, one contiguous seq
-    range each, each written by its own job in seq order: the file source
-    takes files in modification-time order, so a stream sees the messages in
-    arrival order, as it would from a log."""
-    lo, hi = messages.agg(F.min("seq"), F.max("seq")).first()
-    if lo is None:
-        return
-    width = (hi - lo) // files + 1
-    for b in range(files):
-        part = messages.where((F.col("seq") >= lo + b * width)
-                              & (F.col("seq") < lo + (b + 1) * width))
-        part.coalesce(1).sortWithinPartitions("seq").write.mode("append").json(path)
+def file_source(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """All new files a trigger, or at most ``max_files_per_trigger``."""
+    r = spark.readStream.schema(S.MESSAGE_LOG)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.json(path)
+
+
+def publish_files(messages: DataFrame, path: str) -> None:
+    """Append (seq, value) messages as JSON lines: one job, all tasks write.
+
+    Files hold ranges of ``seq``; how many there are follows the size of the
+    data. The streams do not rely on the order in which files are read.
+    """
+    messages.repartitionByRange("seq").write.mode("append").json(path)
 
 
 def kafka_source(spark: SparkSession, servers: str, topic: str,
-                 max_offsets_per_trigger: int = 2000) -> DataFrame:
+                 max_offsets_per_trigger: int | None = None) -> DataFrame:
     """Kafka topic as (seq, value); needs the spark-sql-kafka package."""
     raw = (spark.readStream.format("kafka")
            .option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-           .option("startingOffsets", "latest")
-           .option("maxOffsetsPerTrigger", max_offsets_per_trigger).load())
+           .option("startingOffsets", "latest"))
+    if max_offsets_per_trigger:
+        raw = raw.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
+    raw = raw.load()
     # offsets are per partition; (offset, partition) orders arrival within one
     seq = F.col("offset") * F.lit(1 << 16) + F.col("partition")
     return raw.select(seq.alias("seq"), F.col("value").cast("string").alias("value"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid import schemas as S
+from pulsegrid.functions.messages import member_type, parsed_json, text_or_none
 from pulsegrid.operators.messages import mail_ready
 
 
@@ -30,10 +30,24 @@ def mail_json(mail_id: str = "mail_id", attachments: str = "attachments") -> F.C
 
 
 def decode_mail(messages: DataFrame) -> DataFrame:
-    """(seq, value) -> (mail_id, Mail); undecodable messages are dropped."""
-    m = F.from_json("value", S.MAIL_REQUEST, {"mode": "PERMISSIVE"})
-    parsed = messages.select(F.col("seq").alias("mail_id"), F.inline(F.array(F.struct(m.alias("r")))))
-    return parsed.where(F.col("r.Mail").isNotNull()).select("mail_id", F.col("r.Mail").alias("Mail"))
+    """(seq, value) -> (mail_id, Mail) with the attachments' file names.
+
+    A message is dropped when it is not exactly one JSON object or a part has
+    another type than the mail structs; a missing or null part is empty.
+    """
+    m = parsed_json(messages)
+    for path in ("From", "Subject", "Body"):
+        m = m.where(text_or_none(f"$.Mail.{path}"))
+
+    def like(path: str, pattern: str) -> F.Column:
+        return F.coalesce(member_type(path).rlike(pattern), F.lit(True))
+
+    # types of attachments: objects whose Filename and Data are text or null
+    m = m.where(like("$.Mail", r"^(VOID|OBJECT)") & like("$.Mail.To", r"^(VOID|ARRAY<(VOID|STRING)>)$")
+                & like("$.Mail.Attachments", r"^(VOID|ARRAY<(VOID|OBJECT<.*>)>)$")
+                & like("$.Mail.Attachments", r"^(?!.*\b(Filename|Data): (?!STRING|VOID))"))
+    names = F.try_variant_get("m", "$.Mail.Attachments", "array<struct<Filename string>>")
+    return m.select(F.col("seq").alias("mail_id"), F.struct(names.alias("Attachments")).alias("Mail"))
 
 
 def mail_batch_writer(files: DataFrame, out_path: str):

@@ -18,28 +18,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid import schemas as S
+from pulsegrid.session import path_exists
 
 
-def write_version(registry: DataFrame, root: str, version: int) -> str:
-    """Write ``registry`` as version ``version`` and commit it.
+def write_version(registry: DataFrame, root: str, version: int, last_batch: int | None = None) -> str:
+    """Write ``registry`` as version ``version`` and commit it, with the number
+    of the last status batch that it holds.
 
     Rows are range-partitioned and sorted by ``server_id``, so every file
     and row group covers a narrow id range: a lookup by id is a pushed
     Parquet filter that skips the rest by min/max statistics.
     """
     path = f"{root}/v={int(version)}"
-    n = int(registry.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (registry.repartitionByRange(n, "server_id").sortWithinPartitions("server_id")
+    (registry.repartitionByRange("server_id").sortWithinPartitions("server_id")
      .write.mode("overwrite").parquet(path))
     spark = registry.sparkSession
-    (spark.range(1).select(F.lit(int(version)).cast("long").alias("version"))
+    (spark.range(1).select(F.lit(int(version)).cast("long").alias("version"),
+                           F.lit(last_batch).cast("long").alias("last_batch"))
      .write.mode("append").parquet(f"{root}/_versions"))
     return path
 
 
+def _current(spark: SparkSession, root: str):
+    """(version, last_batch) of the newest committed version, or None."""
+    if not path_exists(spark, f"{root}/_versions"):
+        return None
+    rows = spark.read.schema("version long, last_batch long").parquet(f"{root}/_versions")
+    return rows.orderBy(F.desc("version"), F.desc("last_batch")).first()
+
+
 def current_version(spark: SparkSession, root: str) -> int | None:
-    row = spark.read.parquet(f"{root}/_versions").agg(F.max("version").alias("v")).first()
-    return None if row is None or row["v"] is None else int(row["v"])
+    row = _current(spark, root)
+    return None if row is None else row["version"]
+
+
+def last_batch(spark: SparkSession, root: str) -> int | None:
+    """Last status batch in the current version; None without a version."""
+    row = _current(spark, root)
+    return None if row is None else -1 if row["last_batch"] is None else row["last_batch"]
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:

@@ -129,9 +129,10 @@ def test_import_summary_order(spark):
         [(1, "a", "n1", "1.1.1.1"), (2, "b", "n2", "bad"), (3, "a", "n3", "1.1.1.1"),
          (4, "c", "n4", "1.1.1.1")],
         "rn long, server_id string, server_name string, ipv4 string")
-    s = {r.outcome: r for r in imports.import_summary(imports.import_records(recs), True).collect()}
-    assert (s["success"].total, s["success"].ids) == (2, ["a", "c"])
-    assert (s["failed"].total, s["failed"].ids) == (2, ["a", "b"])
+    done = imports.import_records(recs)
+    assert {r.outcome: r.total for r in imports.import_summary(done).collect()} == {"success": 2, "failed": 2}
+    rows = sorted(tuple(r) for r in imports.import_results(done).collect())
+    assert rows == [("failed", 0, "a"), ("failed", 1, "b"), ("success", 0, "a"), ("success", 1, "c")]
 
 
 def test_sheet_header_only_and_short_row(spark):
@@ -233,23 +234,65 @@ def test_patch_and_delete(spark):
     reg = servers_df(spark, [("a", "na", "1.1.1.1", False), ("b", "nb", "1.1.1.2", False),
                              ("d", "nd", "1.1.1.3", True)])
     patches = spark.createDataFrame(
-        [("a", "", None), ("b", "nd", None), ("d", "x", None), ("zz", "y", None),
-         ("a2", "q", "999.1.1.1")], "server_id string, server_name string, ipv4 string")
+        [(1, "a", "", None), (2, "b", "nd", None), (3, "d", "x", None), (4, "zz", "y", None),
+         (5, "a2", "q", "999.1.1.1"), (6, "a", "nb", "2.2.2.2"), (7, "b", "free", "3.3.3.3"),
+         (8, "a", "nb", None), (9, "b", "na", ""), (10, "a", "nb", "4.4.4.4")],
+        "rn long, server_id string, server_name string, ipv4 string")
     new_reg, out = registry.patch_servers(reg, patches, "2024-02-01 00:00:00")
-    o = {r.server_id: r for r in out.collect()}
-    assert o["a"].outcome == "updated" and (o["a"].server_name, o["a"].ipv4) == ("na", "1.1.1.1")
-    assert o["a"].metadata_updated_at == dt.datetime(2024, 2, 1)
-    assert o["b"].outcome == S.ERR_DUPLICATE
-    assert o["d"].outcome == S.ERR_NOT_FOUND and o["zz"].outcome == S.ERR_NOT_FOUND
-    assert o["a2"].outcome == S.ERR_INVALID_IP
-    assert new_reg.where("server_id = 'a'").first().metadata_updated_at == dt.datetime(2024, 2, 1)
-    ids = spark.createDataFrame([("a",), ("d",), ("zz",)], "server_id string")
+    assert [r.outcome for r in sorted(out.collect())] == [
+        "updated", S.ERR_DUPLICATE, S.ERR_NOT_FOUND, S.ERR_NOT_FOUND, S.ERR_INVALID_IP, S.ERR_DUPLICATE,
+        "updated", "updated", "updated", "updated"]  # a takes the name that b gave up, b then a's
+    rows = {r.server_id: r for r in new_reg.collect()}
+    assert len(rows) == 3 and new_reg.count() == 3
+    assert (rows["a"].server_name, rows["a"].ipv4) == ("nb", "4.4.4.4")
+    assert (rows["b"].server_name, rows["b"].ipv4) == ("na", "3.3.3.3")
+    assert rows["a"].metadata_updated_at == dt.datetime(2024, 2, 1) and rows["d"].metadata_updated_at is None
+    ids = spark.createDataFrame([(1, "a"), (2, "d"), (3, "zz"), (4, "a")], "rn long, server_id string")
     reg2, dout = registry.soft_delete(reg, ids)
-    assert {r.server_id: r.outcome for r in dout.collect()} == {
-        "a": "deleted", "d": S.ERR_NOT_FOUND, "zz": S.ERR_NOT_FOUND}
+    assert {r.rn: r.outcome for r in dout.collect()} == {
+        1: "deleted", 2: S.ERR_NOT_FOUND, 3: S.ERR_NOT_FOUND, 4: S.ERR_NOT_FOUND}
     assert registry.count_servers(reg2).first().total == 1
 
 
+def test_times_before_1970_and_strict_messages(spark):
+    from pulsegrid.functions.messages import decode_heartbeats
+    from pulsegrid.operators.heartbeats import latest_status
+    from pulsegrid.streaming.mail import decode_mail
+    head = '{"server_id":"a","status":"on","timestamp":"'
+    values = [head + '0001-01-01T00:00:00Z"}', head + '1969-12-31T23:59:59Z"}', head + '2024-01-01T00:00:00Z"} x',
+              head + '2024-01-01T00:00:00Z"}]', '{"server_id":{"a":1},"timestamp":"2024-01-01T00:00:00Z"}',
+              '{"server_id":7,"timestamp":"2024-01-01T00:00:00Z"}', "null", '"text"', "", None]
+    df = spark.createDataFrame(list(enumerate(values)), "seq long, value string")
+    hb = decode_heartbeats(df)
+    assert sorted(r.seq for r in hb.collect()) == [0, 1]
+    last = latest_status(hb).first()
+    assert (last.seq, last.last_ping_at) == (1, dt.datetime(1969, 12, 31, 23, 59, 59))
+    mails = ['{"Mail":{"Attachments":[{"Filename":"f","Data":null}]}}', '{"Mail":{"Attachments":"oops"}}',
+             '{"Mail":{"To":"x"}}', '{"Mail":{"Attachments":[{"Filename":1}]}}', '{"Mail":{}} {}', '{"Mail":{"To":["x"]}}']
+    got = decode_mail(spark.createDataFrame(list(enumerate(mails)), "seq long, value string")).collect()
+    assert sorted(r.mail_id for r in got) == [0, 5]
+
+
+def test_addresses(spark):
+    from pulsegrid.functions.predicates import email_ok, ipv4_ok
+    good = ["a@b.c", "Bob <a@b.c>", '"B, C" <a@b>', " a.b+c@d-e.f ", "é@b.c"]
+    bad = ["a..b@c", "a@", "@b", "a b@c", "Bob a@b.c", "a@b.c>", ".a@b", "", None]
+    df = spark.createDataFrame([(x,) for x in good + bad], "x string")
+    assert [r[0] for r in df.select(email_ok("x")).collect()] == [True] * len(good) + [False] * len(bad)
+    good = ["1.2.3.4", "::ffff:1.2.3.4", "::FFFF:102:304", "0:0:0:0:0:ffff:1.2.3.4", "0000:0000::ffff:0102:0304"]
+    bad = ["01.2.3.4", "1.2.3", "::ffff:1.2.3.256", "::1", "::fffe:1.2.3.4", "0:0:0:0:0:0:ffff:1.2.3.4", "1.2.3.4\n"]
+    df = spark.createDataFrame([(x,) for x in good + bad], "x string")
+    assert [r[0] for r in df.select(ipv4_ok("x")).collect()] == [True] * len(good) + [False] * len(bad)
+
+
+def test_null_server_is_in_no_report(spark):
+    from pulsegrid.operators import uptime
+    hb = spark.createDataFrame([(1, None, "on", T0), (2, "a", "on", T0)],
+                               "seq long, server_id string, status string, ts timestamp_ntz")
+    assert [r.server_id for r in uptime.uptime_all(hb).collect()] == ["a"]
+    assert [r.server_id for r in uptime.uptime_daily(hb).collect()] == ["a"]
+
+
 def test_monitored_set_include_deleted(spark):
     reg = servers_df(spark, [("a", "na", "1.1.1.1", False), ("d", "nd", "1.1.1.3", True)])
     assert registry.monitored_from_registry(reg).count() == 1

@@ -145,19 +145,36 @@ def test_per_group_top_k_equals_brute_force(spark, events, cap, splits):
 
 
 @SLOW
-@given(n=st.integers(5, 150), lo=st.integers(0, 160), width=st.integers(1, 20),
+@given(n=st.integers(0, 150), lo=st.integers(0, 160), width=st.integers(1, 20),
        desc=st.booleans(), field=st.sampled_from(["created_at", "server_name"]))
-def test_deep_page_selection_equals_shallow_page(spark, n, lo, width, desc, field):
+def test_page_is_a_slice_of_the_sorted_registry(spark, n, lo, width, desc, field):
     reg = [(f"id{i:03d}", f"name{(i * 7) % 53}", "1.1.1.1", "UNKNOWN",
-            T0 + dt.timedelta(minutes=(i * 5) % 71), None, None, i % 9 == 8) for i in range(n)]
-    servers = spark.createDataFrame(reg, S.SERVERS)
-    saved = registry._SAMPLE_KEYS, registry._BAND_ROWS
-    registry._SAMPLE_KEYS, registry._BAND_ROWS = 60, 10    # force narrowing steps
-    try:
-        deep = [r.server_id for r in registry.list_servers(
-            servers, lo, lo + width, field, desc, deep_offset=-1).collect()]
-    finally:
-        registry._SAMPLE_KEYS, registry._BAND_ROWS = saved
-    shallow = [r.server_id for r in registry.list_servers(
-        servers, lo, lo + width, field, desc).collect()]
-    assert deep == shallow
+            None if i % 11 == 3 else T0 + dt.timedelta(minutes=(i * 5) % 71), None, None, i % 9 == 8)
+           for i in range(n)]
+    page = registry.list_servers(spark.createDataFrame(reg, S.SERVERS), lo, lo + width, field, desc)
+    at = 4 if field == "created_at" else 1
+    rows = sorted((r for r in reg if not r[7]), key=lambda r: r[0])
+    rows.sort(key=lambda r: (r[at] is not None, r[at] or T0 if at == 4 else r[at]), reverse=desc)
+    assert [r.server_id for r in page.collect()] == [r[0] for r in rows[lo:lo + width]]
+
+
+@SLOW
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 7), st.booleans()), max_size=12))
+def test_patches_are_applied_in_order(spark, requests):
+    """Against one request after the other on dictionaries."""
+    servers = [(f"s{i}", f"n{i}", "1.1.1.1", "UNKNOWN", T0, None, None, i == 4) for i in range(5)]
+    patches = [(k, f"s{i}", "" if j == 7 else f"n{j}", f"9.9.9.{k}" if ip else None)
+               for k, (i, j, ip) in enumerate(requests)]
+    reg, out = registry.patch_servers(spark.createDataFrame(servers, S.SERVERS), spark.createDataFrame(
+        patches, "rn long, server_id string, server_name string, ipv4 string"), "2024-02-01")
+    state, want = {s[0]: [s[1], s[2]] for s in servers}, []
+    for _, sid, name, ip in patches:
+        if sid not in state or sid == "s4":
+            want.append(S.ERR_NOT_FOUND)
+        elif name and any(v[0] == name for k, v in state.items() if k != sid):
+            want.append(S.ERR_DUPLICATE)
+        else:
+            state[sid] = [name or state[sid][0], ip or state[sid][1]]
+            want.append("updated")
+    assert [r.outcome for r in sorted(out.collect())] == want
+    assert {r.server_id: [r.server_name, r.ipv4] for r in reg.collect()} == state

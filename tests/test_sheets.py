@@ -27,7 +27,7 @@ def test_read_and_import_files(spark, tmp_path):
     bad = {r.file_id.rsplit("/", 1)[-1] for r in imports.rejected_files(rows, 1).collect()}
     assert bad == {"b.xlsx", "broken.xlsx"}
     res = imports.import_sheets(rows).collect()
-    got = sorted((r.rn.row_no, r.server_id, r.outcome) for r in res)
+    got = sorted((r.row_no, r.server_id, r.outcome) for r in res)
     assert got == [(1, "s1", "success"), (2, "s2", S.ERR_DUPLICATE),
                    (3, "s2", S.ERR_INVALID_IP), (4, "s2", "success")]
 
@@ -37,8 +37,9 @@ def test_csv_sheets(spark, tmp_path):
     d.mkdir()
     (d / "a.csv").write_text('No,ServerID,ServerName,IPv4\n1,s1,"name, with comma",1.1.1.1,,\n'
                              '2,s2,"say ""hi""",1.1.1.2\n')
+    (d / "c.csv").write_text('No,ServerID,ServerName,IPv4\n1,s5,"two\nlines"," 1.1.1.5 "\n')
     (d / "b.csv").write_text("No,ServerID,ServerName,IPv4\n1,s3,n3\n")
     rows = read_csv_sheets(spark, str(d))
     recs = sorted((r.row_no, r.server_id, r.server_name) for r in
                   imports.sheet_records(rows, header_rows=1).collect())
-    assert recs == [(1, "s1", "name, with comma"), (2, "s2", 'say "hi"')]
+    assert recs == [(1, "s1", "name, with comma"), (1, "s5", "two\nlines"), (2, "s2", 'say "hi"')]
