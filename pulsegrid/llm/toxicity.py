@@ -195,6 +195,22 @@ def _fit_chain(sample: DataFrame, lexicon: dict[str, float]) -> dict:
     gold = {f for f, p in lexicon.items() if p >= GOLD_PRECISION}
     n = len(names)
 
+    def encode(batches):
+        for texts in batches:
+            out = []
+            for text in texts:
+                words = words_of(text)
+                known = {w: f for w in set(words) if (f := [x for x in features(w) if x in number])}
+                at = [k for k, w in enumerate(words) if w in known]
+                out.append((len(words), at, [[number[x] for x in known[words[k]]] for k in at],
+                            [int(any(x in gold for x in known[words[k]])) for k in at]))
+            yield out
+
+    ints = T.ArrayType(T.IntegerType())
+    coded = stored(extend(sample, "text", T.StructType([
+        T.StructField("n", T.LongType()), T.StructField("at", ints), T.StructField("found", T.ArrayType(ints)),
+        T.StructField("gold", ints)]), encode, ["toxic"]), "coded")
+
     def gradient(params):
         weights, bias, moves = params[:n], params[n], params[n + 1:].reshape(2, 2)
 
@@ -202,24 +218,17 @@ def _fit_chain(sample: DataFrame, lexicon: dict[str, float]) -> dict:
             total, places = np.zeros(n + 5), 0
             for b in batches:
                 sequences, labels, active = [], [], []
-                for text, toxic in zip(as_bytes(b.column(0)), b.column(1).to_pylist()):
-                    words = words_of(text)
-                    hits = {}
-                    for w in set(words):
-                        f = [x for x in features(w) if x in number]
-                        if f:
-                            hits[w] = (sum(weights[number[x]] for x in f), [number[x] for x in f],
-                                       int(toxic == 1 and any(x in gold for x in f)))
-                    for i in range(0, len(words), SEGMENT):
-                        part = words[i:i + SEGMENT]
-                        at = [(k, hits[w]) for k, w in enumerate(part) if w in hits]
-                        u, y = np.full(len(part), bias), np.zeros(len(part), int)
-                        for k, (s, _, gold_word) in at:
-                            u[k] += s
-                            y[k] = gold_word
-                        sequences.append(u)
-                        labels.append(y)
-                        active.append([(k, f) for k, (_, f, _) in at])
+                for toxic, size, at, found, is_gold in zip(*(c.to_pylist() for c in b.columns)):
+                    u, y = np.full(size, bias), np.zeros(size, int)
+                    u[at] += [weights[f].sum() for f in found]
+                    y[at] = np.array(is_gold, int) * toxic
+                    first = len(sequences)
+                    for i in range(0, size, SEGMENT):
+                        sequences.append(u[i:i + SEGMENT])
+                        labels.append(y[i:i + SEGMENT])
+                        active.append([])
+                    for k, f in zip(at, found):
+                        active[first + k // SEGMENT].append((k % SEGMENT, f))
                 for block in _blocks(sequences):
                     height = len(sequences[block[0]])
                     unary = np.full((height, len(block)), -40.0)
@@ -247,7 +256,8 @@ def _fit_chain(sample: DataFrame, lexicon: dict[str, float]) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()]), pa.array([float(places)])],
                                              names=["g", "places"])
 
-        rows = sample.select("text", "toxic").mapInArrow(run, "g array<double>, places double").collect()
+        rows = coded.select("toxic", "n", "at", "found", "gold") \
+                    .mapInArrow(run, "g array<double>, places double").collect()
         return np.sum([r["g"] for r in rows], axis=0) if rows else np.zeros(n + 5)
 
     params, step, last = np.zeros(n + 5), np.full(n + 5, 0.5), np.zeros(n + 5)
@@ -258,6 +268,7 @@ def _fit_chain(sample: DataFrame, lexicon: dict[str, float]) -> dict:
         step = np.clip(np.where(same > 0, step * 1.3, np.where(same < 0, step * 0.4, step)), 1e-4, 1.0)
         params = params + np.sign(g) * step
         last = g
+    forget(coded)
     moves = np.exp(params[n + 1:].reshape(2, 2))
     model = {"weights": dict(zip(names, params[:n].tolist())), "bias": float(params[n]), "moves": moves}
     quiet = marginals([np.full(SEGMENT, model["bias"])], model)[0].max()
