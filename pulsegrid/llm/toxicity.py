@@ -36,20 +36,36 @@ def features(word: str) -> list[str]:
     return [word] + [f"{word[:n]}*" for n in range(4, 8) if len(word) > n]
 
 
-def _odds(unary, before):
-    """Odds of label 1 at each place of padded (time, sequence) unary scores:
-    ratios forward and backward. ``before``: transition weights, as exp."""
-    (a00, a01), (a10, a11) = before
+def _padded(sequences: list[np.ndarray], block: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of a block by (time, sequence), longest first, all ending at the
+    last time; and the time at which each begins."""
+    height = len(sequences[block[0]])
+    unary = np.zeros((height, len(block)))
+    starts = np.array([height - len(sequences[i]) for i in block])
+    for k, i in enumerate(block):
+        unary[starts[k]:, k] = sequences[i]
+    return unary, starts
+
+
+def _odds(unary, starts, moves):
+    """exp of the scores, and the odds of label 1 forward and backward.
+
+    Places before a sequence's start have forward odds 0, so they are label 0
+    and do not reach into it. ``moves``: transition weights, as exp.
+    """
+    (a00, a01), (a10, a11) = moves
     e = np.exp(unary)
-    ahead, back = np.empty_like(e), np.ones_like(e)
-    if len(e):
-        ahead[0] = e[0]
-    for t in range(1, len(e)):
-        r = ahead[t - 1]
-        np.minimum(e[t] * (a01 + r * a11) / (a00 + r * a10), 1e150, out=ahead[t])
+    ahead, back = np.zeros_like(e), np.ones_like(e)
+    begun = np.searchsorted(starts, np.arange(len(e) + 1), "right")  # sequences running at each time
+    for t in range(len(e)):
+        n = begun[t - 1] if t else 0
+        r = ahead[t - 1, :n]
+        ahead[t, :n] = np.minimum(e[t, :n] * (a01 + r * a11) / (a00 + r * a10), 1e150)
+        ahead[t, n:begun[t]] = e[t, n:begun[t]]
     for t in range(len(e) - 1, 0, -1):
-        x = e[t] * back[t]
-        back[t - 1] = (a10 + a11 * x) / (a00 + a01 * x)
+        n = begun[t - 1]
+        x = e[t, :n] * back[t, :n]
+        back[t - 1, :n] = (a10 + a11 * x) / (a00 + a01 * x)
     return e, ahead, back
 
 
@@ -66,22 +82,15 @@ def _blocks(sequences: list[np.ndarray]):
 
 
 def marginals(sequences: list[np.ndarray], model: dict) -> list[np.ndarray]:
-    """Probability of label 1 at every place, by forward-backward.
-
-    Padding is put before a sequence and scores -40, so it is label 0 throughout.
-    """
+    """Probability of label 1 at every place, by forward-backward."""
     out: list = [None] * len(sequences)
     for block in _blocks(sequences):
-        height = len(sequences[block[0]])
-        unary = np.full((height, len(block)), -40.0)
-        for k, i in enumerate(block):
-            if len(sequences[i]):
-                unary[height - len(sequences[i]):, k] = sequences[i]
-        _, ahead, back = _odds(unary, model["moves"])
+        unary, starts = _padded(sequences, block)
+        _, ahead, back = _odds(unary, starts, model["moves"])
         odds = ahead * back
         p = odds / (1 + odds)
         for k, i in enumerate(block):
-            out[i] = p[height - len(sequences[i]):, k]
+            out[i] = p[starts[k]:, k]
     return out
 
 
@@ -230,22 +239,18 @@ def _fit_chain(sample: DataFrame, lexicon: dict[str, float]) -> dict:
                     for k, f in zip(at, found):
                         active[first + k // SEGMENT].append((k % SEGMENT, f))
                 for block in _blocks(sequences):
-                    height = len(sequences[block[0]])
-                    unary = np.full((height, len(block)), -40.0)
-                    real = np.zeros((height, len(block)))
-                    truth = np.zeros((height, len(block)), int)
+                    unary, starts = _padded(sequences, block)
+                    real, truth = np.zeros_like(unary), np.zeros(unary.shape, int)
                     for k, i in enumerate(block):
-                        start = height - len(sequences[i])
-                        unary[start:, k], real[start:, k], truth[start:, k] = sequences[i], 1, labels[i]
-                    e, ahead, back = _odds(unary, np.exp(moves))
+                        real[starts[k]:, k], truth[starts[k]:, k] = 1, labels[i]
+                    e, ahead, back = _odds(unary, starts, np.exp(moves))
                     odds = ahead * back
                     miss = (truth - odds / (1 + odds)) * real
                     total[n] += miss.sum()
                     places += real.sum()
                     for k, i in enumerate(block):
-                        start = height - len(sequences[i])
                         for at, fs in active[i]:
-                            total[fs] += miss[start + at, k]
+                            total[fs] += miss[starts[k] + at, k]
                     (a00, a01), (a10, a11) = np.exp(moves)
                     r, x = ahead[:-1], e[1:] * back[1:]
                     pair = np.stack((a00 + 0 * r, a01 * x, a10 * r, a11 * r * x))
