@@ -255,19 +255,21 @@ def hit_words(spans: F.Column) -> F.Column:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with every hit word of its text cut out, from the first letter
     of a span to the last; texts without a hit stay as they are, byte by byte."""
-    found = find_contamination(docs, benchmark, text, **options)
-    both = fresh(found, "both")
-    cut = T.StructType([T.StructField(text, T.StringType())])
+    rest = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in rest]).alias("row"),
+                       F.col(f"`{text}`").alias("text"))  # so that no column is replaced
+    found = find_contamination(rows, benchmark, **options)
+    cut = T.StructType([T.StructField("text", T.StringType())])
 
     def work(batches):
         for pairs in batches:
-            yield [(_cut(p[text], p["spans"]),) for p in pairs]
+            yield [(_cut(p["text"], p["spans"]),) for p in pairs]
 
-    pair = F.struct(F.col(f"`{text}`").alias(text), F.col("hit_spans").alias("spans"))
-    hit = extend(found.where("size(hit_spans) > 0").withColumn(both, pair), both, cut, work,
-                 [c for c in docs.columns if c != text])
-    clean = found.where("size(hit_spans) = 0")
-    return hit.select(*docs.columns).union(clean.select(*docs.columns))
+    pair = F.struct("text", F.col("hit_spans").alias("spans"))
+    hit = extend(found.where("size(hit_spans) > 0").withColumn("pair", pair), "pair", cut, work, ["row"])
+    clean = found.where("size(hit_spans) = 0").select("row", "text")
+    columns = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return hit.union(clean).select(*columns)
 
 
 def _cut(text: str, spans: list) -> str:

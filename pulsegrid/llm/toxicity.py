@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import as_bytes, extend, forget, fresh, stored
+from pulsegrid.llm.common import as_bytes, extend, forget, stored
 from pulsegrid.llm.decontaminate import _WORD, _WORDS, SPAN
 
 FIT_ROWS = 20_000     # labelled rows the model is fitted on, at most
@@ -376,6 +376,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, train, text: str = "text",
                id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that score below a half, as they were."""
     model = fit(docs, labels, id_col, text, train=train)
-    whole = fresh(docs, "whole")
-    kept = score(docs.withColumn(whole, F.col(text)), model, whole, docs.columns)
-    return kept.where("score < 0.5").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(f"`{text}`").alias("text"))  # so that no column is replaced
+    return score(rows, model, keep=["row"]).where("score < 0.5").select("row.*")

@@ -203,6 +203,7 @@ def test_toxic_texts_are_told_from_others(spark):
             assert any(b.lower() in text[s["start"]:s["end"]].lower() for b in bad)
     kept = toxicity.drop_toxic(docs, table, None)
     assert kept.columns == docs.columns
+    assert {r["score"] for r in kept.collect()} == {0.0}  # a column of the input, not the operator's
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(
         i for i in got if i is not None and got[i]["score"] < 0.5)
 

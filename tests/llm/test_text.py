@@ -72,6 +72,7 @@ def test_contamination_is_cut_out(spark):
     assert got.columns == docs.columns
     want = [plain.cut_out(t, hit) for t, (_, hit, _) in zip(texts, plain.contamination(texts, items))]
     assert [r["text"] for r in got.orderBy("doc_id").collect()] == want
+    assert {r["n_words"] for r in got.collect()} == {"n"}  # a column of the input, not the operator's
 
 
 def test_contamination_of_and_by_nothing(spark):
