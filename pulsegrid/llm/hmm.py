@@ -26,7 +26,15 @@ PRIOR = 1000.0           # words' worth of the overall distribution in each stat
 SEGMENT, SEQUENCES = 256, 1024
 RANGES = 64              # parts in which the counts of classes are added up
 ALPHA = 0.1              # the base model's extra count
-FLUSH = 500_000
+FLUSH = 250_000          # distinct words a task counts before it passes them on
+ROWS = 500               # texts that a task works on at once
+
+
+def _rows(batches):
+    """The batches in parts of ROWS rows, which bounds a task's memory."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -38,7 +46,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all texts. Tasks add up their own words before the shuffle."""
     def run(batches):
         seen: Counter = Counter()
-        for b in batches:
+        for b in _rows(batches):
             for t in as_bytes(b.column(0)):
                 seen.update(tokens(t))
             if len(seen) > FLUSH:
@@ -105,7 +113,7 @@ def encoded(docs: DataFrame, vocab: Vocabulary, text: str, row: str, train: str)
         number = {w: i for i, w in enumerate(v.words)}
         logs = np.log10((v.counts + ALPHA) / v.mass)
         end_log = math.log10((v.ends + ALPHA) / v.mass)
-        for b in batches:
+        for b in _rows(batches):
             out = []
             for t in as_bytes(b.column(2)):
                 words = tokens(t)
