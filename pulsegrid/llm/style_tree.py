@@ -15,6 +15,7 @@ from pulsegrid.llm.common import as_bytes, extend, fresh, stored
 
 CONTENT_SHARE = 0.7  # of a branch's importance; the rest is its presentation's
 THRESHOLD = 0.5
+MAIN_WEIGHT = 0.15   # more for a branch in an article or main element, less for one beside it
 SITE_PAGES = 8       # pages a site must have to be judged alone
 
 # Elements by their role in a page.
@@ -178,13 +179,14 @@ def host_of(url: str) -> F.Column:
                       F.lit(""))
 
 
-_MARK = "row long, host string, path long, parent long, content boolean, feature long, first int"
+_MARK = "row long, host string, path long, parent long, content boolean, feature long, first int, side int"
 
 
 def _marks(pages: DataFrame) -> DataFrame:
     """What each page adds to the tree of its site: once for each path and
     text (content) or path and children (presentation). ``first`` is 1 on one
-    of the rows of a page and path. Input: (row, host, html)."""
+    of the rows of a page and path, and ``side`` there 1 for text in an article
+    or main element, -1 for text beside it. Input: (row, host, html)."""
     def run(batches):
         for b in batches:
             out = []
@@ -192,16 +194,20 @@ def _marks(pages: DataFrame) -> DataFrame:
                 if not source:
                     continue
                 page, seen = Page(source.decode()), set()
-                found = {(p, q, True, t) for p, q, t, noise, _ in page.blocks if not noise}
+                kept = [b for b in page.blocks if not b[3]]
+                inside = {b[0] for b in kept if b[4]}
+                found = {(p, q, True, t) for p, q, t, _, _ in kept}
                 found |= {(p, "", False, c) for p, c in page.styles}
                 for path, parent, content, feature in found:
                     first = (path, content) not in seen
                     seen.add((path, content))
-                    out.append((row, host, _number(path), _number(parent), content, _number(feature), int(first)))
-            columns = list(zip(*out)) if out else [()] * 7
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             names=["row", "host", "path", "parent", "content", "feature", "first"])
+                    side = (1 if path in inside else -1) if first and content and inside else 0
+                    out.append((row, host, _number(path), _number(parent), content, _number(feature), int(first), side))
+            columns = list(zip(*out)) if out else [()] * 8
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)],
+                names=["row", "host", "path", "parent", "content", "feature", "first", "side"])
 
     return pages.mapInArrow(run, _MARK)
 
@@ -212,36 +218,40 @@ def _importance(marks: DataFrame, site: list[str]) -> DataFrame:
     Content: one less the mean entropy of its texts over the pages that have
     the path, so what repeats on every page counts nothing. Presentation:
     entropy of the children of the element around it, so a fixed frame counts
-    nothing. Both are 1 on a single page.
+    nothing. Both are 1 on a single page. MAIN_WEIGHT is added by the share of
+    pages on which the path is in an article or main element, and taken by the
+    share on which it is beside one.
     """
     by_feature = marks.groupBy(*site, "path", "parent", "content", "feature").agg(
-        F.count("*").alias("k"), F.sum("first").alias("m"))
+        F.count("*").alias("k"), F.sum("first").alias("m"), F.sum("side").alias("side"))
     by_path = by_feature.groupBy(*site, "path", "parent", "content").agg(
-        F.sum("m").alias("m"), F.avg(F.log("k")).alias("mean_log"),
+        F.sum("m").alias("m"), F.sum("side").alias("side"), F.avg(F.log("k")).alias("mean_log"),
         F.sum(F.col("k") * F.log("k")).alias("k_log"))
     many = F.col("m") > 1
     content = by_path.where("content").select(
-        *site, "path", "parent", F.col("m").alias("pages"),
+        *site, "path", "parent", F.col("m").alias("pages"), (F.col("side") / F.col("m")).alias("side"),
         F.when(many, 1 - F.col("mean_log") / F.log("m")).otherwise(1.0).alias("text"))
     frame = by_path.where("not content").select(
         *site, F.col("path").alias("parent"),
         F.when(many, 1 - F.col("k_log") / F.col("m") / F.log("m")).otherwise(1.0).alias("frame"))
     both = content.join(frame, [*site, "parent"], "left")
-    mix = CONTENT_SHARE * F.col("text") + (1 - CONTENT_SHARE) * F.coalesce("frame", F.lit(1.0))
+    mix = CONTENT_SHARE * F.col("text") + (1 - CONTENT_SHARE) * F.coalesce("frame", F.lit(1.0)) \
+        + MAIN_WEIGHT * F.col("side")
     return both.groupBy(*site, "path").agg(F.max(mix).alias("importance"), F.sum("pages").alias("pages"))
 
 
 def main_text(source: bytes | None, low: list[int] | None) -> str:
-    """Blocks that are kept, one on a line: of a page with an article or main
-    element those in it, of other pages those in no branch of ``low``
-    importance; blocks in noise elements never."""
+    """Blocks that are kept, one on a line: those in no branch of ``low``
+    importance; blocks in noise elements never. A page with an article or main
+    element of which nothing would be left is a copy, and keeps what is in it."""
     if not source:
         return ""
     blocks = [b for b in Page(source.decode()).blocks if not b[3]]
-    if any(b[4] for b in blocks):
-        return "\n".join(b[2] for b in blocks if b[4])
     dropped = set(low or ())
-    return "\n".join(b[2] for b in blocks if _number(b[0]) not in dropped)
+    kept = [b for b in blocks if _number(b[0]) not in dropped] if dropped else blocks
+    if any(b[4] for b in blocks) and not any(b[4] for b in kept):
+        kept = [b for b in blocks if b[4]]
+    return "\n".join(b[2] for b in kept)
 
 
 def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -251,9 +261,9 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html") ->
     of styles (tag and first class). Each branch gets an importance from the
     entropy of its texts and of its frame; branches below THRESHOLD go from
     each page. Sites of fewer than SITE_PAGES pages are judged by the tree of
-    all pages instead. Elements that say what they are stand outside of this:
-    menus, headers, footers, asides, forms, scripts and the like have no
-    importance, article and main elements have all.
+    all pages instead. Menus, headers, footers, asides, forms, scripts and the
+    like stand outside of this and have no importance; article and main
+    elements count as MAIN_WEIGHT in it.
 
     Character references are decoded, white space in a block becomes one
     space, blocks are joined by one line break. Null or empty html gives an

@@ -226,6 +226,23 @@ def test_site_tree_removes_what_a_site_repeats(spark):
     assert extract_main_text(pages.where("false")).count() == 0
 
 
+def test_site_tree_decides_inside_and_beside_articles(spark):
+    rng = random.Random(2)
+    say = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(8))
+    rows, want = [], {}
+    for i in range(40):
+        lead, own = say(), [say() for _ in range(rng.randint(1, 5))]
+        html = (f"<html><body><div class='lead'>{lead}</div><div class='top'>Start Shop</div><article>"
+                + "".join(f"<p>{o}</p>" for o in own) + "<div class='end'>Our house style</div></article></body></html>")
+        rows.append((i, "http://a.com/" + str(i), html))
+        want[i] = "\n".join([lead, *own])
+    for i in range(100, 110):  # copies of one page: nothing tells text from frame
+        rows.append((i, "http://b.com/" + str(i), "<body><div>Top</div><article><p>One</p><p>Two</p></article></body>"))
+        want[i] = "One\nTwo"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract_main_text(pages).collect()} == want
+
+
 def test_hosts(spark):
     urls = ["http://A.b.C/x", "https://u:p@h.org:8080?q", "ftp://h", "no host", None, "//x"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
