@@ -67,6 +67,24 @@ def test_graph_search_recall_beyond_one_block(spark, monkeypatch):
     assert len(got) == 750 and hits / 750 >= 0.9
 
 
+@pytest.mark.parametrize("longest", [1, 1e6])
+def test_graph_recall_of_a_poor_first_graph_and_beside_a_long_vector(spark, monkeypatch, longest):
+    for name, value in (("BLOCK", 32), ("PASSES", 2), ("DEGREE", 12)):
+        monkeypatch.setattr(neighbours, name, value)
+    x = np.random.default_rng(5).standard_normal((2000, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= longest
+    nodes = neighbours._vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                                                      "node long, vector array<float>"))
+    graph = neighbours._graph(nodes, len(x)).where("node <> 7 and other <> 7").collect()
+    s = x.astype(float) @ x.astype(float).T
+    s[:, 7] = -np.inf
+    np.fill_diagonal(s, -np.inf)
+    near = [set(np.argsort(-row)[:10].tolist()) for row in s]
+    hits = sum(r["other"] in near[r["node"]] for r in graph)
+    assert hits / 10 / (len(x) - 1) >= 0.9
+
+
 # ------------------------------------------------------------ language model
 
 def small_model(rng):
