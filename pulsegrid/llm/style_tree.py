@@ -44,9 +44,9 @@ _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+(?:"(
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 
-def _signature(name: str, attrs: str, in_main: bool) -> tuple[str, bool, bool]:
-    """(style of an element, is it noise, does it hold the main text)."""
-    noise, main, first = name in NOISE_TAGS, name in ("article", "main"), ""
+def _signature(name: str, attrs: str, in_main: bool) -> tuple[str, bool, bool, bool]:
+    """(style of an element, is it noise, is it by its words, does it hold the main text)."""
+    noise, worded, main, first = name in NOISE_TAGS, False, name in ("article", "main"), ""
     if name == "header":
         noise = not in_main
     for m in _ATTR.finditer(attrs) if attrs.strip() else ():
@@ -54,15 +54,15 @@ def _signature(name: str, attrs: str, in_main: bool) -> tuple[str, bool, bool]:
         if key in ("class", "id"):
             words = _TOKEN.findall(value)
             first = first or (words[0] if words and key == "class" else "")
-            noise |= not NOISE_WORDS.isdisjoint(words)
-            noise |= "header" in words and not in_main
+            worded |= not NOISE_WORDS.isdisjoint(words)
+            worded |= "header" in words and not in_main
         elif key == "role":
             noise, main = noise or value in NOISE_ROLES, main or value in ("main", "article")
         elif key == "style":
             noise |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         else:
             noise |= key == "hidden" or value == "true"
-    return (f"{name}.{first}" if first else name), noise, main and not noise
+    return (f"{name}.{first}" if first else name), noise, worded and name not in ("html", "body"), main and not noise
 
 
 class Page:
@@ -71,12 +71,16 @@ class Page:
     ``blocks``: (path, parent's path, text, in noise, in main); ``styles``:
     (path, children's styles). A path is the chain of styles from the root.
     Optional end tags are filled in, other tags without a partner ignored;
-    what an open comment or raw element holds goes to the page's end.
+    what an open comment or raw element holds goes to the page's end. Class
+    words make no noise of html, body, an article or main element, or what is
+    around one; an article in an article (a comment) is like other elements.
     """
 
     def __init__(self, source: str):
         self.blocks, self.styles = [], []
-        self.stack = [["", "", False, False, [], True]]  # name, path, noise, main, children, is a block
+        # name, path, noise, main (2: article), children, is a block, innermost element of noise words
+        self.stack = [["", "", False, 0, [], True, -1]]
+        self.worded: list[list] = []  # of such elements: the next one around, is it noise
         self.text: list[str] = []
         at, n = 0, len(source)
         while at < n:
@@ -112,6 +116,10 @@ class Page:
         while len(self.stack) > 1:
             self.pop()
         self.flush()
+        for w in self.worded:  # outer ones first
+            w[1] = w[1] or (w[0] >= 0 and self.worded[w[0]][1])
+        self.blocks = [(path, parent, text, noise or (w >= 0 and self.worded[w][1]), main)
+                       for path, parent, text, noise, main, w in self.blocks]
 
     def flush(self):
         if self.text:
@@ -121,8 +129,9 @@ class Page:
                 i = len(self.stack) - 1
                 while not self.stack[i][5]:
                     i -= 1
-                _, path, noise, main, _, _ = self.stack[i]
-                self.blocks.append((path, self.stack[max(0, i - 1)][1], text, noise or self.stack[-1][2], main))
+                _, path, noise, main, _, _, _ = self.stack[i]
+                self.blocks.append((path, self.stack[max(0, i - 1)][1], text, noise or self.stack[-1][2], main > 0,
+                                    self.stack[-1][6]))
 
     def open(self, name: str, attrs: str):
         block = name in BLOCKS
@@ -137,12 +146,23 @@ class Page:
         if name in VOID:
             return
         top = self.stack[-1]
-        style, noise, main = _signature(name, attrs, top[3])
-        if (noise or main) and not block:
+        style, noise, worded, main = _signature(name, attrs, top[3] > 0)
+        at = top[6]
+        if main and top[3] < 2 and not top[2]:
+            worded, i = False, at
+            while i >= 0 and self.worded[i][1]:
+                self.worded[i][1] = False
+                i = self.worded[i][0]
+        elif worded:
+            main = False
+        if (noise or worded or main) and not block:
             self.flush()
         top[4].append(style)
-        self.stack.append([name, f"{top[1]}>{style}", top[2] or noise, top[3] or main, [],
-                           block or noise or main])
+        if worded:
+            self.worded.append([at, True])
+            at = len(self.worded) - 1
+        self.stack.append([name, f"{top[1]}>{style}", top[2] or noise, max(top[3], (2 if name == "article" else 1) if main else 0),
+                           [], block or noise or worded or main, at])
 
     def until(self, names: set):
         """Closes the innermost open element of ``names``, unless a scope is inside."""
@@ -164,7 +184,7 @@ class Page:
     def pop(self):
         if self.stack[-1][5]:
             self.flush()
-        _, path, _, _, children, _ = self.stack.pop()
+        _, path, _, _, children, _, _ = self.stack.pop()
         if children:
             self.styles.append((path, ",".join(children)))
 

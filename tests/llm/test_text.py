@@ -243,6 +243,16 @@ def test_site_tree_decides_inside_and_beside_articles(spark):
     assert {r["page_id"]: r["text"] for r in extract_main_text(pages).collect()} == want
 
 
+@pytest.mark.parametrize("around", [
+    "<body class='has-sidebar'><article>{}</article>", "<body class='no-sidebar comments-open'><main>{}</main>",
+    "<html class='header'><main class='with-menu'>{}</main>", "<article class='social share'>{}</article>",
+    "<div class='ad'>Buy</div><div id='modal'><div class='widget'><main><article class='promo'>{}</article></main></div></div>"])
+def test_class_words_do_not_take_the_main_text(around):
+    text = main_text(around.format("<p>One<div class='ad'>Buy</div><p>Two").encode(), None)
+    assert text == "One\nTwo"
+    assert main_text(b"<article><p>One</p><article class='comment'>Nice</article></article>", None) == "One"
+
+
 def test_hosts(spark):
     urls = ["http://A.b.C/x", "https://u:p@h.org:8080?q", "ftp://h", "no host", None, "//x"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
