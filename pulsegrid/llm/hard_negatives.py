@@ -197,6 +197,9 @@ def _negatives(tree, positives, k: int, low: int, high: int):
         most = np.full(len(t.ids), -np.inf)
         np.maximum.at(most, place, score * (high / 100) + np.abs(score) * 1e-12)
         floor = score * (low / 100) - np.abs(score) * 1e-12
+        # in Python's integers, which 100 * score does not leave
+        lowest = np.array([-(-low * int(x) // 100) for x in score], np.int64)
+        highest = np.array([high * int(x) // 100 for x in score], np.int64)
         for ids, labels, vectors in _groups(batches):
             def wanted(places):
                 return (t.labels[places, None] != labels) & (count[places, None] > 0)
@@ -209,7 +212,7 @@ def _negatives(tree, positives, k: int, low: int, high: int):
                 pair = np.repeat(np.arange(len(r)), n)
                 slot = first[r][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
                 s, c = s[pair], c[pair]
-                ok = (low * score[slot] <= 100 * s) & (100 * s <= high * score[slot])
+                ok = (lowest[slot] <= s) & (s <= highest[slot])
                 lists.add(slot[ok], ids[c[ok]], s[ok])
         yield pa.RecordBatch.from_arrays(
             [pa.array(lists.group), pa.array(lists.ids), pa.array(lists.scores)], names=["slot", "id", "score"])
