@@ -12,34 +12,69 @@ from pulsegrid.functions.timefmt import rfc3339_text, to_utc_ntz
 RFC3339_SHAPE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})\z"
 
 
-# A member after the value: it is read only if the value before it is one
-# whole JSON value (fixed value; no message holds it).
-_END = "end of message"
 _STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def parsed_json(messages: DataFrame, value_col: str = "value", keep: str = "seq") -> DataFrame:
-    """(keep, m): the messages that are exactly one JSON object, as variants.
-
-    Text after the object, unbalanced brackets and other values than objects
-    are no message; a member given twice is none either. The generator keeps
-    the parse from being inlined into every later reference.
+    """(keep, m, fields): the messages that are exactly one JSON object, as
+    variant ``m`` and as their members ``fields`` in the order of the text.
+
+    A message is read as the first element of a list whose second is the
+    digest of the message. No text can hold its own digest, so the digest is
+    the second element only if the message is one whole JSON value: text after
+    it, unbalanced brackets and further values make it another or none. The
+    generators keep a parse from being inlined into every later reference.
     """
-    wrapped = F.concat(F.lit('{"m":'), F.col(value_col), F.lit(f',"{_END}":1}}'))
-    parsed = F.from_json(wrapped, f"struct<m variant, `{_END}` int>", _STRICT)
-    rows = messages.select(F.col(keep), F.inline(F.array(F.struct(parsed.alias("p")))))
-    whole = rows.where(F.col(f"p.`{_END}`") == 1).select(keep, F.col("p.m").alias("m"))
-    return whole.where(F.schema_of_variant("m").startswith("OBJECT"))
+    digest = F.sha2(value_col, 256)
+    pair = F.from_json(F.concat(F.lit("["), F.col(value_col), F.lit(',"'), digest, F.lit('"]')),
+                       "array<variant>", _STRICT)
+    rows = messages.select(F.col(keep), F.inline(F.array(F.struct(
+        pair.alias("p"), F.col(value_col).alias("text"), digest.alias("digest")))))
+    one = rows.where(F.try_variant_get(F.get("p", 1), "$", "string") == F.col("digest"))
+    objects = one.where(F.schema_of_variant(F.get("p", 0)).startswith("OBJECT"))
+    fields = F.map_entries(F.from_json("text", "map<string,variant>", _STRICT))
+    return objects.select(keep, F.inline(F.array(F.struct(F.get("p", 0).alias("m"), fields.alias("fields")))))
+
+
+def members(variant: Column) -> Column:
+    """Members of a nested object, by name (the text's order is not kept
+    there); none of a value that is no object."""
+    return F.map_entries(F.try_variant_get(variant, "$", "map<string,variant>"))
+
+
+def named(fields: Column | str, name: str) -> Column:
+    """Values of the members of this name in any case, in order."""
+    same = F.filter(fields, lambda e: F.lower(F.upper(e["key"])) == name.lower())
+    return F.coalesce(F.transform(same, lambda e: e["value"]), F.array().cast("array<variant>"))
+
+
+def like(fields: Column | str, name: str, pattern: str) -> Column:
+    """Whether every member of this name has a type that matches."""
+    return F.forall(named(fields, name), lambda v: F.coalesce(F.schema_of_variant(v).rlike(pattern), F.lit(True)))
 
 
-def member_type(path: str, of: str = "m") -> Column:
-    """Type of a member of a variant, e.g. STRING, ARRAY<STRING>; NULL if absent."""
-    return F.schema_of_variant(F.try_variant_get(of, path, "variant"))
+def last(fields: Column | str, name: str) -> Column:
+    """The last of the members of this name that is not null."""
+    given = F.filter(named(fields, name), lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")) != "VOID")
+    return F.try_element_at(given, F.lit(-1))
 
 
-def text_or_none(path: str, of: str = "m") -> Column:
-    """A member that is a string, null or absent."""
-    return F.coalesce(member_type(path, of).isin("STRING", "VOID"), F.lit(True))
+def is_text(fields: Column | str, name: str) -> Column:
+    """Whether every member of this name is a string or null."""
+    return like(fields, name, "^(STRING|VOID)$")
+
+
+def text(fields: Column | str, name: str) -> Column:
+    """The text of the last member of this name that is not null, else ''."""
+    return F.coalesce(F.try_variant_get(last(fields, name), "$", "string"), F.lit(""))
+
+
+def _texts(messages: DataFrame, value_col: str, fields: dict[str, str]) -> DataFrame:
+    """(seq, column...): the messages whose members ``fields`` are all text."""
+    m = parsed_json(messages, value_col)
+    for name in fields.values():
+        m = m.where(is_text("fields", name))
+    return m.select("seq", F.inline(F.array(F.struct(*[text("fields", n).alias(c) for c, n in fields.items()]))))
 
 
 def decode_heartbeats(messages: DataFrame, value_col: str = "value",
@@ -48,18 +83,17 @@ def decode_heartbeats(messages: DataFrame, value_col: str = "value",
 
     A message is dropped when it is not exactly one JSON object, when a field
     has another type than text, when its timestamp is missing, not
-    RFC3339-shaped or not a real instant. Missing or null id / status become
-    ''. Fractions beyond microseconds are truncated. ``ts`` is the UTC wall
-    clock as TIMESTAMP_NTZ (use ``event_time`` for streams).
+    RFC3339-shaped or not a real instant. Members are matched in any case; of
+    repeated ones the last that is not null counts, and all must be text or
+    null. A missing or null id / status becomes ''. Fractions beyond
+    microseconds are truncated. ``ts`` is the UTC wall clock as TIMESTAMP_NTZ
+    (use ``event_time`` for streams).
     """
-    m = parsed_json(messages.withColumnRenamed(seq_col, "seq"), value_col)
-    typed = m.where(text_or_none("$.server_id") & text_or_none("$.status") & text_or_none("$.timestamp"))
-    text = [F.try_variant_get("m", f"$.{c}", "string").alias(c) for c in ("server_id", "status", "timestamp")]
-    rows = typed.select("seq", F.inline(F.array(F.struct(*text))))
+    rows = _texts(messages.withColumnRenamed(seq_col, "seq"), value_col,
+                  {"server_id": "server_id", "status": "status", "timestamp": "timestamp"})
     instant = F.regexp_replace("timestamp", r"(\.\d{6})\d+", "$1").try_cast("timestamp")
-    return (rows.where(F.coalesce(F.col("timestamp").rlike(RFC3339_SHAPE), F.lit(False)) & instant.isNotNull())
-            .select("seq", F.coalesce("server_id", F.lit("")).alias("server_id"),
-                    F.coalesce("status", F.lit("")).alias("status"), to_utc_ntz(instant).alias("ts")))
+    return (rows.where(F.col("timestamp").rlike(RFC3339_SHAPE) & instant.isNotNull())
+            .select("seq", "server_id", "status", to_utc_ntz(instant).alias("ts")))
 
 
 def decode_probe_requests(messages: DataFrame, value_col: str = "value") -> DataFrame:
@@ -67,12 +101,7 @@ def decode_probe_requests(messages: DataFrame, value_col: str = "value") -> Data
 
     Same rules as for heartbeats; the fields are ServerID, ServerName, IP.
     """
-    fields = {"server_id": "$.ServerID", "server_name": "$.ServerName", "ip": "$.IP"}
-    m = parsed_json(messages, value_col)
-    for path in fields.values():
-        m = m.where(text_or_none(path))
-    return m.select("seq", *[F.coalesce(F.try_variant_get("m", p, "string"), F.lit("")).alias(c)
-                             for c, p in fields.items()])
+    return _texts(messages, value_col, {"server_id": "ServerID", "server_name": "ServerName", "ip": "IP"})
 
 
 def heartbeat_json(server_id="server_id", status="status", ts="ts") -> Column:

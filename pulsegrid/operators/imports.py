@@ -5,27 +5,31 @@ its id *or* its name is already held by an existing row (deleted rows
 included) or by a row accepted earlier in the same import. With two unique
 keys, "first row per id and first row per name" is wrong: a row rejected
 for its name must not block a later row with the same id. ``greedy_merge``
-computes the exact sequential answer in distributed rounds:
-
-  round: accept every undecided row that is first (by ``rn``) in its id group
-  *and* first in its name group; drop undecided rows whose id or name was
-  just accepted; repeat until none is left.
-
-Each round accepts at least the smallest undecided row, so it terminates,
-and it is exact: a row that is first in both groups cannot be blocked by
-any earlier undecided row, and every removed row is blocked by an accepted
-row that precedes it. Rounds use group-by minima (partial aggregation, safe
-for a key that holds a third of the rows) and equi joins; each round is
-written as a table into the shared checkpoint folder and read back, so the
-plan stays flat and a lost executor only recomputes one round.
+computes the exact sequential answer in few distributed passes over ranges
+of the insert order:
+
+  pass: every range is replayed in order, all ranges at once. A row whose id
+  or name an accepted row of the range holds is rejected. A row that shares
+  one with an undecided row before it, in an earlier range or in this one,
+  stays undecided. Every other row is accepted. Undecided rows that share an
+  id or a name with an accepted row are then dropped, the others go on.
+
+It is exact: what precedes an accepted row and shares a key with it is
+already rejected. The first range with undecided rows is decided whole in
+each pass, and so is whatever hangs on rows of one range only, however long
+the chain. Ranges have at most ``RANGE_ROWS`` rows; keys meet over ranges by
+group minima (partial aggregation, safe for a key that holds a third of the
+rows) and equi joins. Each pass is one table in the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid import schemas as S
 from pulsegrid.functions.predicates import ipv4_ok
@@ -96,10 +100,10 @@ def as_server_rows(records: DataFrame, created_at=None) -> DataFrame:
 # ---------------------------------------------------------------- greedy merge
 
 def _freeze(df: DataFrame) -> DataFrame:
-    """Materialise a round as a Parquet table in the shared checkpoint folder
-    and read it back: lineage is cut and the next round starts from a plain
+    """Materialise a pass as a Parquet table in the shared checkpoint folder
+    and read it back: lineage is cut and the next pass starts from a plain
     scan. (A checkpointed Dataset keeps the inferred constraints of the plan
-    it came from; over many rounds of self-joins those grow until planning
+    it came from; over many passes of self-joins those grow until planning
     alone exhausts the driver, so a written table is used instead.)"""
     path = shared_dir(df.sparkSession, "import-round")
     df.write.mode("overwrite").parquet(path)
@@ -108,50 +112,84 @@ def _freeze(df: DataFrame) -> DataFrame:
     return out
 
 
+RANGE_ROWS = 50_000  # rows of the insert order that one task replays
+
+
+def _replay(rows: pd.DataFrame) -> pd.DataFrame:
+    """One range in insert order: adds ``state``, 'a'ccepted, 'r'ejected or
+    'u'ndecided. ``id_waits`` and ``name_waits``: an undecided row of an
+    earlier range has the id, the name. A null key conflicts with none."""
+    rows = rows.sort_values("position")
+    ids, names, states = {}, {}, []
+    for sid, name, id_waits, name_waits in zip(rows["server_id"], rows["server_name"],
+                                               rows["id_waits"], rows["name_waits"]):
+        held = ids.get(sid), names.get(name)
+        state = "r" if "a" in held else "u" if id_waits or name_waits or "u" in held else "a"
+        if state != "r":
+            if sid is not None:
+                ids[sid] = state
+            if name is not None:
+                names[name] = state
+        states.append(state)
+    return rows[["position", "range", "rn", "server_id", "server_name"]].assign(state=states)
+
+
+def _waits(undecided: DataFrame, key: str, flag: str) -> DataFrame:
+    """Whether an earlier range has the row's key: the first range of each key
+    that more than one range has, met again by an equi join."""
+    first = undecided.groupBy(key).agg(F.min("range").alias("_first"), F.max("range").alias("_last"))
+    later = first.where("_first < _last").drop("_last")
+    return undecided.join(later, key, "left").withColumn(
+        flag, F.coalesce(F.col("_first") < F.col("range"), F.lit(False))).drop("_first")
+
+
 def greedy_merge(candidates: DataFrame, registry: DataFrame | None = None,
-                 max_rounds: int | None = None) -> DataFrame:
+                 range_rows: int = RANGE_ROWS) -> DataFrame:
     """Exact sequential insert of ``candidates`` (rn, server_id, server_name)
     against ``registry`` (server_id, server_name; every row, deleted too).
 
     ``rn`` is the insert order and must be unique (any orderable type).
     Returns every candidate with ``outcome`` = 'success' or the duplicate
-    error, and ``round`` (the round that accepted it).
+    error, and ``pass`` (the pass that accepted it).
     """
     cand = candidates.select("rn", "server_id", "server_name")
-    undecided = cand
+    fresh = cand
     if registry is not None:
-        undecided = (undecided.join(registry.select("server_id"), "server_id", "left_anti")
-                              .join(registry.select("server_name"), "server_name", "left_anti"))
+        fresh = (fresh.join(registry.select("server_id"), "server_id", "left_anti")
+                      .join(registry.select("server_name"), "server_name", "left_anti"))
     # Pre-reduce identical (id, name) pairs to their first row: a later copy
     # always loses to the earlier one (or for the same reason).
-    undecided = _freeze(undecided.groupBy("server_id", "server_name")
-                                 .agg(F.min("rn").alias("rn")))
+    once = fresh.where("server_id is not null and server_name is not null").groupBy(
+        "server_id", "server_name").agg(F.min("rn").alias("rn")).unionByName(
+        fresh.where("server_id is null or server_name is null"))
     spark = cand.sparkSession
-    accepted = shared_dir(spark, "import-accepted")  # one table, a round appends to it
-    rounds, round_path = 0, undecided.stored_path
-    while not undecided.isEmpty():
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            raise RuntimeError(f"greedy_merge: more than {max_rounds} rounds")
-        first_id = undecided.groupBy("server_id").agg(F.min("rn").alias("rn"))
-        first_name = undecided.groupBy("server_name").agg(F.min("rn").alias("rn"))
-        acc = _freeze(first_id.join(first_name, "rn"))
-        acc.select("rn", F.lit(rounds).alias("round")).write.mode("append").parquet(accepted)
-        # rows that share an id or a name with a row just accepted (the row
-        # itself among them) are decided; the others go on
-        step = _freeze(undecided.join(acc.select("server_id"), "server_id", "left_anti")
-                                .join(acc.select("server_name"), "server_name", "left_anti"))
-        drop_dir(spark, acc.stored_path)
-        drop_dir(spark, round_path)
-        undecided, round_path = step, step.stored_path
-    drop_dir(spark, round_path)
-    acc_keys = (spark.read.parquet(accepted) if rounds else
-                cand.select("rn", F.lit(None).cast("int").alias("round")).where(F.lit(False)))
+    left = _freeze(with_positions(once, [F.col("rn").asc()]).withColumn(
+        "range", F.floor(F.col("position") / range_rows)))
+    accepted = shared_dir(spark, "import-accepted")  # one table, a pass appends to it
+    passes, ranges = 0, 1 if not left.isEmpty() else 0
+    schema = T.StructType([left.schema[c] for c in ("position", "range", "rn", "server_id", "server_name")]
+                          + [T.StructField("state", T.StringType())])
+    while ranges:
+        passes += 1
+        waiting = _waits(_waits(left, "server_id", "id_waits"), "server_name", "name_waits")
+        step = _freeze(waiting.groupBy("range").applyInPandas(_replay, schema))
+        won = step.where("state = 'a'")
+        won.select("rn", F.lit(passes).alias("pass")).write.mode("append").parquet(accepted)
+        drop_dir(spark, left.stored_path)
+        ranges = step.where("state = 'u'").select("range").distinct().count()
+        if ranges:
+            left = _freeze(step.where("state = 'u'").drop("state")
+                           .join(won.select("server_id"), "server_id", "left_anti")
+                           .join(won.select("server_name"), "server_name", "left_anti"))
+            ranges = 0 if left.isEmpty() else ranges
+        drop_dir(spark, step.stored_path)
+    acc_keys = (spark.read.parquet(accepted) if passes else
+                cand.select("rn", F.lit(None).cast("int").alias("pass")).where(F.lit(False)))
     return (cand.join(acc_keys, "rn", "left")
                 .select("rn", "server_id", "server_name",
-                        F.when(F.col("round").isNotNull(), F.lit(ACCEPTED))
+                        F.when(F.col("pass").isNotNull(), F.lit(ACCEPTED))
                          .otherwise(F.lit(S.ERR_DUPLICATE)).alias("outcome"),
-                        "round"))
+                        "pass"))
 
 
 def import_records(records: DataFrame, registry: DataFrame | None = None) -> DataFrame:

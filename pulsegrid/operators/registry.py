@@ -113,43 +113,54 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def _rename_in_order(names: DataFrame, wants: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Renames applied as if one after the other by ``rn``.
-
-    ``names``: (server_id, name), all rows that the wanted names or ids touch;
-    ``wants``: (rn, server_id, want), active servers only. A rename touches
-    its server, the name that this has and the one it wants. It is decided
-    once no earlier undecided rename touches any of the three: then nothing
-    that comes before it can change the answer. It fails if another server
-    holds the wanted name at that time; a name given up is free for later
-    ones. Rounds: at most the longest chain of renames that wait for each
-    other. Returns (rn, ok) and the names after all.
+def _rename_in_order(held: DataFrame, wants: DataFrame) -> DataFrame:
+    """The renames (rn, server_id, want) that succeed when all are applied
+    one after the other by ``rn``.
+
+    ``held``: (name, holder), the servers that have a wanted name at first;
+    ``wants``: (rn, server_id, want), active servers only. A rename succeeds
+    if no other server has the name at that time; a name given up is free for
+    later ones. Every wanted name has a history of its own: its holder has it
+    until the holder's next rename to another name that does not fail; until
+    then all others fail, at once and however many they are. If that rename
+    is known to succeed the name is free from there on, and the first request
+    for a free name succeeds, whatever else its server asked for before. So a
+    round moves every name on to its holder's next undecided rename, and only
+    names that change hands, one for another, take several rounds.
     """
-    spark = names.sparkSession
-    names, left = _stored(names, "names"), _stored(wants, "renames")
-    done_path, started = shared_dir(spark, "renames-done"), False
-    while not left.isEmpty():
-        now = left.join(names, "server_id").select("rn", "server_id", "want", F.col("name").alias("has"))
-        by_id = left.groupBy("server_id").agg(F.min("rn").alias("rn"))
-        touched = now.select("rn", F.explode(F.array_distinct(F.array("want", "has"))).alias("name"))
-        waits = (touched.join(touched.groupBy("name").agg(F.min("rn").alias("first")), "name")
-                 .where("rn <> first").select("rn").distinct())
-        ready = now.join(by_id, ["server_id", "rn"], "left_semi").join(waits, "rn", "left_anti")
-        held = names.select(F.col("name").alias("want"), F.col("server_id").alias("holder"))
-        decided = _stored(ready.join(held, "want", "left").groupBy("rn", "server_id", "want").agg(
-            F.bool_and(F.col("holder").isNull() | (F.col("holder") == F.col("server_id"))).alias("ok")), "decided")
-        decided.select("rn", "ok").write.mode("append").parquet(done_path)
-        started = True
-        later = _stored(left.join(decided, "rn", "left_anti"), "renames")
-        new = decided.where("ok").select("server_id", F.col("want").alias("new_name"))
-        after = _stored(names.join(new, "server_id", "left")
-                        .select("server_id", F.coalesce("new_name", "name").alias("name")), "names")
-        for old in (decided, left, names):
-            drop_dir(spark, old.stored_path)
-        left, names = later, after
-    done = (spark.read.parquet(done_path) if started
-            else wants.select("rn", F.lit(True).alias("ok")).where(F.lit(False)))
-    return done, names
+    spark = wants.sparkSession
+    start = wants.select(F.col("want").alias("name")).distinct().join(held, "name", "left")
+    names = start.select("name", "holder", F.lit(None).cast(wants.schema["rn"].dataType).alias("since"))
+    left = _stored(wants.withColumn("ok", F.lit(None).cast("boolean")), "renames")  # without the failed
+    after = lambda rn, since: F.col(since).isNull() | (F.col(rn) > F.col(since))
+    old, rounds = [], 0
+    while not left.where("ok is null").isEmpty():
+        rounds += 1
+        leaves = (left.join(names.where("holder is not null"), F.col("server_id") == F.col("holder"))
+                  .where(after("rn", "since") & (F.col("want") != F.col("name")))
+                  .groupBy("name").agg(F.min(F.struct("rn", "ok")).alias("leave")))
+        known = names.join(leaves, "name", "left").select(
+            "name", "holder", "since", F.col("leave.rn").alias("until"),
+            (F.col("holder").isNull() | F.coalesce("leave.ok", F.lit(False))).alias("free"),
+            F.coalesce("leave.rn", "since").alias("free_at"))
+        takes = (left.where("ok is null").join(known.where("free"), F.col("want") == F.col("name"))
+                 .where(after("rn", "free_at")).groupBy("name").agg(F.min(F.struct("rn", "server_id")).alias("take")))
+        known = _stored(known.join(takes, "name", "left"), "names")
+        step = left.join(known.withColumnRenamed("name", "want"), "want").withColumn(
+            "ok", F.when(F.col("ok") | (F.col("rn") == F.col("take.rn")), F.lit(True))
+                   .when(F.col("holder").isNotNull() & (F.col("until").isNull() | (F.col("rn") < F.col("until"))),
+                         F.col("server_id") == F.col("holder")))
+        step = _stored(step.where("ok is null or ok").select("rn", "server_id", "want", "ok"), "renames")
+        names = known.select("name", F.when(F.col("take").isNotNull(), F.col("take.server_id"))
+                             .when(~F.col("free"), F.col("holder")).alias("holder"),
+                             F.when(F.col("take").isNotNull(), F.col("take.rn"))
+                             .when(F.col("free"), F.col("free_at")).otherwise(F.col("since")).alias("since"))
+        for path in (left.stored_path, *old):
+            drop_dir(spark, path)
+        left, old = step, [known.stored_path]
+    for path in old:
+        drop_dir(spark, path)
+    return left.drop("ok")
 
 
 def patch_servers(servers: DataFrame, patches: DataFrame, as_of=None
@@ -161,7 +172,7 @@ def patch_servers(servers: DataFrame, patches: DataFrame, as_of=None
     not found); a non-empty new name must not be held by another server at
     that time (deleted rows included). Empty or NULL fields mean "no change";
     ``metadata_updated_at`` is stamped with ``as_of`` (default: current time).
-    Only renames depend on each other and go through rounds; a server's ipv4
+    Only renames depend on each other (``_rename_in_order``); a server's ipv4
     is that of its last successful request that has one.
 
     outcomes: rn, server_id, outcome, one row for each request.
@@ -174,14 +185,13 @@ def patch_servers(servers: DataFrame, patches: DataFrame, as_of=None
         "error", F.when(F.col("new_ip").isNotNull() & ~ipv4_ok("new_ip"), F.lit(S.ERR_INVALID_IP))
                   .when(F.col("found").isNull(), F.lit(S.ERR_NOT_FOUND))).drop("found"), "patches")
     wants = checked.where("error is null and want is not null").select("rn", "server_id", "want")
-    touched = (servers.join(wants.select("server_id"), "server_id", "left_semi")
-               .union(servers.join(wants.select(F.col("want").alias("server_name")), "server_name", "left_semi")
-                      .select(*servers.columns)))
-    names = touched.select("server_id", F.col("server_name").alias("name")).distinct()
-    renamed, names = _rename_in_order(names, wants)
-    done = checked.join(renamed, "rn", "left").withColumn(
-        "outcome", F.coalesce("error", F.when(F.col("ok") == False, F.lit(S.ERR_DUPLICATE)),  # noqa: E712
-                              F.lit("updated")))
+    held = servers.join(wants.select(F.col("want").alias("server_name")), "server_name", "left_semi").select(
+        F.col("server_name").alias("name"), F.col("server_id").alias("holder"))
+    renamed = _rename_in_order(held, wants)
+    names = renamed.groupBy("server_id").agg(F.max_by("want", "rn").alias("name"))
+    done = checked.join(renamed.select("rn", F.lit(True).alias("ok")), "rn", "left").withColumn(
+        "outcome", F.coalesce("error", F.when(F.col("want").isNotNull() & F.col("ok").isNull(),
+                                              F.lit(S.ERR_DUPLICATE)), F.lit("updated")))
     done = _stored(done.select("rn", "server_id", "want", "new_ip", "outcome"), "patched")
     good = done.where("outcome = 'updated'")
     last_ip = good.where("new_ip is not null").groupBy("server_id").agg(F.max("rn").alias("rn")) \
@@ -244,3 +254,38 @@ def monitored_set(changelog: DataFrame) -> DataFrame:
     if payload:
         live = live.join(changelog.select("server_id", "seq", *payload), ["server_id", "seq"])
     return live
+
+
+def monitored_resync(changelog: DataFrame, resyncs: list[int], include_deleted: bool = True) -> DataFrame:
+    """The monitored set at the end of each period between resyncs.
+
+    ``changelog``: (seq, server_id, op), op 'delete' or a put; ``resyncs``: the
+    positions, in ``seq``, of the resyncs (start-ups; few). A resync replaces
+    the whole set by the registry as of its position: every server that a
+    change before it has put, deleted ones too unless ``include_deleted`` is
+    false (the reference loads without an is_deleted filter). Changes from
+    there on overlay it: a put sets a server, a delete removes it. Before the
+    first resync (period 0) the set starts empty.
+
+    -> (period, server_id, seq): ``seq`` of the put that the entry holds.
+    An as-of merge without a join: the log is reduced to one row per server
+    and period by hash aggregates; a server's few periods then give its rows.
+    """
+    points = F.array(*[F.lit(int(r)).cast("long") for r in sorted(resyncs)]).cast("array<long>")
+    put = F.col("op") != "delete"
+    logged = changelog.where("server_id is not null and seq is not null and op is not null").select(
+        "server_id", "seq", "op", F.size(F.filter(points, lambda r: r <= F.col("seq"))).alias("period"))
+    of_period = logged.groupBy("server_id", "period").agg(
+        F.max("seq").alias("last"), F.max(F.when(put, F.col("seq"))).alias("put"))
+    servers = of_period.groupBy("server_id").agg(F.collect_list(F.struct("period", "last", "put")).alias("periods"),
+                                                 F.min(F.when(F.col("put").isNotNull(), F.col("period"))).alias("born"))
+    each = servers.where("born is not null").select(
+        "server_id", "periods", F.explode(F.sequence("born", F.lit(len(resyncs)))).alias("period"))
+    own = F.get(F.filter("periods", lambda x: x["period"] == F.col("period")), 0)
+    before = F.filter("periods", lambda x: x["period"] < F.col("period"))
+    rows = each.select("server_id", "period", own.alias("own"), F.array_max(F.transform(before, lambda x: x["put"]))
+                       .alias("loaded"), F.array_max(F.transform(before, lambda x: x["last"])).alias("changed"))
+    here = F.when(F.col("own.last").isNotNull(), F.col("own.last") == F.col("own.put")).otherwise(
+        F.col("loaded").isNotNull() & (F.lit(include_deleted) | (F.col("loaded") == F.col("changed"))))
+    return rows.where(F.coalesce(here, F.lit(False))).select(
+        "period", "server_id", F.coalesce("own.put", "loaded").alias("seq"))

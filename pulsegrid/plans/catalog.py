@@ -8,20 +8,22 @@ same query.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import exports, heartbeats, imports, messages, registry, uptime
+from pulsegrid.operators import exports, heartbeats, imports, messages, pages, registry, uptime
 from pulsegrid.session import apply_sql_defaults, shared_dir
 from pulsegrid.functions.messages import (
     decode_heartbeats, decode_probe_requests, heartbeat_json, parsed_json,
 )
+from pulsegrid.functions.timefmt import ts_literal
 from pulsegrid.sources import fixtures as fx
 from pulsegrid.sources import sheets
 from pulsegrid.streaming import heartbeats as streams
-from pulsegrid.streaming import log, mail
+from pulsegrid.streaming import log, mail, probes
 
 # Fixed parameters of the registered queries.
 REPORT_FROM = "2024-01-05 00:00:00"
@@ -30,6 +32,7 @@ PROBE_FROM = "2024-01-01 00:00:00"
 PROBE_TO = "2024-01-01 01:00:00"
 PROBE_CYCLE_SECONDS = 60
 PATCH_AS_OF = "2024-02-01 00:00:00"
+REGISTRY_BUCKETS = 16
 
 
 def q_uptime_report(spark: SparkSession, d: str) -> DataFrame:
@@ -80,6 +83,14 @@ def q_list_servers_deep(spark, d):
     return registry.list_servers(servers, max(0, n - 130), max(0, n - 130) + 100, "server_name")
 
 
+def q_list_servers_paged(spark, d):
+    """The same page from files in list order and their index."""
+    servers, root = fx.servers(spark, d), shared_dir(spark, "pages")
+    pages.write_pages(servers, root, [("server_name", False)])
+    n = registry.count_servers(servers).first()["total"]
+    return pages.read_page(spark, root, max(0, n - 130), max(0, n - 130) + 100, "server_name")
+
+
 def q_count_servers(spark, d):
     return registry.count_servers(fx.servers(spark, d))
 
@@ -126,6 +137,13 @@ def q_monitored_set(spark, d):
     return registry.monitored_set(fx.changelog(spark, d)).select("server_id", "seq")
 
 
+def q_monitored_resync(spark, d):
+    """The set at the end of each quarter of the log, with a resync between."""
+    log_rows = fx.changelog(spark, d)
+    last = log_rows.agg(F.max("seq")).first()[0]
+    return registry.monitored_resync(log_rows, [last * i // 4 for i in (1, 2, 3)])
+
+
 def q_monitored_registry(spark, d):
     return registry.monitored_from_registry(fx.servers(spark, d))
 
@@ -185,7 +203,7 @@ def q_probe_requests(spark, d):
 
 def q_probe_messages(spark, d):
     mon = registry.monitored_from_registry(fx.servers(spark, d))
-    return messages.probe_messages(messages.probe_requests(mon, PROBE_FROM, PROBE_FROM, PROBE_CYCLE_SECONDS))
+    return messages.probe_messages(messages.probe_requests(mon, PROBE_FROM, PROBE_TO, PROBE_CYCLE_SECONDS))
 
 
 def q_classify_probe(spark, d):
@@ -221,6 +239,15 @@ def q_attachment_names(spark, d):
     return paths.select("path", messages.base_name("path").alias("filename"))
 
 
+def q_attachment_listing(spark, d):
+    """The files of a store: here the import sheets, one in each folder."""
+    store = shared_dir(spark, "store")
+    fx.write_sheet_files(fx.imp_sheet_table(spark, d), store)
+    files = messages.list_attachment_files(spark, store)
+    return files.select(F.regexp_extract("path", "file_no=([0-9]+)", 1).cast("long").alias("file_no"),
+                        F.regexp_extract("filename", "[.]([a-z]+)$", 1).alias("kind"))
+
+
 def q_mail_ready(spark, d):
     return messages.attachment_ready(fx.mail_items(spark, d), fx.mail_files(spark, d))
 
@@ -244,6 +271,20 @@ def q_heartbeat_archive(spark, d):
     return streams.read_archive(spark, sink)
 
 
+def q_archive_once(spark, d):
+    """The log archived, then read again from its start by another stream,
+    together with messages that were late."""
+    late = F.col("seq") % 10 == 3
+    src, sink = shared_dir(spark, "once-src"), shared_dir(spark, "once-sink")
+    streams.write_message_files(fx.hb(spark, d).where(~late), src)
+    for run in range(2):
+        ckpt = shared_dir(spark, "once-ckpt")
+        streams.start_archive_once(streams.heartbeat_file_source(spark, src), sink, ckpt).awaitTermination()
+        if not run:
+            streams.write_message_files(fx.hb(spark, d).where(late), src)
+    return streams.read_archive_once(spark, sink)
+
+
 def q_status_stream(spark, d):
     src = _publish_hb(spark, d, "status")
     path, ckpt = shared_dir(spark, "status-log"), shared_dir(spark, "status-ckpt")
@@ -265,6 +306,48 @@ def q_status_compacted(spark, d):
     return view.select("server_id", "status", "last_ping_at", "is_deleted")
 
 
+def q_status_bucketed(spark, d):
+    """The registry in buckets after two compactions of the touched ones."""
+    path, ckpt = shared_dir(spark, "bucket-log"), shared_dir(spark, "bucket-ckpt")
+    src, reg = shared_dir(spark, "bucket-src"), shared_dir(spark, "bucket-registry")
+    streams.write_registry_buckets(fx.servers(spark, d), reg, REGISTRY_BUCKETS)
+    for half in (F.col("seq") % 2 == 0, F.col("seq") % 2 == 1):
+        streams.write_message_files(fx.hb(spark, d).where(half), src)
+        streams.start_status(streams.heartbeat_file_source(spark, src), path, ckpt).awaitTermination()
+        streams.compact_status_buckets(spark, path, reg, REGISTRY_BUCKETS)
+    return streams.read_registry_buckets(spark, reg).select("server_id", "status", "last_ping_at", "is_deleted")
+
+
+def q_status_changes(spark, d):
+    """Two runs of the change stream, its changes folded to the last of each server."""
+    src, out, ckpt = (shared_dir(spark, f"changes-{n}") for n in ("src", "out", "ckpt"))
+    for half in (F.col("seq") % 2 == 0, F.col("seq") % 2 == 1):
+        streams.write_message_files(fx.hb(spark, d).where(half), src)
+        streams.start_status_changes(streams.heartbeat_file_source(spark, src), out, ckpt).awaitTermination()
+    changes = spark.read.schema(streams.STATUS_LOG).parquet(out)
+    return heartbeats.latest_status(changes.withColumnRenamed("last_ping_at", "ts")).select("server_id", "status")
+
+
+def q_probe_stream(spark, d):
+    """Ticks at the quarters of the time in which the servers were created; a
+    deleted server is gone half an hour after its creation."""
+    servers = fx.servers(spark, d)
+    last = servers.agg(F.max("created_at")).first()[0]
+    start = dt.datetime.fromisoformat(PROBE_FROM)
+    cycle = int((last - start).total_seconds()) // 4
+
+    def monitored(ticks):
+        tick = ts_literal(ticks.first()["tick"])  # one row
+        gone = F.col("is_deleted") & (F.col("created_at") + F.expr("interval 30 minutes") <= tick)
+        return servers.where((F.col("created_at") <= tick) & ~gone).withColumn("tick", tick)
+
+    out, ckpt = shared_dir(spark, "probe-out"), shared_dir(spark, "probe-ckpt")
+    millis = int(start.replace(tzinfo=dt.timezone.utc).timestamp()) * 1000
+    for _ in range(4):  # a tick a run, resumed from the checkpoint
+        probes.start_fan_out(probes.tick_source(spark, millis, cycle * 1000), monitored, out, ckpt).awaitTermination()
+    return probes.read_fan_out(spark, out)
+
+
 def q_uptime_stream(spark, d):
     src = _publish_hb(spark, d, "daily")
     parts, ckpt = shared_dir(spark, "daily-parts"), shared_dir(spark, "daily-ckpt")
@@ -325,6 +408,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mail_messages": q_mail_messages,
     "attachment_names": q_attachment_names,
     "status_compacted": q_status_compacted,
+    "monitored_resync": q_monitored_resync,
+    "list_servers_paged": q_list_servers_paged,
+    "attachment_listing": q_attachment_listing,
+    "archive_once": q_archive_once,
+    "status_bucketed": q_status_bucketed,
+    "status_changes": q_status_changes,
+    "probe_stream": q_probe_stream,
 }
 
 

@@ -70,9 +70,33 @@ A = {
         when 6 then concat('{"server_id":"', user_id, '","status":1,"timestamp":"2024-01-01T00:00:00Z"}')
         when 7 then concat('{"server_id":"', user_id, '","status":"on","timestamp":"1969-12-31T23:59:58.25Z"}')
         when 8 then '{"server_id":null,"status":"on","timestamp":"2024-01-01T00:00:00Z"}'
+        when 9 then concat(good, ',"x":1') when 10 then concat(good, ',"m2":{"q":[1]}')
+        when 11 then concat(good, ',', good) when 12 then concat(good, '} x')
+        when 13 then concat('{"Server_ID":"', user_id, '","STATUS":"off","TimeStamp":"2024-01-02T03:04:05Z"}')
+        when 14 then concat('{"server_id":"first","SERVER_ID":"', user_id,
+                            '","status":"on","status":"off","timestamp":"2024-01-01T00:00:00Z"}')
+        when 15 then concat('{"server_id":"', user_id,
+                            '","server_id":null,"status":"on","timestamp":"2024-01-01T00:00:00Z"}')
+        when 16 then concat('{"server_id":7,"server_id":"', user_id, '","status":"on","timestamp":"2024-01-01T00:00:00Z"}')
+        when 17 then concat(' ', good, chr(10))
+        when 18 then concat('{"a":{"b":1,"b":2},"timestamp":"2024-01-01T00:00:00Z","server_id":"', user_id, '"}')
         else concat('{"server_id":"', user_id, '","status":"', case when event_type = 'error' then 'off' else 'on' end,
                     '","timestamp":"2024-01-', lpad(cast(1 + event_id % 28 as varchar), 2, '0'), 'T00:00:00Z"}')
-        end as value from events""",
+        end as value from (select *, concat('{"server_id":"', user_id,
+                             '","status":"on","timestamp":"2024-01-01T00:00:00Z"}') as good from events)""",
+    "probe_log": """select event_id as seq, case
+        when event_id % 60 = 0 then '{"ServerID":"1","IP":5}' when event_id % 60 = 20 then concat(request, request)
+        when event_id % 60 = 40 then concat(request, ',"m2":{}')
+        when event_id % 20 = 7 then concat('{"ip":"10.9.9.9","serverid":"', user_id, '","Serverid":null}')
+        else request end as value
+        from (select *, concat('{"ServerID":"', user_id, '","ServerName":"n\\"', user_id, '","IP":"10.0.0.1"}')
+              as request from events)""",
+    "raw_mails": """select seq, case seq % 35 when 28 then concat(value, ',"Mail":{}') when 0 then concat(value, ' x')
+          when 7 then '{"Mail":{"Attachments":"oops"}}' when 14 then '{"Mail":{"To":"x"}}'
+          when 21 then '{"Mail":{"Attachments":[{"Filename":1}]}}' else value end as value
+        from (select conv_id as seq, concat('{"Mail":{"From":"","To":[],"Subject":"","Body":"","Attachments":[',
+                string_agg(concat('{"Filename":"report-', conv_id, '-', turn, '.csv"}'), ',' order by turn), ']}}') as value
+              from conversations group by conv_id)""",
     "probe_results": """select event_id as seq, cast(user_id as varchar) as server_id,
         case when event_type = 'error' then 'timeout' else null end as error,
         event_id % 3 as packets_recv, ts as probed_at from events""",
@@ -188,6 +212,21 @@ def _patched() -> str:
             from s join q on q.k = s.step + 1) t)"""
 
 
+def _members(src: str, *names: str) -> str:
+    """The text itself is judged: valid JSON, an object, members of these
+    names in any case that are all text or null, the last text of each."""
+    def of(n: str) -> str:
+        return f"lower(e.key) = '{n.lower()}'"
+    ok = " and ".join(f"coalesce(bool_and(e.type in ('VARCHAR', 'NULL')) filter ({of(n)}), true)" for n in names)
+    last = ", ".join(f"coalesce(last(e.atom ->> '$' order by e.id) filter ({of(n)} and e.type = 'VARCHAR'), '')"
+                     f" as {n}" for n in names)
+    return f""", objects as (select seq, case when json_valid(value) and json_type(value) = 'OBJECT'
+          then value else '{{}}' end as value, json_valid(value) and json_type(value) = 'OBJECT' as whole
+          from (select seq, case when json_valid(value) then value else '0' end as value from {src})),
+        decoded as (select o.seq, {last} from objects o left join json_each(o.value) e on true
+          where o.whole group by o.seq having {ok})"""
+
+
 _VALID_REPORTS = _with("report_requests") + f""", valid as (select * from report_requests
         where not (from_ts > to_ts) and len(receivers) > 0
           and len(list_filter(receivers, lambda r: not regexp_full_match(r, '{EMAIL_RE}'))) = 0)
@@ -204,19 +243,9 @@ ORACLE: dict[str, str] = {
         doc_count as total_checks from r""",
     "heartbeat_latest": _with("hb") + ", " + _LATEST + """
         select server_id, status, ts as last_ping_at from latest""",
-    # the text itself is judged: valid JSON, an object, text fields, a time
-    "heartbeat_decode": _with("raw_messages") + """, j as (
-        select seq, value from raw_messages where json_valid(value)),
-        f as (select seq, json_extract_string(value, '$.server_id') as server_id,
-          json_extract_string(value, '$.status') as status,
-          json_extract_string(value, '$.timestamp') as stamp,
-          json_type(value) = 'OBJECT'
-            and coalesce(json_type(value, '$.server_id'), 'NULL') in ('VARCHAR', 'NULL')
-            and coalesce(json_type(value, '$.status'), 'NULL') in ('VARCHAR', 'NULL')
-            and json_type(value, '$.timestamp') = 'VARCHAR' as ok from j)
-        select seq, coalesce(server_id, '') as server_id, coalesce(status, '') as status,
-          try_cast(replace(stamp, 'Z', '') as timestamp) as ts
-        from f where ok and try_cast(replace(stamp, 'Z', '') as timestamp) is not null""",
+    "heartbeat_decode": _with("raw_messages") + _members("raw_messages", "server_id", "status", "timestamp") + """
+        select seq, server_id, status, try_cast(replace(timestamp, 'Z', '') as timestamp) as ts
+        from decoded where try_cast(replace(timestamp, 'Z', '') as timestamp) is not null""",
     "status_upsert": _UPSERT,
     "list_servers": _with("servers") + """select server_id, server_name, status, ipv4, created_at,
         metadata_updated_at, last_ping_at from servers where not is_deleted
@@ -270,6 +299,16 @@ ORACLE: dict[str, str] = {
     "monitored_set": _with("changelog") + """select server_id, seq from (
         select *, row_number() over (partition by server_id order by seq desc) as rk from changelog)
         where rk = 1 and op <> 'delete'""",
+    "monitored_resync": _with("changelog") + """, r as (
+        select unnest([0, max(seq) // 4, max(seq) * 2 // 4, max(seq) * 3 // 4]) as start,
+               unnest([0, 1, 2, 3]) as period, max(seq) as top from changelog),
+        e as (select period, start, coalesce(lead(start) over (order by period), top + 1) as stop from r),
+        g as (select period, server_id,
+            max(seq) filter (seq >= start) as last, max(seq) filter (seq >= start and op <> 'delete') as put,
+            max(seq) filter (seq < start and op <> 'delete') as loaded
+          from changelog join e on seq < stop group by period, server_id)
+        select period, server_id, coalesce(put, loaded) as seq from g
+        where case when last is null then loaded is not null else last = put end""",
     "monitored_registry": _with("servers") + """select server_id, server_name, ipv4 from servers
         where not is_deleted""",
     "import_rows": _with("imp_files") + """select file_id, rn from imp_files
@@ -322,14 +361,17 @@ ORACLE: dict[str, str] = {
     "classify_probe": _with("probe_results") + """select seq, server_id,
         case when error is null and packets_recv > 0 then 'on' else 'off' end as status
         from probe_results""",
-    "probe_messages": _with("servers") + f"""select timestamp '{C.PROBE_FROM}' as tick,
+    "probe_messages": _with("servers") + f"""select unnest(generate_series(
+          timestamp '{C.PROBE_FROM}', timestamp '{C.PROBE_TO}',
+          interval '{C.PROBE_CYCLE_SECONDS}' second)) as tick,
         concat('{{"ServerID":"', server_id, '","ServerName":"', server_name, '","IP":"', ipv4, '"}}') as value
         from servers where not is_deleted""",
-    "probe_request_decode": """select event_id as seq, cast(user_id as varchar) as server_id,
-        concat('n"', user_id) as server_name, '10.0.0.1' as ip from events where event_id % 20 <> 0""",
-    "probe_heartbeats": _with("probe_results") + """select seq, server_id,
+    "probe_request_decode": _with("probe_log") + _members("probe_log", "ServerID", "ServerName", "IP") + """
+        select seq, ServerID as server_id, ServerName as server_name, IP as ip from decoded""",
+    "probe_heartbeats": _with("probe_log", "probe_results") + _members("probe_log", "ServerID", "ServerName", "IP")
+        + """ select d.seq, ServerID as server_id,
         case when error is null and packets_recv > 0 then 'on' else 'off' end as status, probed_at as ts
-        from probe_results where seq % 20 <> 0""",
+        from decoded d join probe_results p on d.seq = p.seq""",
     "mail_outbox": _VALID_REPORTS + """select req_id, unnest(receivers) as receiver,
         'Server uptime report' as subject, 'Please find the attached report.' as body,
         concat('report-', cast(req_id as varchar), '.csv') as filename from valid""",
@@ -342,15 +384,33 @@ ORACLE: dict[str, str] = {
     "mail_ready": _with("mail_items", "mail_files") + """select i.mail_id,
         bool_and(f.filename is not null) as ready
         from mail_items i left join mail_files f on i.filename = f.filename group by i.mail_id""",
-    "mail_stream": _with("mail_items", "mail_files") + """select i.mail_id,
-        bool_and(f.filename is not null) as ready
-        from mail_items i left join mail_files f on i.filename = f.filename
-        where i.mail_id % 7 <> 0 group by i.mail_id""",
+    # the text is judged: valid JSON whose parts have the types of a mail
+    "mail_stream": _with("raw_mails", "mail_files") + """, m as (
+        select seq, json_extract(value, '$.Mail') as mail from raw_mails where json_valid(value)),
+        good as (select seq, json_extract(mail, '$.Attachments') as items from m
+          where coalesce(json_type(mail, '$.To'), 'ARRAY') = 'ARRAY'
+            and coalesce(json_type(mail, '$.Attachments'), 'ARRAY') = 'ARRAY'),
+        items as (select seq, json_type(unnest(json_extract(items, '$[*].Filename'))) as type,
+                         unnest(json_extract_string(items, '$[*].Filename')) as filename from good)
+        select g.seq as mail_id, coalesce(bool_and(f.filename is not null) filter (i.seq is not null), true) as ready
+        from good g left join items i on g.seq = i.seq left join mail_files f on i.filename = f.filename
+        group by g.seq having coalesce(bool_and(i.type = 'VARCHAR'), true)""",
     "heartbeat_archive": _with("hb") + "select seq, server_id, status, ts, cast(ts as date) as dt from hb",
     "status_stream": _UPSERT,
     "status_compacted": _UPSERT,
     "uptime_stream": _with("hb") + _daily(True),
+    "attachment_listing": _with("imp_simple") + "select distinct rn // 100 as file_no, 'csv' as kind from imp_simple",
+    "archive_once": _with("hb") + "select seq, server_id, status, ts, cast(ts as date) as dt from hb",
+    "status_bucketed": _UPSERT,
+    "status_changes": _with("hb") + ", " + _LATEST + " select server_id, status from latest",
+    "probe_stream": _with("servers") + f""", t as (
+        select timestamp '{C.PROBE_FROM}' + to_seconds(i * (cast(epoch(max(created_at) - timestamp '{C.PROBE_FROM}') as bigint) // 4))
+          as tick from servers, (select unnest([0, 1, 2, 3]) as i) group by i)
+        select tick, concat('{{"ServerID":"', server_id, '","ServerName":"', server_name, '","IP":"', ipv4, '"}}') as value
+        from t join servers on created_at <= tick
+          and not (is_deleted and created_at + interval 30 minute <= tick)""",
 }
+ORACLE["list_servers_paged"] = ORACLE["list_servers_deep"]
 
 
 def oracle_sql() -> dict[str, str]:

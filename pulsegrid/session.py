@@ -36,6 +36,8 @@ SESSION_DEFAULTS = {
     # streaming state (daily windows: servers x open days) off the JVM heap
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # of members of one name in a message the last counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # checkpoint files of rounds no longer referenced are removed
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
@@ -135,6 +137,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs is not None and fs.exists(target)
 
 
+def list_dir(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if it is absent."""
+    fs, target = _file_system(spark, path)
+    if fs is None or not fs.exists(target):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(target))
+
+
 def _file_system(spark: SparkSession, path: str):
     """Hadoop file system and path object of ``path`` (None on Spark Connect)."""
     try:

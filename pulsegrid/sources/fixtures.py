@@ -207,11 +207,12 @@ def mail_requests(spark: SparkSession, d: str) -> DataFrame:
 
 def raw_mails(spark: SparkSession, d: str) -> DataFrame:
     """Mail message log (seq, value): the requests, every seventh of them
-    malformed in one of four ways."""
+    malformed in one of five ways."""
     from pulsegrid.streaming.mail import mail_json
     m = mail_requests(spark, d).select(F.col("mail_id").alias("seq"), mail_json().alias("value"))
-    k = F.col("seq") % 28
-    value = (F.when(k == 0, F.concat("value", F.lit(" x")))
+    k = F.col("seq") % 35
+    value = (F.when(k == 28, F.concat("value", F.lit(',"Mail":{}')))
+              .when(k == 0, F.concat("value", F.lit(" x")))
               .when(k == 7, F.lit('{"Mail":{"Attachments":"oops"}}'))
               .when(k == 14, F.lit('{"Mail":{"To":"x"}}'))
               .when(k == 21, F.lit('{"Mail":{"Attachments":[{"Filename":1}]}}'))
@@ -233,7 +234,9 @@ def stored_paths(spark: SparkSession, d: str) -> DataFrame:
 def raw_messages(spark: SparkSession, d: str) -> DataFrame:
     """Heartbeat message log with classes by event_id % 50: not JSON, bad
     timestamp, missing fields, extra field, text after the object, an object
-    for an id, a number for a status, a time before 1970, null id, valid."""
+    for an id, a number for a status, a time before 1970, null id, more
+    members or values after the object, names in another case, repeated
+    members (the last, null, of another type), valid."""
     e = _t(spark, d, "events")
     sid = F.col("user_id").cast("string")
     cls = F.col("event_id") % 50
@@ -254,11 +257,30 @@ def raw_messages(spark: SparkSession, d: str) -> DataFrame:
               .when(cls == 7, F.concat(F.lit('{"server_id":"'), sid,
                                        F.lit('","status":"on","timestamp":"1969-12-31T23:59:58.25Z"}')))
               .when(cls == 8, F.lit('{"server_id":null,"status":"on","timestamp":"2024-01-01T00:00:00Z"}'))
+              .when(cls == 9, F.concat(_good(sid), F.lit(',"x":1')))
+              .when(cls == 10, F.concat(_good(sid), F.lit(',"m2":{"q":[1]}')))
+              .when(cls == 11, F.concat(_good(sid), F.lit(','), _good(sid)))
+              .when(cls == 12, F.concat(_good(sid), F.lit('} x')))
+              .when(cls == 13, F.concat(F.lit('{"Server_ID":"'), sid,
+                                        F.lit('","STATUS":"off","TimeStamp":"2024-01-02T03:04:05Z"}')))
+              .when(cls == 14, F.concat(F.lit('{"server_id":"first","SERVER_ID":"'), sid,
+                                        F.lit('","status":"on","status":"off","timestamp":"2024-01-01T00:00:00Z"}')))
+              .when(cls == 15, F.concat(F.lit('{"server_id":"'), sid,
+                                        F.lit('","server_id":null,"status":"on","timestamp":"2024-01-01T00:00:00Z"}')))
+              .when(cls == 16, F.concat(F.lit('{"server_id":7,"server_id":"'), sid,
+                                        F.lit('","status":"on","timestamp":"2024-01-01T00:00:00Z"}')))
+              .when(cls == 17, F.concat(F.lit(' '), _good(sid), F.lit('\n')))
+              .when(cls == 18, F.concat(F.lit('{"a":{"b":1,"b":2},"timestamp":"2024-01-01T00:00:00Z","server_id":"'),
+                                        sid, F.lit('"}')))
               .otherwise(F.concat(F.lit('{"server_id":"'), sid, F.lit('","status":"'), status,
                                   F.lit('","timestamp":"2024-01-'), day, F.lit('T00:00:00Z"}'))))
     return e.select(F.col("event_id").alias("seq"), value.alias("value"))
 
 
+def _good(sid):
+    return F.concat(F.lit('{"server_id":"'), sid, F.lit('","status":"on","timestamp":"2024-01-01T00:00:00Z"}'))
+
+
 def probe_results(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "events")
     err = F.when(F.col("event_type") == "error", F.lit("timeout")).otherwise(F.lit(None))
@@ -271,13 +293,17 @@ def probe_results(spark: SparkSession, d: str) -> DataFrame:
 
 def probe_log(spark: SparkSession, d: str) -> DataFrame:
     """Probe request messages (seq, value), one per event; every 20th is no
-    request: a number for an address, or two objects."""
+    request: a number for an address, two objects, or more members after the
+    object; every 20th has names in another case."""
     e = _t(spark, d, "events")
     value = F.to_json(F.struct(F.col("user_id").cast("string").alias("ServerID"),
                                F.concat(F.lit('n"'), F.col("user_id").cast("string")).alias("ServerName"),
                                F.lit("10.0.0.1").alias("IP")))
-    cls = F.col("event_id") % 40
+    cls = F.col("event_id") % 60
     value = (F.when(cls == 0, F.lit('{"ServerID":"1","IP":5}')).when(cls == 20, F.concat(value, value))
+              .when(cls == 40, F.concat(value, F.lit(',"m2":{}')))
+              .when(cls % 20 == 7, F.concat(F.lit('{"ip":"10.9.9.9","serverid":"'), F.col("user_id").cast("string"),
+                                            F.lit('","Serverid":null}')))
               .otherwise(value))
     return e.select(F.col("event_id").alias("seq"), value.alias("value"))
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.messages import member_type, parsed_json, text_or_none
+from pulsegrid.functions.messages import is_text, last, like, members, parsed_json, text
 from pulsegrid.operators.messages import mail_ready
 
 
@@ -34,19 +34,18 @@ def decode_mail(messages: DataFrame) -> DataFrame:
 
     A message is dropped when it is not exactly one JSON object or a part has
     another type than the mail structs; a missing or null part is empty.
+    Members are matched in any case.
     """
-    m = parsed_json(messages)
-    for path in ("From", "Subject", "Body"):
-        m = m.where(text_or_none(f"$.Mail.{path}"))
-
-    def like(path: str, pattern: str) -> F.Column:
-        return F.coalesce(member_type(path).rlike(pattern), F.lit(True))
-
-    # types of attachments: objects whose Filename and Data are text or null
-    m = m.where(like("$.Mail", r"^(VOID|OBJECT)") & like("$.Mail.To", r"^(VOID|ARRAY<(VOID|STRING)>)$")
-                & like("$.Mail.Attachments", r"^(VOID|ARRAY<(VOID|OBJECT<.*>)>)$")
-                & like("$.Mail.Attachments", r"^(?!.*\b(Filename|Data): (?!STRING|VOID))"))
-    names = F.try_variant_get("m", "$.Mail.Attachments", "array<struct<Filename string>>")
+    m = parsed_json(messages).where(like("fields", "Mail", "^(VOID|OBJECT)"))
+    m = m.select("seq", F.inline(F.array(F.struct(members(last("fields", "Mail")).alias("mail")))))
+    m = m.where(is_text("mail", "From") & is_text("mail", "Subject") & is_text("mail", "Body")
+                & like("mail", "To", r"^(VOID|ARRAY<(VOID|STRING)>)$")
+                & like("mail", "Attachments", r"^(VOID|ARRAY<(VOID|OBJECT<.*>)>)$"))
+    items = F.transform(F.try_variant_get(last("mail", "Attachments"), "$", "array<variant>"), members)
+    m = m.select("seq", F.inline(F.array(F.struct(items.alias("items")))))
+    # attachments: objects whose Filename and Data are text or null
+    m = m.where(F.coalesce(F.forall("items", lambda a: is_text(a, "Filename") & is_text(a, "Data")), F.lit(True)))
+    names = F.transform("items", lambda a: F.struct(text(a, "Filename").alias("Filename")))
     return m.select(F.col("seq").alias("mail_id"), F.struct(names.alias("Attachments")).alias("Mail"))
 
 

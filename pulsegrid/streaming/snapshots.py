@@ -21,9 +21,9 @@ from pulsegrid import schemas as S
 from pulsegrid.session import path_exists
 
 
-def write_version(registry: DataFrame, root: str, version: int, last_batch: int | None = None) -> str:
-    """Write ``registry`` as version ``version`` and commit it, with the number
-    of the last status batch that it holds.
+def write_version(registry: DataFrame, root: str, version: int, folded: dict[str, int] | None = None) -> str:
+    """Write ``registry`` as version ``version`` and commit it, with the last
+    batch of each status stream that it holds.
 
     Rows are range-partitioned and sorted by ``server_id``, so every file
     and row group covers a narrow id range: a lookup by id is a pushed
@@ -33,18 +33,20 @@ def write_version(registry: DataFrame, root: str, version: int, last_batch: int
     (registry.repartitionByRange("server_id").sortWithinPartitions("server_id")
      .write.mode("overwrite").parquet(path))
     spark = registry.sparkSession
-    (spark.range(1).select(F.lit(int(version)).cast("long").alias("version"),
-                           F.lit(last_batch).cast("long").alias("last_batch"))
+    (spark.createDataFrame([(int(version), folded or {})], _VERSIONS).coalesce(1)
      .write.mode("append").parquet(f"{root}/_versions"))
     return path
 
 
+_VERSIONS = "version long, folded map<string,long>"
+
+
 def _current(spark: SparkSession, root: str):
-    """(version, last_batch) of the newest committed version, or None."""
+    """(version, folded) of the newest committed version, or None."""
     if not path_exists(spark, f"{root}/_versions"):
         return None
-    rows = spark.read.schema("version long, last_batch long").parquet(f"{root}/_versions")
-    return rows.orderBy(F.desc("version"), F.desc("last_batch")).first()
+    rows = spark.read.schema(_VERSIONS).parquet(f"{root}/_versions")
+    return rows.orderBy(F.desc("version"), F.desc(F.size("folded"))).first()
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
@@ -52,10 +54,11 @@ def current_version(spark: SparkSession, root: str) -> int | None:
     return None if row is None else row["version"]
 
 
-def last_batch(spark: SparkSession, root: str) -> int | None:
-    """Last status batch in the current version; None without a version."""
+def folded(spark: SparkSession, root: str) -> dict[str, int] | None:
+    """Last status batch of each stream in the current version; None without
+    a version."""
     row = _current(spark, root)
-    return None if row is None else -1 if row["last_batch"] is None else row["last_batch"]
+    return None if row is None else dict(row["folded"] or {})
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
