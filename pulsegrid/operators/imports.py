@@ -159,31 +159,31 @@ def greedy_merge(candidates: DataFrame, registry: DataFrame | None = None,
                       .join(registry.select("server_name"), "server_name", "left_anti"))
     # Pre-reduce identical (id, name) pairs to their first row: a later copy
     # always loses to the earlier one (or for the same reason).
-    once = fresh.where("server_id is not null and server_name is not null").groupBy(
-        "server_id", "server_name").agg(F.min("rn").alias("rn")).unionByName(
-        fresh.where("server_id is null or server_name is null"))
+    alone = F.when(F.col("server_id").isNull() | F.col("server_name").isNull(), F.col("rn"))
+    once = fresh.groupBy("server_id", "server_name", alone.alias("alone")).agg(F.min("rn").alias("rn")).drop("alone")
     spark = cand.sparkSession
-    left = _freeze(with_positions(once, [F.col("rn").asc()]).withColumn(
-        "range", F.floor(F.col("position") / range_rows)))
-    accepted = shared_dir(spark, "import-accepted")  # one table, a pass appends to it
-    passes, ranges = 0, 1 if not left.isEmpty() else 0
-    schema = T.StructType([left.schema[c] for c in ("position", "range", "rn", "server_id", "server_name")]
-                          + [T.StructField("state", T.StringType())])
-    while ranges:
+    if isinstance(cand.schema["rn"].dataType, (T.LongType, T.IntegerType)):
+        placed = once.withColumn("position", F.col("rn").cast("long"))  # unique: a range has no more rows
+    else:
+        placed = with_positions(once, [F.col("rn").asc()])
+    columns = ["position", "range", "rn", "server_id", "server_name"]
+    left = _freeze(placed.withColumn("range", F.floor(F.col("position") / range_rows)).select(*columns))
+    states = T.StructType(left.schema.fields + [T.StructField("state", T.StringType())])
+    steps, passes = shared_dir(spark, "import-steps"), 0  # one table, a folder a pass
+    while not left.isEmpty():
         passes += 1
         waiting = _waits(_waits(left, "server_id", "id_waits"), "server_name", "name_waits")
-        step = _freeze(waiting.groupBy("range").applyInPandas(_replay, schema))
+        (waiting.groupBy("range").applyInPandas(_replay, states)
+         .write.parquet(f"{steps}/pass={passes}"))
+        step = spark.read.schema(states).parquet(f"{steps}/pass={passes}")
         won = step.where("state = 'a'")
-        won.select("rn", F.lit(passes).alias("pass")).write.mode("append").parquet(accepted)
+        after = _freeze(step.where("state = 'u'").select(*columns)
+                        .join(won.select("server_id"), "server_id", "left_anti")
+                        .join(won.select("server_name"), "server_name", "left_anti").select(*columns))
         drop_dir(spark, left.stored_path)
-        ranges = step.where("state = 'u'").select("range").distinct().count()
-        if ranges:
-            left = _freeze(step.where("state = 'u'").drop("state")
-                           .join(won.select("server_id"), "server_id", "left_anti")
-                           .join(won.select("server_name"), "server_name", "left_anti"))
-            ranges = 0 if left.isEmpty() else ranges
-        drop_dir(spark, step.stored_path)
-    acc_keys = (spark.read.parquet(accepted) if passes else
+        left = after
+    acc_keys = (spark.read.schema(T.StructType(states.fields + [T.StructField("pass", T.IntegerType())]))
+                .parquet(steps).where("state = 'a'").select("rn", "pass") if passes else
                 cand.select("rn", F.lit(None).cast("int").alias("pass")).where(F.lit(False)))
     return (cand.join(acc_keys, "rn", "left")
                 .select("rn", "server_id", "server_name",
@@ -199,17 +199,9 @@ def import_records(records: DataFrame, registry: DataFrame | None = None) -> Dat
     Invalid IPv4 rows never reach the insert and fail with "invalid ipv4".
     """
     split = _freeze(split_ipv4(records))  # read the sheets once
-    valid = split.where("valid")
-    merged = greedy_merge(valid, registry).select("rn", "outcome")
-    ok = (split.where("valid").join(merged, "rn", "inner")
-               .select("rn", "server_id", "server_name", "ipv4", "outcome"))
-    bad = (split.where(~F.col("valid"))
-                .select("rn", "server_id", "server_name", "ipv4",
-                        F.lit(S.ERR_INVALID_IP).alias("outcome")))
-    return ok.unionByName(bad)
-
-
-_ROWS = 1 << 32  # rows that one sheet may have
+    merged = greedy_merge(split.where("valid"), registry).select("rn", "outcome")
+    return split.join(merged, "rn", "left").select(
+        "rn", "server_id", "server_name", "ipv4", F.coalesce("outcome", F.lit(S.ERR_INVALID_IP)).alias("outcome"))
 
 
 def import_sheets(rows: DataFrame, registry: DataFrame | None = None,
@@ -217,14 +209,12 @@ def import_sheets(rows: DataFrame, registry: DataFrame | None = None,
     """Sheet rows of one or many files -> per-row import results.
 
     Files are imported in ``file_id`` order, rows in ``row_no`` order: the
-    insert order key ``rn`` is one long, the file's position times 2^32 plus
-    the row, so that minima stay hash aggregates. Rows of rejected files do
-    not appear; see ``rejected_files``. -> the columns of ``import_records``
-    with file_id and row_no.
+    insert order key ``rn`` is the row's position in that order. Rows of
+    rejected files do not appear; see ``rejected_files``. -> the columns of
+    ``import_records`` with file_id and row_no.
     """
-    recs = _freeze(sheet_records(rows, header_rows))
-    files = with_positions(recs.select("file_id").distinct(), [F.col("file_id").asc()], "file_no")
-    keyed = recs.join(files, "file_id").withColumn("rn", F.col("file_no") * _ROWS + F.col("row_no"))
+    recs = sheet_records(rows, header_rows)
+    keyed = with_positions(recs, [F.col("file_id").asc(), F.col("row_no").asc()], "rn")
     done = import_records(keyed.select("rn", "server_id", "server_name", "ipv4"), registry)
     return done.join(keyed.select("rn", "file_id", "row_no"), "rn")
 

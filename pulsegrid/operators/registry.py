@@ -11,9 +11,13 @@ join), so every one is a hash/sort-merge join that AQE can re-plan.
 from __future__ import annotations
 
 import datetime as dt
+import math
+from collections import defaultdict
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid import schemas as S
 from pulsegrid.functions.predicates import (
@@ -113,7 +117,67 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def _rename_in_order(held: DataFrame, wants: DataFrame) -> DataFrame:
+RANGE_ROWS = 50_000  # requests of the order that one task replays
+
+
+def _replay(rows: pd.DataFrame) -> pd.DataFrame:
+    """One range of renames in order: ``ok`` where it is still unknown.
+
+    ``state``: what is known of the wanted name at the range's start, 'held'
+    by ``holder``, 'free' or 'unknown'; a holder may also have come later, at
+    ``since``. A request for an unknown name is left open, and from there on
+    the names that its server may have left are unknown.
+    """
+    rows = rows.sort_values("position")
+    state, since, names_of = {}, {}, defaultdict(set)
+    for name, known, holder, at in zip(rows["want"], rows["state"], rows["holder"], rows["since"]):
+        if name not in state:
+            state[name] = holder if known == "held" else known == "free" or None
+            since[name] = at if at == at and at is not None else -math.inf
+            if known == "held":
+                names_of[holder].add(name)
+    out = []
+    for position, server, name, ok in zip(rows["position"], rows["server_id"], rows["want"], rows["ok"]):
+        holder = state[name]  # True: free, None: unknown
+        if ok is None:
+            ok = None if holder is None else holder is True or holder == server
+        if ok is not False:
+            for left in [n for n in names_of[server] if n != name and since[n] < position]:
+                names_of[server].discard(left)
+                state[left] = True if ok else None
+            if ok and holder != server:
+                names_of[holder].discard(name)
+                names_of[server].add(name)
+                state[name], since[name] = server, position
+        out.append(ok)
+    return rows[["position", "range", "rn", "server_id", "want"]].assign(ok=pd.Series(out, rows.index, object))
+
+
+def _known_names(left: DataFrame, held: DataFrame) -> DataFrame:
+    """What is known of every name that an undecided request wants: its
+    ``holder`` after all that is decided before, ``since`` when, ``until`` the
+    holder's next rename to another name that has not failed; ``free`` from
+    ``free_at`` on if nobody has it or that rename is known to succeed, and
+    the ``next`` undecided request for it then."""
+    after = lambda at, since: F.col(since).isNull() | (F.col(at) > F.col(since))
+    wanted = left.where("ok is null").groupBy(F.col("want").alias("name")).agg(F.min("position").alias("first"))
+    taken = (left.where("ok").join(wanted, F.col("want") == F.col("name")).where("position < first")
+             .groupBy("name").agg(F.max(F.struct("position", "server_id")).alias("taken")))
+    names = wanted.join(held, "name", "left").join(taken, "name", "left").select(
+        "name", F.coalesce("taken.server_id", "holder").alias("holder"), F.col("taken.position").alias("since"))
+    leaves = (left.join(names.where("holder is not null"), F.col("server_id") == F.col("holder"))
+              .where(after("position", "since") & (F.col("want") != F.col("name")))
+              .groupBy("name").agg(F.min(F.struct("position", "ok")).alias("leave")))
+    known = names.join(leaves, "name", "left").select(
+        "name", "holder", "since", F.col("leave.position").alias("until"),
+        (F.col("holder").isNull() | F.coalesce("leave.ok", F.lit(False))).alias("free"),
+        F.coalesce("leave.position", "since").alias("free_at"))
+    following = (left.where("ok is null").join(known.where("free"), F.col("want") == F.col("name"))
+                 .where(after("position", "free_at")).groupBy("name").agg(F.min("position").alias("next")))
+    return known.join(following, "name", "left")
+
+
+def _rename_in_order(held: DataFrame, wants: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The renames (rn, server_id, want) that succeed when all are applied
     one after the other by ``rn``.
 
@@ -121,46 +185,40 @@ def _rename_in_order(held: DataFrame, wants: DataFrame) -> DataFrame:
     ``wants``: (rn, server_id, want), active servers only. A rename succeeds
     if no other server has the name at that time; a name given up is free for
     later ones. Every wanted name has a history of its own: its holder has it
-    until the holder's next rename to another name that does not fail; until
-    then all others fail, at once and however many they are. If that rename
-    is known to succeed the name is free from there on, and the first request
-    for a free name succeeds, whatever else its server asked for before. So a
-    round moves every name on to its holder's next undecided rename, and only
-    names that change hands, one for another, take several rounds.
+    until the holder's next rename to another name that does not fail, and
+    until then all others fail, at once and however many they are. If that
+    rename is known to succeed the name is free from there on, and the first
+    request for it succeeds, whatever else its server asked for before.
+
+    A pass finds out what is known of every name, by aggregates and equi
+    joins over all requests, and replays all ranges of the order at once from
+    what is known at their starts. It decides the first range with undecided
+    requests whole, chains of any length with it, and in the others all that
+    hangs on known names; so passes grow neither with the requests for a name
+    nor with how often it changes hands inside a range. A range has at most
+    ``range_rows`` requests (integers ``rn`` are cut as they are).
     """
     spark = wants.sparkSession
-    start = wants.select(F.col("want").alias("name")).distinct().join(held, "name", "left")
-    names = start.select("name", "holder", F.lit(None).cast(wants.schema["rn"].dataType).alias("since"))
-    left = _stored(wants.withColumn("ok", F.lit(None).cast("boolean")), "renames")  # without the failed
-    after = lambda rn, since: F.col(since).isNull() | (F.col(rn) > F.col(since))
-    old, rounds = [], 0
+    if isinstance(wants.schema["rn"].dataType, (T.LongType, T.IntegerType)):
+        placed = wants.withColumn("position", F.col("rn").cast("long"))
+    else:
+        placed = with_positions(wants, [F.col("rn").asc()])
+    left = _stored(placed.select("position", F.floor(F.col("position") / range_rows).alias("range"), "rn",
+                                 "server_id", "want", F.lit(None).cast("boolean").alias("ok")), "renames")
+    begins = lambda at: F.floor(F.col(at) / range_rows)
     while not left.where("ok is null").isEmpty():
-        rounds += 1
-        leaves = (left.join(names.where("holder is not null"), F.col("server_id") == F.col("holder"))
-                  .where(after("rn", "since") & (F.col("want") != F.col("name")))
-                  .groupBy("name").agg(F.min(F.struct("rn", "ok")).alias("leave")))
-        known = names.join(leaves, "name", "left").select(
-            "name", "holder", "since", F.col("leave.rn").alias("until"),
-            (F.col("holder").isNull() | F.coalesce("leave.ok", F.lit(False))).alias("free"),
-            F.coalesce("leave.rn", "since").alias("free_at"))
-        takes = (left.where("ok is null").join(known.where("free"), F.col("want") == F.col("name"))
-                 .where(after("rn", "free_at")).groupBy("name").agg(F.min(F.struct("rn", "server_id")).alias("take")))
-        known = _stored(known.join(takes, "name", "left"), "names")
-        step = left.join(known.withColumnRenamed("name", "want"), "want").withColumn(
-            "ok", F.when(F.col("ok") | (F.col("rn") == F.col("take.rn")), F.lit(True))
-                   .when(F.col("holder").isNotNull() & (F.col("until").isNull() | (F.col("rn") < F.col("until"))),
-                         F.col("server_id") == F.col("holder")))
-        step = _stored(step.where("ok is null or ok").select("rn", "server_id", "want", "ok"), "renames")
-        names = known.select("name", F.when(F.col("take").isNotNull(), F.col("take.server_id"))
-                             .when(~F.col("free"), F.col("holder")).alias("holder"),
-                             F.when(F.col("take").isNotNull(), F.col("take.rn"))
-                             .when(F.col("free"), F.col("free_at")).otherwise(F.col("since")).alias("since"))
-        for path in (left.stored_path, *old):
-            drop_dir(spark, path)
-        left, old = step, [known.stored_path]
-    for path in old:
-        drop_dir(spark, path)
-    return left.drop("ok")
+        known = _known_names(left, held).withColumnRenamed("name", "want")
+        state = (F.when(F.col("holder").isNotNull() & (F.col("until").isNull() | (begins("until") >= F.col("range"))), "held")
+                 .when(F.col("free") & (F.col("free_at").isNull() | (begins("free_at") < F.col("range")))
+                       & (F.col("next").isNull() | (begins("next") >= F.col("range"))), "free").otherwise("unknown"))
+        rows = left.join(known, "want", "left").withColumn("state", state).withColumn("ok", F.when(
+            F.col("ok").isNull() & F.col("holder").isNotNull() & (F.col("until").isNull() | (F.col("position") < F.col("until"))),
+            F.col("server_id") == F.col("holder")).otherwise(F.col("ok")))
+        done = rows.select(*left.columns, "holder", "since", "state").groupBy("range").applyInPandas(_replay, left.schema)
+        step = _stored(done.where("ok is null or ok"), "renames")  # without the failed
+        drop_dir(spark, left.stored_path)
+        left = step
+    return left.select("rn", "server_id", "want")
 
 
 def patch_servers(servers: DataFrame, patches: DataFrame, as_of=None
