@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import forget, fresh, release, stored
 
-CUT_EVERY = 8    # of so many line hashes, all but one end a segment
+CUT_EVERY = 16   # of so many pairs of line hashes, all but one are a boundary
 MIN_LINES, MIN_WORDS = 2, 16
+LONG_WORDS = 16  # a line of so many words begins and ends chunks by itself
+LONE_WORDS = 50  # a line of so many words is a chunk alone
+AHEAD = 8        # lines after its first in which a chunk ends
 _ENDS = ["\n", ". ", "! ", "? "]  # a line is a text line, wrapped after each sentence
 _MARK = "\x01"
+_SQL_BLANKS = " \\t\\r\\n\\u000c\\u000b"  # the blanks at the ends of lines, in SQL
 
 
 def _lines(text: str) -> F.Column:
@@ -23,41 +27,56 @@ def _lines(text: str) -> F.Column:
             .otherwise(F.split(marked, _MARK)))
 
 
+def _bare(line: str) -> str:
+    """SQL of a line without the blanks and line breaks at its end."""
+    return f"trim(trailing '{_SQL_BLANKS}' from {line})"
+
+
 def _chunks(docs: DataFrame, row: str, id_col: str, text: str) -> DataFrame:
     """(row, id, s, e, h): the chunks of every text as ranges of its lines.
 
-    A rolling hash over two line hashes decides after each line whether a
-    segment ends there, from these two lines alone: text put in or cut out
-    before them shifts nothing. A chunk is two consecutive segments, so chunks
-    overlap and each has at least two lines unless its text has one only.
+    A rolling hash over two line hashes decides before each line, from it and
+    the next one, whether a chunk may begin there, and after each line, from
+    it and the one before, whether one may end there; long lines always are
+    both. So whether a run of lines is a chunk depends on these lines alone,
+    wherever they stand. A chunk goes from a beginning to the first end that
+    gives it MIN_LINES lines and MIN_WORDS words (at most AHEAD lines on);
+    chunks overlap. A line of LONE_WORDS words is a chunk by itself.
     """
     d = docs.select(F.col(row).alias("row"), F.col(id_col).alias("id"), _lines(text).alias("lines"))
-    d = d.where(f"size(lines) >= {MIN_LINES}").selectExpr(
-        "row", "id", "transform(lines, l -> xxhash64(rtrim(l))) as hashes",
-        "transform(lines, l -> length(l) - length(replace(l, ' ', '')) + 1) as words")
-    d = d.selectExpr(
-        "row", "id", "hashes", "words",
-        "concat(array(0), filter(sequence(1, size(hashes) - 1), i -> "
-        f"pmod(xxhash64(get(hashes, i - 2), hashes[i - 1]), {CUT_EVERY}) <> 0)) as starts")
+    d = d.where(F.col("lines").isNotNull()).selectExpr(
+        "row", "id", f"transform(lines, l -> xxhash64({_bare('l')})) as hashes",
+        f"transform(lines, l -> length(l) - length(translate(l, '{_SQL_BLANKS}', '')) + 1) as words")
     d = d.selectExpr(
         "row", "id", "hashes", "words",
-        "explode(transform(starts, (s, k) -> "
-        "struct(s, coalesce(get(starts, k + 2), size(hashes)) as e))) as c")
-    return d.where(f"c.e - c.s >= {MIN_LINES}").where(
-        f"aggregate(slice(words, c.s + 1, c.e - c.s), 0, (a, w) -> a + w) >= {MIN_WORDS}"
-    ).selectExpr("row", "id", "c.s as s", "c.e as e",
-                 "xxhash64(slice(hashes, c.s + 1, c.e - c.s)) as h")
+        f"transform(hashes, (h, i) -> words[i] >= {LONG_WORDS} or (i > 0 and "
+        f"pmod(xxhash64(hashes[i - 1], h), {CUT_EVERY}) <> 0)) as ends",
+        f"filter(sequence(0, size(hashes) - 1), i -> words[i] >= {LONG_WORDS} or "
+        f"pmod(xxhash64(hashes[i], get(hashes, i + 1), 1L), {CUT_EVERY}) <> 0) as starts")
+    total, cases = "words[s]", f"when words[s] >= {LONE_WORDS} then s + 1 "
+    for d_lines in range(1, AHEAD + 1):
+        total += f" + get(words, s + {d_lines})"
+        end = f"get(ends, s + {d_lines})" if d_lines < AHEAD else f"s + {d_lines} < size(words)"
+        if d_lines + 1 >= MIN_LINES:
+            cases += f"when {end} and {total} >= {MIN_WORDS} then s + {d_lines + 1} "
+    d = d.selectExpr("row", "id", "hashes",
+                     f"explode(filter(transform(starts, s -> struct(s, case {cases} end as e)), c -> c.e is not null)) as c")
+    return d.selectExpr("row", "id", "c.s as s", "c.e as e",
+                        "xxhash64(slice(hashes, c.s + 1, c.e - c.s)) as h")
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated chunks cut out of the text, and ``lines_removed``.
 
-    A chunk of at least MIN_LINES lines and MIN_WORDS words that occurs more
-    than once in the whole table stays in the text of the least id, at its
-    first place there, and is removed from all others; blanks at the ends of
-    lines do not count, all other bytes must be equal. What is left is not
-    changed in any byte. Rows that share the least id each keep it; so do
-    rows with a null id if no other row has it. A text of which all lines go
+    Of a chunk (see ``_chunks``) that occurs more than once in the whole table
+    the lines go from every place but the first one of the least id. Chunks
+    overlap, so a line that stays for one chunk may go for another; it has then
+    a copy in a lesser id, or earlier. No line is lost: the first line of its
+    kind that lies in a repeated chunk stays, by id, then place, since a chunk
+    that would cut it there has a place before. Blanks and line breaks at the ends of lines
+    do not count, all other bytes must be equal. What is left is not changed
+    in any byte. Rows that share the least id each keep it; so do rows with a
+    null id if no other row has it. A text of which all lines go
     becomes empty; null stays null; empty texts have no chunk. An empty table
     gives an empty table. A column named ``lines_removed`` is replaced.
     """
@@ -81,7 +100,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str =
     # The lines are a column of their own below the generator, made once a row.
     texts = joined.where(f"{spans} is not null").select(_lines(text).alias("lines"), F.col(spans).alias("spans")) \
         .selectExpr("inline(transform(spans, c -> struct(c.h as h, array_join(transform("
-                    "slice(lines, c.s + 1, c.e - c.s), l -> rtrim(l)), '\n') as bytes)))")
+                    f"slice(lines, c.s + 1, c.e - c.s), l -> {_bare('l')}), '\n') as bytes)))")
     unequal = stored(texts.groupBy("h", "bytes").agg(F.lit(1).alias("one"))
                      .groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "unequal")
     if not unequal.isEmpty():  # equal hashes of different bytes: those chunks stay

@@ -64,26 +64,38 @@ def lines_of(text):
     return re.split(r"(?<=\n)|(?<=[.!?] )", text)
 
 
-def chunks(text, cut=8, least_lines=2, least_words=16):
+BLANKS = " \t\r\n\f\x0b"
+
+
+def chunks(text, cut=16, least_lines=2, least_words=16, long=16, lone=50, ahead=8):
+    """Lines of a text, and its chunks (start, end, their bare lines)."""
     lines = lines_of(text)
-    if len(lines) < least_lines:
-        return lines, []
+    bare = [x.rstrip(BLANKS) for x in lines]
+    words = [sum(x.count(b) for b in BLANKS) + 1 for x in lines]
     hashes = []
-    for line in lines:
-        h = xxhash.xxh64_intdigest(line.rstrip(" ").encode(), 42)
+    for line in bare:
+        h = xxhash.xxh64_intdigest(line.encode(), 42)
         hashes.append(h - (1 << 64) if h >> 63 else h)
-    starts = [0]
-    for i in range(1, len(lines)):
+
+    def boundary(i, *mixed):
         r = 42
-        for h in hashes[max(0, i - 2):i]:
+        for h in mixed:
             r = _hash_long(h, r)
-        if r % cut:
-            starts.append(i)
-    out = []
-    for k, s in enumerate(starts):
-        e = starts[k + 2] if k + 2 < len(starts) else len(lines)
-        if e - s >= least_lines and sum(x.count(" ") + 1 for x in lines[s:e]) >= least_words:
-            out.append((s, e, tuple(x.rstrip(" ") for x in lines[s:e])))
+        return words[i] >= long or r % cut != 0
+
+    n, out = len(lines), []
+    begins = [boundary(i, *hashes[i:i + 2], 1) for i in range(n)]
+    ends = [words[i] >= long or (i > 0 and boundary(i, hashes[i - 1], hashes[i])) for i in range(n)]
+    for s in range(n):
+        if not begins[s]:
+            continue
+        if words[s] >= lone:
+            e = s + 1
+        else:
+            e = next((e + 1 for e in range(s + least_lines - 1, min(n, s + ahead + 1))
+                      if (ends[e] or e == s + ahead) and sum(words[s:e + 1]) >= least_words), None)
+        if e:
+            out.append((s, e, tuple(bare[s:e])))
     return lines, out
 
 

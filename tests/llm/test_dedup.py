@@ -155,6 +155,56 @@ def test_line_dedup_finds_passages_and_leaves_others(spark):
         assert all(passage not in got[i] for i, _ in held[1:])
 
 
+def sized(rng, words, lines):
+    """A passage of that many words in that many lines."""
+    cuts = sorted(rng.sample(range(6, words - 5), lines - 1)) if lines > 1 else []
+    names = [f"{rng.choice('bdfgk')}{rng.randrange(10 ** 6)}" for _ in range(words)]
+    return " ".join(" ".join(names[a:b]) + "." for a, b in zip([0, *cuts], [*cuts, words]))
+
+
+def test_line_dedup_loses_no_line(spark):
+    """Overlapping passages in any order: whoever cuts a line of a repeated
+    chunk, a copy of it stays, and in the least id that has it in one."""
+    rng = random.Random(8)
+    pool = [sized(rng, 9, 1) for _ in range(40)]
+    rows = []
+    for i in range(150):
+        a = rng.randrange(30)
+        rows.append((i, " ".join(pool[a:a + rng.randint(2, 10)] + [prose(rng, 1)] + rng.sample(pool, 2))))
+    got = {r["doc_id"]: {x.rstrip() for x in plain.lines_of(r["text"])}
+           for r in remove_repeated_chunks(docs(spark, rows)).collect()}
+    where = {}
+    for i, t in rows:
+        for _, _, key in plain.chunks(t)[1]:
+            where.setdefault(key, set()).add(i)
+    least = {}
+    for key, ids in where.items():
+        for line in key if len(ids) > 1 else ():
+            least[line] = min(min(ids), least.get(line, 1000))
+    assert len(least) > 20 and all(line in got[i] for line, i in least.items())
+    assert sum(map(len, got.values())) < 0.6 * sum(len(plain.lines_of(t)) for _, t in rows)
+
+
+@pytest.mark.parametrize("lines", [1, 2, 3, 4, 5])
+def test_line_dedup_of_short_passages(spark, lines):
+    """Passages of over 50 words in few lines, with any line ends around them,
+    go from all documents but the first; at most a short line of one stays."""
+    rng = random.Random(lines)
+    rows, passages = [], [sized(rng, rng.randint(51, 70), lines) for _ in range(40)]
+    for n, p in enumerate(passages):
+        for k in range(3):
+            glue = rng.choice([" ", "\n", "\r\n", " \n\n"])
+            body = p.replace(". ", ".\r\n") if k == 1 else p
+            rows.append((n * 3 + k, prose(rng, rng.randint(1, 3)) + glue + body + glue + prose(rng, 2)))
+    got = {r["doc_id"]: r["text"] for r in remove_repeated_chunks(docs(spark, rows)).collect()}
+    kept = 0
+    for n, p in enumerate(passages):
+        words = set(p.replace(".", "").split())
+        assert got[n * 3] == rows[n * 3][1]
+        kept += sum(len(words & set(got[n * 3 + k].replace(".", "").split())) / len(words) for k in (1, 2))
+    assert kept / (2 * len(passages)) < (0.001 if lines == 1 else 0.1)
+
+
 def test_line_dedup_of_nothing(spark):
     assert remove_repeated_chunks(docs(spark, [])).count() == 0
     same = [(None, "one two three four five six seven eight nine. ten eleven twelve a b c d e f.")] * 2
