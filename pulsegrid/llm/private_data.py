@@ -21,7 +21,7 @@ BASE = {
 }
 # Candidates that these do not find: written-out addresses and bare numbers.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]{1,63}+"
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]{1,63}+"
              r"(?:(?:\.| ?[\[({](?:dot|DOT)[\])}] ?)[A-Za-z0-9-]{1,63}+){1,8}+",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}+){3}(?![0-9])",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -113,7 +113,8 @@ def candidates(docs: DataFrame, row: str, text: str) -> DataFrame:
     for k, words in ANNOUNCED.items():
         context = F.when((kind == k) & F.rlike(announced, F.lit(words)), F.lit(True)).otherwise(context)
     alone = ~F.rlike("before", F.lit(r"[\p{L}0-9_]$")) & ~F.rlike("after", F.lit(r"^[\p{L}0-9_]"))
-    rows = rows.withColumn("base", F.col("stream").startswith("base") & F.coalesce(form, F.lit(False)))
+    checked = F.when(kind == "email", F.lit(True)).otherwise(F.coalesce(form, F.lit(False)))  # e-mails have no check
+    rows = rows.withColumn("base", F.col("stream").startswith("base") & checked)
     votes = {"pattern": F.col("base"), "gazetteer": gazetteer, "context": context, "alone": alone, "form": form}
     gap_marks = F.regexp_replace("text", "[A-Za-z0-9]", "")
     features = {
