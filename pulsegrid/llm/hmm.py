@@ -138,11 +138,13 @@ def encoded(docs: DataFrame, vocab: Vocabulary, text: str, row: str, train: str)
 
 
 def class_masses(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
-    """Base probability of each class; a shared class holds an unknown word too."""
+    """Base probability of each class; the shared classes hold an equal part of
+    the one unknown word each, so that all known words and the unknown one, of
+    whatever class, have a probability of 1 together in every state."""
     own = vocab.words[:OWN_CLASSES]
     mass = np.zeros(CLASSES)
     mass[:len(own)] = vocab.counts[:OWN_CLASSES] + ALPHA
-    mass[OWN_CLASSES:END] = ALPHA
+    mass[OWN_CLASSES:END] = ALPHA / SHARED_CLASSES
     mass[END] = vocab.ends + ALPHA
     sent = counts.sparkSession.sparkContext.broadcast(set(own))
 
