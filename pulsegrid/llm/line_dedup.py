@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import forget, fresh, release, stored
 
-CUT_EVERY = 16   # of so many pairs of line hashes, all but one are a boundary
+CUT_EVERY = 8    # of so many line hashes, all but one end a segment
 MIN_LINES, MIN_WORDS = 2, 16
-LONG_WORDS = 16  # a line of so many words begins and ends chunks by itself
+LONG_WORDS = 16  # a line of so many words is a segment by itself
 LONE_WORDS = 50  # a line of so many words is a chunk alone
-AHEAD = 8        # lines after its first in which a chunk ends
 _ENDS = ["\n", ". ", "! ", "? "]  # a line is a text line, wrapped after each sentence
 _MARK = "\x01"
 _SQL_BLANKS = " \\t\\r\\n\\u000c\\u000b"  # the blanks at the ends of lines, in SQL
@@ -35,13 +34,12 @@ def _bare(line: str) -> str:
 def _chunks(docs: DataFrame, row: str, id_col: str, text: str) -> DataFrame:
     """(row, id, s, e, h): the chunks of every text as ranges of its lines.
 
-    A rolling hash over two line hashes decides before each line, from it and
-    the next one, whether a chunk may begin there, and after each line, from
-    it and the one before, whether one may end there; long lines always are
-    both. So whether a run of lines is a chunk depends on these lines alone,
-    wherever they stand. A chunk goes from a beginning to the first end that
-    gives it MIN_LINES lines and MIN_WORDS words (at most AHEAD lines on);
-    chunks overlap. A line of LONE_WORDS words is a chunk by itself.
+    A rolling hash over two line hashes decides after each line whether a
+    segment ends there, from these two lines alone: text put in or cut out
+    before them shifts nothing. Before and after a line of LONG_WORDS words one
+    always does, whatever stands there. A chunk is two consecutive segments,
+    so chunks overlap, and each has at least MIN_LINES lines; a line of
+    LONE_WORDS words is a chunk by itself too.
     """
     d = docs.select(F.col(row).alias("row"), F.col(id_col).alias("id"), _lines(text).alias("lines"))
     d = d.where(F.col("lines").isNotNull()).selectExpr(
@@ -49,20 +47,18 @@ def _chunks(docs: DataFrame, row: str, id_col: str, text: str) -> DataFrame:
         f"transform(lines, l -> length(l) - length(translate(l, '{_SQL_BLANKS}', '')) + 1) as words")
     d = d.selectExpr(
         "row", "id", "hashes", "words",
-        f"transform(hashes, (h, i) -> words[i] >= {LONG_WORDS} or (i > 0 and "
-        f"pmod(xxhash64(hashes[i - 1], h), {CUT_EVERY}) <> 0)) as ends",
-        f"filter(sequence(0, size(hashes) - 1), i -> words[i] >= {LONG_WORDS} or "
-        f"pmod(xxhash64(hashes[i], get(hashes, i + 1), 1L), {CUT_EVERY}) <> 0) as starts")
-    total, cases = "words[s]", f"when words[s] >= {LONE_WORDS} then s + 1 "
-    for d_lines in range(1, AHEAD + 1):
-        total += f" + get(words, s + {d_lines})"
-        end = f"get(ends, s + {d_lines})" if d_lines < AHEAD else f"s + {d_lines} < size(words)"
-        if d_lines + 1 >= MIN_LINES:
-            cases += f"when {end} and {total} >= {MIN_WORDS} then s + {d_lines + 1} "
-    d = d.selectExpr("row", "id", "hashes",
-                     f"explode(filter(transform(starts, s -> struct(s, case {cases} end as e)), c -> c.e is not null)) as c")
-    return d.selectExpr("row", "id", "c.s as s", "c.e as e",
-                        "xxhash64(slice(hashes, c.s + 1, c.e - c.s)) as h")
+        "filter(sequence(0, size(hashes) - 1), i -> i = 0 or "
+        f"pmod(xxhash64(get(hashes, i - 2), hashes[i - 1]), {CUT_EVERY}) <> 0 or "
+        f"words[i] >= {LONG_WORDS} or words[i - 1] >= {LONG_WORDS}) as starts")
+    d = d.selectExpr(
+        "row", "id", "hashes", "words",
+        "explode(concat(filter(transform(starts, (s, k) -> struct(s, coalesce(get(starts, k + 2), size(hashes)) as e)), "
+        f"c -> c.e - c.s >= {MIN_LINES}), "
+        f"transform(filter(starts, s -> words[s] >= {LONE_WORDS}), s -> struct(s, s + 1 as e)))) as c")
+    return d.where(
+        f"aggregate(slice(words, c.s + 1, c.e - c.s), 0, (a, w) -> a + w) >= {MIN_WORDS}"
+    ).selectExpr("row", "id", "c.s as s", "c.e as e",
+                 "xxhash64(slice(hashes, c.s + 1, c.e - c.s)) as h")
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -67,7 +67,7 @@ def lines_of(text):
 BLANKS = " \t\r\n\f\x0b"
 
 
-def chunks(text, cut=16, least_lines=2, least_words=16, long=16, lone=50, ahead=8):
+def chunks(text, cut=8, least_lines=2, least_words=16, long=16, lone=50):
     """Lines of a text, and its chunks (start, end, their bare lines)."""
     lines = lines_of(text)
     bare = [x.rstrip(BLANKS) for x in lines]
@@ -76,27 +76,20 @@ def chunks(text, cut=16, least_lines=2, least_words=16, long=16, lone=50, ahead=
     for line in bare:
         h = xxhash.xxh64_intdigest(line.encode(), 42)
         hashes.append(h - (1 << 64) if h >> 63 else h)
-
-    def boundary(i, *mixed):
+    starts = [0]
+    for i in range(1, len(lines)):
         r = 42
-        for h in mixed:
+        for h in hashes[max(0, i - 2):i]:
             r = _hash_long(h, r)
-        return words[i] >= long or r % cut != 0
-
-    n, out = len(lines), []
-    begins = [boundary(i, *hashes[i:i + 2], 1) for i in range(n)]
-    ends = [words[i] >= long or (i > 0 and boundary(i, hashes[i - 1], hashes[i])) for i in range(n)]
-    for s in range(n):
-        if not begins[s]:
-            continue
-        if words[s] >= lone:
-            e = s + 1
-        else:
-            e = next((e + 1 for e in range(s + least_lines - 1, min(n, s + ahead + 1))
-                      if (ends[e] or e == s + ahead) and sum(words[s:e + 1]) >= least_words), None)
-        if e:
-            out.append((s, e, tuple(bare[s:e])))
-    return lines, out
+        if r % cut or words[i] >= long or words[i - 1] >= long:
+            starts.append(i)
+    out = set()
+    for k, s in enumerate(starts):
+        e = starts[k + 2] if k + 2 < len(starts) else len(lines)
+        for e in {e, s + 1} if words[s] >= lone else {e}:
+            if (e - s >= least_lines or words[s] >= lone) and sum(words[s:e]) >= least_words:
+                out.add((s, e, tuple(bare[s:e])))
+    return lines, sorted(out)
 
 
 def line_dedup(rows):

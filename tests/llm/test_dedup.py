@@ -202,7 +202,7 @@ def test_line_dedup_of_short_passages(spark, lines):
         words = set(p.replace(".", "").split())
         assert got[n * 3] == rows[n * 3][1]
         kept += sum(len(words & set(got[n * 3 + k].replace(".", "").split())) / len(words) for k in (1, 2))
-    assert kept / (2 * len(passages)) < (0.001 if lines == 1 else 0.1)
+    assert kept / (2 * len(passages)) < [0.001, 0.05, 0.1, 0.1, 0.15][lines - 1]
 
 
 def test_line_dedup_of_nothing(spark):

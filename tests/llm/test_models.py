@@ -276,3 +276,19 @@ def test_stages_of_odd_documents(spark, sf001):
         for _, stage in corpus_pipeline.STAGES:
             n, df = df.count(), stage(spark, df, sf001)
             assert df.count() <= n
+
+
+def test_all_words_have_a_probability_of_one(spark):
+    """The known words and one unknown, of a class drawn evenly, in any state."""
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 7} gamma{i}") for i in range(40)], "doc_id long, text string")
+    counts = hmm.word_counts(docs)
+    vocab = hmm.vocabulary(counts, 40)
+    mass = hmm.class_masses(counts, vocab)
+    model = hmm.first_model(mass)
+    own = {w: i for i, w in enumerate(vocab.words[:hmm.OWN_CLASSES])}
+    total = np.zeros(hmm.STATES)
+    for r in counts.collect():
+        total += (r.n + hmm.ALPHA) / vocab.mass * model.ratio[own.get(bytes(r.word), hmm.shared_class(bytes(r.word)))]
+    total += (vocab.ends + hmm.ALPHA) / vocab.mass * model.ratio[hmm.END]
+    total += hmm.ALPHA / vocab.mass * model.ratio[hmm.OWN_CLASSES:hmm.END].mean(axis=0)
+    assert np.allclose(total, 1, atol=1e-9)
