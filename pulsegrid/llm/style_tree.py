@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -16,7 +17,7 @@ from pulsegrid.llm.common import as_bytes, extend, fresh, stored
 CONTENT_SHARE = 0.7  # of a branch's importance; the rest is its presentation's
 THRESHOLD = 0.5
 MAIN_WEIGHT = 0.15   # more for a branch in an article or main element, less for one beside it
-SITE_PAGES = 8       # pages a site must have to be judged alone
+SITE_PAGES = 8       # pages' worth of the tree of all sites in a site's judgement
 
 # Elements by their role in a page.
 BLOCKS = set("""address article aside blockquote body center dd details dialog div dl dt fieldset
@@ -69,7 +70,9 @@ class Page:
     """Text blocks of a page in order, and the styles of its elements.
 
     ``blocks``: (path, parent's path, text, in noise, in main); ``styles``:
-    (path, children's styles). A path is the chain of styles from the root.
+    (path, children's styles). A path is the number of a chain of styles from
+    the root, made step by step, so that a deep page costs no more than a wide
+    one.
     Optional end tags are filled in, other tags without a partner ignored;
     what an open comment or raw element holds goes to the page's end. Class
     words make no noise of html, body, an article or main element, or what is
@@ -79,7 +82,8 @@ class Page:
     def __init__(self, source: str):
         self.blocks, self.styles = [], []
         # name, path, noise, main (2: article), children, is a block, innermost element of noise words
-        self.stack = [["", "", False, 0, [], True, -1]]
+        self.stack = [["", _step(0, ""), False, 0, [], True, -1]]
+        self.open_names: Counter = Counter()
         self.worded: list[list] = []  # of such elements: the next one around, is it noise
         self.text: list[str] = []
         at, n = 0, len(source)
@@ -161,11 +165,14 @@ class Page:
         if worded:
             self.worded.append([at, True])
             at = len(self.worded) - 1
-        self.stack.append([name, f"{top[1]}>{style}", top[2] or noise, max(top[3], (2 if name == "article" else 1) if main else 0),
+        self.open_names[name] += 1
+        self.stack.append([name, _step(top[1], style), top[2] or noise, max(top[3], (2 if name == "article" else 1) if main else 0),
                            [], block or noise or worded or main, at])
 
     def until(self, names: set):
         """Closes the innermost open element of ``names``, unless a scope is inside."""
+        if not any(self.open_names[n] for n in names):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] in names:
                 while len(self.stack) > i:
@@ -175,6 +182,8 @@ class Page:
                 return
 
     def close(self, name: str):
+        if not self.open_names[name]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == name:
                 while len(self.stack) > i:
@@ -184,7 +193,8 @@ class Page:
     def pop(self):
         if self.stack[-1][5]:
             self.flush()
-        _, path, _, _, children, _, _ = self.stack.pop()
+        name, path, _, _, children, _, _ = self.stack.pop()
+        self.open_names[name] -= 1
         if children:
             self.styles.append((path, ",".join(children)))
 
@@ -193,6 +203,11 @@ def _number(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
+def _step(path: int, style: str) -> int:
+    """Number of the path that goes on from ``path`` to an element of this style."""
+    return xxhash.xxh64_intdigest(style.encode("utf-8", "replace"), path + (1 << 63)) - (1 << 63)
+
+
 def host_of(url: str) -> F.Column:
     """Host of a URL, lower-case, without user and port; empty if there is none."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)),
@@ -217,12 +232,12 @@ def _marks(pages: DataFrame) -> DataFrame:
                 kept = [b for b in page.blocks if not b[3]]
                 inside = {b[0] for b in kept if b[4]}
                 found = {(p, q, True, t) for p, q, t, _, _ in kept}
-                found |= {(p, "", False, c) for p, c in page.styles}
+                found |= {(p, 0, False, c) for p, c in page.styles}
                 for path, parent, content, feature in found:
                     first = (path, content) not in seen
                     seen.add((path, content))
                     side = (1 if path in inside else -1) if first and content and inside else 0
-                    out.append((row, host, _number(path), _number(parent), content, _number(feature), int(first), side))
+                    out.append((row, host, path, parent, content, _number(feature), int(first), side))
             columns = list(zip(*out)) if out else [()] * 8
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
@@ -268,7 +283,7 @@ def main_text(source: bytes | None, low: list[int] | None) -> str:
         return ""
     blocks = [b for b in Page(source.decode()).blocks if not b[3]]
     dropped = set(low or ())
-    kept = [b for b in blocks if _number(b[0]) not in dropped] if dropped else blocks
+    kept = [b for b in blocks if b[0] not in dropped] if dropped else blocks
     if any(b[4] for b in blocks) and not any(b[4] for b in kept):
         kept = [b for b in blocks if b[4]]
     return "\n".join(b[2] for b in kept)
@@ -280,8 +295,8 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html") ->
     The elements of all pages of a host are merged to one tree by their chain
     of styles (tag and first class). Each branch gets an importance from the
     entropy of its texts and of its frame; branches below THRESHOLD go from
-    each page. Sites of fewer than SITE_PAGES pages are judged by the tree of
-    all pages instead. Menus, headers, footers, asides, forms, scripts and the
+    each page. The same branch in the tree of all sites counts like SITE_PAGES
+    further pages of the site, so that few pages do not decide alone. Menus, headers, footers, asides, forms, scripts and the
     like stand outside of this and have no importance; article and main
     elements count as MAIN_WEIGHT in it.
 
@@ -298,8 +313,8 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html") ->
     site = _importance(marks, ["host"])
     everywhere = _importance(marks, []).select("path", F.col("importance").alias("overall"))
     poor = stored(site.join(everywhere, "path")
-                  .where(F.when(F.col("pages") >= SITE_PAGES, F.col("importance")).otherwise(F.col("overall"))
-                         < THRESHOLD).select("host", "path"), "poor")
+                  .where((F.col("importance") * F.col("pages") + F.col("overall") * SITE_PAGES)
+                         / (F.col("pages") + SITE_PAGES) < THRESHOLD).select("host", "path"), "poor")
     per_row = (marks.where("content").select("row", "host", "path").distinct().join(poor, ["host", "path"])
                .groupBy("row").agg(F.collect_list("path").alias(low)).withColumnRenamed("row", row))
     joined = numbered.join(per_row, row, "left")
