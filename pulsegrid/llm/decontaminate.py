@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import extend, fresh
+from pulsegrid.llm.common import extend, forget, fresh, stored
 from pulsegrid.llm.sharding import shard_by_bytes, text_size
 
 WINDOW = 10
@@ -194,7 +194,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     fewer; words: see ``_WORDS``.
 
     The benchmark is sent in blocks of about ``block_bytes`` (plus one item at
-    most), whose size is checked before; one pass over ``docs`` for each block.
+    most), whose size is checked before; one pass over ``docs`` for each block,
+    whose result is stored before the next.
     Null texts have no words; items without words match nothing; a null
     ``item_id`` hits words but is not listed; equal items are each listed.
     Columns that have one of the three names are replaced. Nothing is shuffled.
@@ -211,7 +212,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     out, keep = docs.drop(*found.fieldNames()), [c for c in docs.columns if c not in found.fieldNames()]
     if text not in keep:
         raise ValueError(f"the text column cannot be named {text}")
+    held = None
     for block in range(n_blocks):
+        if block:  # the block before is done and its windows are let go
+            last = stored(out, "contamination")
+            sent.unpersist()
+            if held is not None:
+                forget(held)
+            held = out = last
         rows = items.where(F.col("shard") == block) if n_blocks > 1 else items
         sent = spark.sparkContext.broadcast(
             [(r[0], r[1].encode()) for r in rows.select("item", "words").collect() if r[1]])
