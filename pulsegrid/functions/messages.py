@@ -43,8 +43,9 @@ def members(variant: Column) -> Column:
 
 
 def named(fields: Column | str, name: str) -> Column:
-    """Values of the members of this name in any case, in order."""
-    same = F.filter(fields, lambda e: F.lower(F.upper(e["key"])) == name.lower())
+    """Values of the members of this name in any case, in order (the long s and
+    the Kelvin sign are cases of s and k)."""
+    same = F.filter(fields, lambda e: F.lower(F.translate(e["key"], "\u017f\u212a", "sk")) == name.lower())
     return F.coalesce(F.transform(same, lambda e: e["value"]), F.array().cast("array<variant>"))
 
 

@@ -66,12 +66,12 @@ def renamed(spark, held, wants, range_rows):
     return {r.rn for r in registry._rename_in_order(h, w, range_rows).collect()}
 
 
-@pytest.mark.parametrize("seed,range_rows", [(1, 4), (2, 17), (3, 10_000), (4, 60)])
+@pytest.mark.parametrize("seed,range_rows", [(1, 4), (2, 17), (3, 10_000)])
 def test_renames_over_ranges(spark, seed, range_rows):
     rnd = random.Random(seed)
     held = {f"n{i}": f"s{i}" for i in range(14)}
     wants = [(i * 2, f"s{rnd.randrange(18)}", f"n{rnd.randrange(20)}" if rnd.random() < 0.7 else "n3")
-             for i in range(30 if range_rows < 5 else 160)]
+             for i in range(30 if range_rows < 5 else 120)]
     assert renamed(spark, held, wants, range_rows) == sequential_renames(held, wants)
 
 
