@@ -213,7 +213,7 @@ def import_sheets(rows: DataFrame, registry: DataFrame | None = None,
     rejected files do not appear; see ``rejected_files``. -> the columns of
     ``import_records`` with file_id and row_no.
     """
-    recs = sheet_records(rows, header_rows)
+    recs = sheet_records(_freeze(rows.select("file_id", "row_no", "cells")), header_rows)
     keyed = with_positions(recs, [F.col("file_id").asc(), F.col("row_no").asc()], "rn")
     done = import_records(keyed.select("rn", "server_id", "server_name", "ipv4"), registry)
     return done.join(keyed.select("rn", "file_id", "row_no"), "rn")

@@ -19,6 +19,7 @@ import zipfile
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from pulsegrid.operators.imports import trim_trailing_empty
 
 def read_csv_sheets(spark: SparkSession, path: str, columns: int = 4) -> DataFrame:
     """CSV sheets by Spark's own reader: quoted cells may hold commas, doubled
-    quotes, line breaks and outer blanks. Rows are streamed, so a file need
-    not fit in memory; files spread over the tasks, but a file with line
+    quotes, line breaks and outer blanks. Rows are streamed and numbered in one
+    scan, so a file need not fit in memory; files spread over the tasks, but a file with line
     breaks in cells has no place to split at and is read by one task. The
     first ``columns`` cells are kept (an import uses no more)."""
     schema = ", ".join(f"c{i} string" for i in range(columns))
@@ -36,11 +37,21 @@ def read_csv_sheets(spark: SparkSession, path: str, columns: int = 4) -> DataFra
            .options(multiLine=True, quote='"', escape='"', header=False, mode="PERMISSIVE", nullValue=None,
                     ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path))
     cells = F.array(*[F.coalesce(f"c{i}", F.lit("")) for i in range(columns)])
-    rows = raw.select(F.col("_metadata.file_path").alias("file_id"), F.monotonically_increasing_id().alias("id"),
-                      trim_trailing_empty(cells).alias("cells"))
-    first = rows.groupBy("file_id").agg(F.min("id").alias("first"))
-    return rows.join(first, "file_id").select(
-        "file_id", (F.col("id") - F.col("first")).alias("row_no"), "cells")
+    return raw.select(F.col("_metadata.file_path").alias("file_id"), trim_trailing_empty(cells).alias("cells")) \
+              .mapInArrow(_row_numbers, S.SHEET_ROW)
+
+
+def _row_numbers(batches):
+    """Rows with their number in the file: a task reads a file from its first
+    row to its last, one file after the other, so it only has to count."""
+    file, n = None, -1
+    for b in batches:
+        numbers = []
+        for f in b.column(0).to_pylist():
+            file, n = f, n + 1 if f == file else 0
+            numbers.append(n)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(numbers, pa.int64()), b.column(1)],
+                                         names=["file_id", "row_no", "cells"])
 
 
 # ------------------------------------------------------------------- XLSX
