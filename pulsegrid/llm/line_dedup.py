@@ -82,11 +82,13 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str =
     chunks = stored(_chunks(numbered, row, id_col, text), "chunks")
     repeated = chunks.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first_id")) \
                      .where("n > 1").drop("n")
-    found = chunks.join(repeated, "h")
-    kept = found.where("id <=> first_id").groupBy("row", "h").agg(F.min("s").alias("s"))
-    found = found.join(kept.withColumn("kept", F.lit(True)), ["row", "h", "s"], "left")
-    per_row = found.groupBy("row").agg(
-        F.collect_list(F.struct("s", "e", "h", F.col("kept").isNull().alias("gone"))).alias(spans))
+    # the places of a chunk in a row meet where the join by h has put them
+    places = chunks.join(repeated, "h").groupBy("h", "row").agg(
+        F.bool_and(F.expr("id <=> first_id")).alias("first"), F.min("s").alias("least"),
+        F.collect_list(F.struct("s", "e")).alias("at"))
+    per_row = places.groupBy("row").agg(F.flatten(F.collect_list(F.transform("at", lambda x: F.struct(
+        x["s"].alias("s"), x["e"].alias("e"), F.col("h").alias("h"),
+        (~F.col("first") | (x["s"] != F.col("least"))).alias("gone"))))).alias(spans))
     per_row = stored(per_row.withColumnRenamed("row", row), "spans")
     forget(chunks)
     release(docs.sparkSession)
