@@ -271,6 +271,19 @@ def q_heartbeat_archive(spark, d):
     return streams.read_archive(spark, sink)
 
 
+def q_archive_from_latest(spark, d):
+    """A stream that starts at the log's end: what was there before is not
+    read, what comes later is, after a restart too."""
+    hb = fx.hb(spark, d)
+    middle = hb.agg(F.max("seq")).first()[0] // 2
+    src, sink, ckpt = (shared_dir(spark, f"latest-{n}") for n in ("src", "sink", "ckpt"))
+    for part in (F.col("seq") <= middle, F.col("seq") > middle):
+        streams.write_message_files(hb.where(part), src)
+        source = log.file_source_from_latest(spark, src, ckpt)
+        streams.start_archive(source, sink, ckpt).awaitTermination()
+    return streams.read_archive(spark, sink)
+
+
 def q_archive_once(spark, d):
     """The log archived, then read again from its start by another stream,
     together with messages that were late."""
@@ -412,6 +425,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "list_servers_paged": q_list_servers_paged,
     "attachment_listing": q_attachment_listing,
     "archive_once": q_archive_once,
+    "archive_from_latest": q_archive_from_latest,
     "status_bucketed": q_status_bucketed,
     "status_changes": q_status_changes,
     "probe_stream": q_probe_stream,

@@ -401,6 +401,8 @@ ORACLE: dict[str, str] = {
     "uptime_stream": _with("hb") + _daily(True),
     "attachment_listing": _with("imp_simple") + "select distinct rn // 100 as file_no, 'csv' as kind from imp_simple",
     "archive_once": _with("hb") + "select seq, server_id, status, ts, cast(ts as date) as dt from hb",
+    "archive_from_latest": _with("hb") + """select seq, server_id, status, ts, cast(ts as date) as dt from hb
+        where seq > (select max(seq) // 2 from hb)""",
     "status_bucketed": _UPSERT,
     "status_changes": _with("hb") + ", " + _LATEST + " select server_id, status from latest",
     "probe_stream": _with("servers") + f""", t as (

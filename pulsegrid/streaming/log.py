@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid import schemas as S
+from pulsegrid.session import path_exists
 
 
 def file_source(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -21,6 +22,25 @@ def file_source(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     return r.json(path)
 
 
+def latest_start(spark: SparkSession, path: str, checkpoint: str) -> int:
+    """Number of the last message in the log when the stream with this
+    checkpoint first started (-1: none), as ``startingOffsets=latest`` does. It
+    is kept beside the checkpoint, so a restart goes on where the stream was."""
+    place = f"{checkpoint.rstrip('/')}-start"
+    if not path_exists(spark, place):
+        log = (spark.read.schema(S.MESSAGE_LOG).json(path) if path_exists(spark, path)
+               else spark.createDataFrame([], S.MESSAGE_LOG))
+        log.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("seq")).write.parquet(place)
+    return spark.read.schema("seq long").parquet(place).first()["seq"]
+
+
+def file_source_from_latest(spark: SparkSession, path: str, checkpoint: str,
+                            max_files_per_trigger: int | None = None) -> DataFrame:
+    """The messages that come after the stream's first start."""
+    start = latest_start(spark, path, checkpoint)
+    return file_source(spark, path, max_files_per_trigger).where(F.col("seq") > start)
+
+
 def publish_files(messages: DataFrame, path: str) -> None:
     """Append (seq, value) messages as JSON lines: one job, all tasks write.
 
