@@ -268,3 +268,18 @@ def test_deep_and_long_pages():
 
 def test_base_patterns_cover_the_kinds():
     assert list(BASE) == KINDS and callable(op6_pii)
+
+
+def test_base_emails_need_no_letter(spark):
+    df = spark.createDataFrame([(1, "x -@-.- y"), (2, "%@--.-"), (3, "a@b")], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.private_data if s.base] for r in find_private_data(df).collect()}
+    assert got == {1: [("email", 2, 7)], 2: [("email", 0, 6)], 3: []}
+
+
+def test_very_deep_pages(spark):
+    """A page of 60,000 nested elements costs no more than its length."""
+    deep = "<div class='a'>" * 60000 + "x"
+    page = Page(deep)
+    assert [b[2] for b in page.blocks] == ["x"] and len({p for p, _ in page.styles}) > 59990
+    pages = spark.createDataFrame([(1, "http://a.b/1", deep), (2, "http://a.b/2", "<p>y</p>")], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_main_text(pages).collect()}.keys() == {1, 2}
