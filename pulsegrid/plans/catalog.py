@@ -19,7 +19,6 @@ from pulsegrid.session import apply_sql_defaults, shared_dir
 from pulsegrid.functions.messages import (
     decode_heartbeats, decode_probe_requests, heartbeat_json, parsed_json,
 )
-from pulsegrid.functions.timefmt import ts_literal
 from pulsegrid.sources import fixtures as fx
 from pulsegrid.sources import sheets
 from pulsegrid.streaming import heartbeats as streams
@@ -345,17 +344,16 @@ def q_probe_stream(spark, d):
     """Ticks at the quarters of the time in which the servers were created; a
     deleted server is gone half an hour after its creation."""
     servers = fx.servers(spark, d)
-    last = servers.agg(F.max("created_at")).first()[0]
-    start = dt.datetime.fromisoformat(PROBE_FROM)
-    cycle = int((last - start).total_seconds()) // 4
+    start = int(dt.datetime.fromisoformat(PROBE_FROM).replace(tzinfo=dt.timezone.utc).timestamp())
+    # as seconds: the times may be later than Python's
+    cycle = (servers.agg(F.unix_seconds(F.max("created_at").cast("timestamp"))).first()[0] - start) // 4
 
     def monitored(ticks):
-        tick = ts_literal(ticks.first()["tick"])  # one row
-        gone = F.col("is_deleted") & (F.col("created_at") + F.expr("interval 30 minutes") <= tick)
-        return servers.where((F.col("created_at") <= tick) & ~gone).withColumn("tick", tick)
+        gone = F.col("is_deleted") & (F.col("created_at") + F.expr("interval 30 minutes") <= F.col("tick"))
+        return servers.crossJoin(F.broadcast(ticks)).where((F.col("created_at") <= F.col("tick")) & ~gone)  # one row
 
     out, ckpt = shared_dir(spark, "probe-out"), shared_dir(spark, "probe-ckpt")
-    millis = int(start.replace(tzinfo=dt.timezone.utc).timestamp()) * 1000
+    millis = start * 1000
     for _ in range(4):  # a tick a run, resumed from the checkpoint
         probes.start_fan_out(probes.tick_source(spark, millis, cycle * 1000), monitored, out, ckpt).awaitTermination()
     return probes.read_fan_out(spark, out)

@@ -2,8 +2,8 @@
 server that is monitored at that time.
 
 Ticks come from Spark's rate-per-micro-batch source, one row a batch, so the
-time of a tick is in its row and a replayed batch has the same tick. Each
-batch loads the monitored set anew and so sees the registry's newest version.
+time of a tick follows from its row and a replayed batch has the same tick.
+Each batch loads the monitored set anew and so sees the registry's newest version.
 """
 
 from __future__ import annotations
@@ -17,12 +17,21 @@ from pulsegrid.functions.messages import probe_request_json
 from pulsegrid.functions.timefmt import ts_literal
 
 _OUT = "tick timestamp_ntz, value string, batch_id long"
+_LONGEST_ADVANCE = (1 << 31) - 1  # milliseconds, the source's own limit (24.8 days)
 
 
 def tick_source(spark: SparkSession, start_millis: int, cycle_millis: int) -> DataFrame:
-    """Ticks ``timestamp`` from ``start_millis`` (UTC, epoch), one per batch."""
-    return (spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1)
-            .option("startTimestamp", start_millis).option("advanceMillisPerBatch", cycle_millis).load())
+    """Ticks ``timestamp`` from ``start_millis`` (UTC, epoch), one per batch.
+
+    The source takes advances of up to ``_LONGEST_ADVANCE`` only; the ticks of
+    a longer cycle are computed from their number, which it counts as well."""
+    long_cycle = cycle_millis > _LONGEST_ADVANCE
+    ticks = (spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1)
+             .option("startTimestamp", start_millis)
+             .option("advanceMillisPerBatch", 1 if long_cycle else cycle_millis).load())
+    if long_cycle:
+        ticks = ticks.withColumn("timestamp", F.timestamp_millis(F.lit(start_millis) + F.col("value") * cycle_millis))
+    return ticks
 
 
 def fan_out_writer(monitored: Callable[[DataFrame], DataFrame], out_path: str):

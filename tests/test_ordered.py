@@ -13,7 +13,7 @@ from pulsegrid.operators import imports, pages, registry
 from pulsegrid.session import list_dir, shared_dir
 from pulsegrid.sources import fixtures as fx
 from pulsegrid.streaming import heartbeats as streams
-from pulsegrid.streaming import mail, snapshots
+from pulsegrid.streaming import mail, probes, snapshots
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -268,3 +268,17 @@ def test_status_changes_only(spark):
         seen.append(sorted((r.server_id, r.status) for r in rows))
     assert seen[0] == seen[1] == [("s0", "on"), ("s1", "on"), ("s2", "on")]
     assert seen[2] == sorted(seen[0] + [("s0", "off")])
+
+
+def test_ticks_of_cycles_beyond_the_sources_limit(spark):
+    """A cycle of 40 days has more milliseconds than an int holds."""
+    day = 86_400_000
+    for cycle in (day, 40 * day):
+        out, ckpt = shared_dir(spark, "t-ticks"), shared_dir(spark, "t-ticks-ckpt")
+        server = spark.createDataFrame([("1", "n", "10.0.0.1", False)],
+                                       "server_id string, server_name string, ipv4 string, is_deleted boolean")
+        for _ in range(3):  # a tick a run, resumed from the checkpoint
+            ticks = probes.tick_source(spark, 19_723 * day, cycle)
+            probes.start_fan_out(ticks, probes.at_tick(lambda: server), out, ckpt).awaitTermination()
+        got = sorted(r["tick"] for r in probes.read_fan_out(spark, out).collect())
+        assert got == [T0 + dt.timedelta(milliseconds=cycle * i) for i in range(3)]
