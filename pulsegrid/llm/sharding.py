@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pulsegrid.llm.common import fresh, stored
 
@@ -27,27 +24,15 @@ def shard_by_bytes(df: DataFrame, n_shards: int, size: str, order: list) -> Data
     """
     df = df.drop("shard", "slot")
     part, row, upto = (fresh(df, c) for c in ("part", "row_no", "upto"))
-    names, n = df.columns, len(df.columns)
-    weight = fresh(df, "weight")
-    placed = (df.withColumn(weight, F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)))
-              .repartitionByRange(*order).sortWithinPartitions(*order)
-              .withColumn(part, F.spark_partition_id()))
-    schema = T.StructType(df.schema.fields + [T.StructField(part, T.IntegerType())]
-                          + [T.StructField(c, T.LongType()) for c in (row, upto)])
-
-    def add_up(batches):
-        rows = total = 0
-        for b in batches:
-            sums = pc.add(pc.cumulative_sum(b.column(n)), total)
-            numbers = pa.array(range(rows, rows + b.num_rows), pa.int64())
-            if b.num_rows:
-                rows, total = rows + b.num_rows, sums[-1].as_py()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(i) for i in range(n)] + [b.column(n + 1), numbers, sums],
-                names=schema.fieldNames())
-
-    local = stored(placed.select(*[F.col(f"`{c}`") for c in names], weight, part)
-                   .mapInArrow(add_up, schema), "shards")
+    names, weight = df.columns, fresh(df, "weight")
+    # by ranges of the order, then one running sum a range: a window in Spark, as
+    # Python workers beside the heap took an executor to its limit
+    ranged = (df.withColumn(weight, F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)))
+              .repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    along = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = stored(ranged.select(*[F.col(f"`{c}`") for c in names], part,
+                                 (F.count(F.lit(1)).over(along) - 1).alias(row), F.sum(weight).over(along).alias(upto)),
+                   "shards")
     totals = local.groupBy(part).agg(F.max(upto).alias("bytes"), F.count("*").alias("rows"))
     before = totals.selectExpr(  # one row for each partition
         f"{part} as p", "sum(bytes) over (order by {0}) - bytes as bytes_before".format(part),

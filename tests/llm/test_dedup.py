@@ -47,6 +47,24 @@ def test_shard_sizes_of_zero_and_null(spark):
     assert {(r["shard"], r["slot"]) for r in shard_by_bytes(df, 4, "size", ["id"]).collect()} == {(0, 0), (0, 1), (0, 2)}
 
 
+def test_shards_without_python_workers(spark, monkeypatch):
+    """Executors have the memory of the heap alone for it."""
+    def refuse(*args, **kwargs):
+        raise AssertionError("Python workers")
+
+    df = spark.range(3000).selectExpr("id", "id % 50 as size").repartition(7)
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(df), name, refuse)
+    got = shard_by_bytes(df, 4, "size", ["id"]).collect()
+    upto, total = 0, sum(i % 50 for i in range(3000))
+    want, first = [], {}
+    for i in range(3000):
+        shard = min((2 * upto + i % 50) * 4 // (2 * total), 3)
+        upto += i % 50
+        want.append((i, shard, i - first.setdefault(shard, i)))
+    assert sorted((r["id"], r["shard"], r["slot"]) for r in got) == want
+
+
 def test_text_measures(spark):
     df = spark.createDataFrame([("é",), (None,), ("",)], "text string")
     got = df.select(text_size().alias("s"), text_crc32().alias("c")).collect()
