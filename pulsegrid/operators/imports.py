@@ -106,7 +106,7 @@ def _freeze(df: DataFrame) -> DataFrame:
     it came from; over many passes of self-joins those grow until planning
     alone exhausts the driver, so a written table is used instead.)"""
     path = shared_dir(df.sparkSession, "import-round")
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
@@ -117,14 +117,14 @@ RANGE_ROWS = 50_000  # rows of the insert order that one task replays
 
 def _replay(rows: pd.DataFrame) -> pd.DataFrame:
     """One range in insert order: adds ``state``, 'a'ccepted, 'r'ejected or
-    'u'ndecided. ``id_waits`` and ``name_waits``: an undecided row of an
-    earlier range has the id, the name. A null key conflicts with none."""
-    rows = rows.sort_values("position")
+    'u'ndecided. Rows with ``waits`` are marks of positions: an undecided row
+    of an earlier range has the id or the name. A null key conflicts with none."""
+    waiting = set(rows.loc[rows["waits"], "position"])
+    rows = rows[~rows["waits"]].sort_values("position")
     ids, names, states = {}, {}, []
-    for sid, name, id_waits, name_waits in zip(rows["server_id"], rows["server_name"],
-                                               rows["id_waits"], rows["name_waits"]):
+    for position, sid, name in zip(rows["position"], rows["server_id"], rows["server_name"]):
         held = ids.get(sid), names.get(name)
-        state = "r" if "a" in held else "u" if id_waits or name_waits or "u" in held else "a"
+        state = "r" if "a" in held else "u" if position in waiting or "u" in held else "a"
         if state != "r":
             if sid is not None:
                 ids[sid] = state
@@ -134,13 +134,14 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["position", "range", "rn", "server_id", "server_name"]].assign(state=states)
 
 
-def _waits(undecided: DataFrame, key: str, flag: str) -> DataFrame:
-    """Whether an earlier range has the row's key: the first range of each key
-    that more than one range has, met again by an equi join."""
+def _waits(undecided: DataFrame, key: str) -> DataFrame:
+    """Marks (position, range, waits) of the rows whose key an earlier range
+    has: the first range of each key that more than one range has, met again
+    by an equi join of the key and the position alone."""
     first = undecided.groupBy(key).agg(F.min("range").alias("_first"), F.max("range").alias("_last"))
     later = first.where("_first < _last").drop("_last")
-    return undecided.join(later, key, "left").withColumn(
-        flag, F.coalesce(F.col("_first") < F.col("range"), F.lit(False))).drop("_first")
+    return (undecided.select(key, "position", "range").join(later, key).where("_first < range")
+            .select("position", "range", F.lit(True).alias("waits")))
 
 
 def greedy_merge(candidates: DataFrame, registry: DataFrame | None = None,
@@ -172,9 +173,10 @@ def greedy_merge(candidates: DataFrame, registry: DataFrame | None = None,
     steps, passes = shared_dir(spark, "import-steps"), 0  # one table, a folder a pass
     while not left.isEmpty():
         passes += 1
-        waiting = _waits(_waits(left, "server_id", "id_waits"), "server_name", "name_waits")
-        (waiting.groupBy("range").applyInPandas(_replay, states)
-         .write.parquet(f"{steps}/pass={passes}"))
+        marks = _waits(left, "server_id").union(_waits(left, "server_name"))
+        (left.withColumn("waits", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+         .groupBy("range").applyInPandas(_replay, states)
+         .write.option("compression", "zstd").parquet(f"{steps}/pass={passes}"))
         step = spark.read.schema(states).parquet(f"{steps}/pass={passes}")
         won = step.where("state = 'a'")
         after = _freeze(step.where("state = 'u'").select(*columns)

@@ -282,3 +282,12 @@ def test_ticks_of_cycles_beyond_the_sources_limit(spark):
             probes.start_fan_out(ticks, probes.at_tick(lambda: server), out, ckpt).awaitTermination()
         got = sorted(r["tick"] for r in probes.read_fan_out(spark, out).collect())
         assert got == [T0 + dt.timedelta(milliseconds=cycle * i) for i in range(3)]
+
+
+def test_ranges_wait_by_narrow_marks(spark):
+    """Keys meet over ranges by key and position alone: the rest of a row moves once a pass."""
+    rows = [(i, i // 2, f"s{i % 7}", f"n{i % 5}") for i in range(12)]
+    left = spark.createDataFrame(rows, "position long, range long, server_id string, server_name string")
+    marks = imports._waits(left, "server_id")
+    assert marks.columns == ["position", "range", "waits"]
+    assert sorted(r["position"] for r in marks.collect()) == [7, 8, 9, 10, 11]
