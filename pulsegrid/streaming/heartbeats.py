@@ -26,6 +26,7 @@ Every query checkpoints offsets and state in ``checkpointLocation`` (R4);
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -277,6 +278,25 @@ def status_view(spark: SparkSession, servers: DataFrame, log_path: str, snapshot
     return current_status(base, read_status_log(spark, log_path, done))
 
 
+def fold_status(key, pieces, state):
+    """The state of one server after a batch, and its row if its status changed.
+    Works on the arrays alone: a frame operation costs more than a few rows."""
+    held = state.get if state.exists else None
+    best = held
+    for rows in pieces:
+        micros = rows["micros"].to_numpy()
+        seqs = rows["seq"].to_numpy()
+        latest = np.flatnonzero(micros == micros.max())
+        at = latest[seqs[latest].argmax()]
+        if best is None or (micros[at], seqs[at]) > (best[1], best[2]):
+            best = (rows["status"].iat[at], int(micros[at]), int(seqs[at]))
+    if best is not held:
+        state.update(best)
+        if held is None or held[0] != best[0]:
+            yield pd.DataFrame({"server_id": [key[0]], "status": [best[0]],
+                                "last_ping_at": [pd.Timestamp(best[1], unit="us")], "seq": [best[2]]})
+
+
 def status_change_stream(heartbeats: DataFrame) -> DataFrame:
     """(server_id, status, last_ping_at, seq) of servers whose status is another
     than before, once per micro-batch (R2, A8): the state of a server is its
@@ -284,25 +304,10 @@ def status_change_stream(heartbeats: DataFrame) -> DataFrame:
     or brings older heartbeats only, emits nothing for it. A server's rows of
     a batch come in bounded pieces, so none is gathered whole."""
     kind = "server_id string, status string, last_ping_at timestamp_ntz, seq long"
-
-    def fold(key, pieces, state):
-        held = state.get if state.exists else None
-        best = held
-        for rows in pieces:
-            rows = rows[rows["ts"].notna()]
-            if len(rows):
-                row = rows.sort_values(["ts", "seq"]).iloc[-1]
-                micros = row["ts"].value // 1000
-                if best is None or (micros, row["seq"]) > (best[1], best[2]):
-                    best = (row["status"], micros, int(row["seq"]))
-        if best is not None and best != held:
-            state.update(best)
-            if held is None or held[0] != best[0]:
-                yield pd.DataFrame({"server_id": [key[0]], "status": [best[0]],
-                                    "last_ping_at": [pd.Timestamp(best[1], unit="us")], "seq": [best[2]]})
-
-    return heartbeats.select("server_id", "status", "ts", "seq").groupBy("server_id").applyInPandasWithState(
-        fold, kind, "status string, micros long, seq long", "update", "NoTimeout")
+    timed = heartbeats.where(F.col("ts").isNotNull()).select(
+        "server_id", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "seq")
+    return timed.groupBy("server_id").applyInPandasWithState(
+        fold_status, kind, "status string, micros long, seq long", "update", "NoTimeout")
 
 
 def start_status_changes(messages: DataFrame, out_path: str, checkpoint: str,

@@ -4,6 +4,7 @@ redelivery and strict decoding: against plain sequential versions."""
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,22 @@ def test_ranges_wait_by_narrow_marks(spark):
     marks = imports._waits(left, "server_id")
     assert marks.columns == ["position", "range", "waits"]
     assert sorted(r["position"] for r in marks.collect()) == [7, 8, 9, 10, 11]
+
+
+def test_status_fold_works_on_arrays():
+    class Rows(pd.DataFrame):
+        def sort_values(self, *args, **kwargs):
+            raise AssertionError("a frame operation for each server")
+        __getitem__ = lambda self, c: pd.DataFrame.__getitem__(self, c) if isinstance(c, str) else self.sort_values()
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state, piece = State(), lambda *rows: Rows(rows, columns=["micros", "seq", "status"])
+    first = list(streams.fold_status(("a",), iter([piece((5, 1, "on"), (9, 2, "off")), piece((9, 3, "on"), (2, 8, "off"))]), state))
+    assert [tuple(r) for f in first for r in f[["status", "seq"]].to_numpy()] == [("on", 3)] and state.get == ("on", 9, 3)
+    assert not list(streams.fold_status(("a",), iter([piece((9, 4, "on"), (8, 9, "off"))]), state)) and state.get == ("on", 9, 4)
+    assert not list(streams.fold_status(("a",), iter([piece((3, 99, "off"))]), state)) and state.get == ("on", 9, 4)
